@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, ngram_join, suffix_search
+from . import itq, licences, line_dedup, mixing, ngram_join, quality, suffix_search, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,15 +24,45 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = quality.fit(docs, labels.where(remainder != 0))
+    out = quality.score(docs, model)
+    return out.select("doc_id", (remainder == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", "lines_deleted")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents"), blocks=64, seed=1, repeats=2.0)
+
+
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licences.licence_scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "digest", "licence", F.array_join("notices", ",").alias("notices"), "notice_lines")
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_decontamination": op2_decontamination,
+    "op4_token_counts": op4_token_counts,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_quality": op6_quality,
     "op7_line_dedup": op7_line_dedup,
+    "op8_mixing": op8_mixing,
+    "op9_licence_scan": op9_licence_scan,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
