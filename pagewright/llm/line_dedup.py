@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import fingerprints as fp
-from .shared import BROADCAST_ROWS, written
+from .shared import written
 
 _LINE = np.ones(256, bool)
 _LINE[10] = False
@@ -137,9 +137,7 @@ def line_dedup(docs: DataFrame, min_words: int = 8, doc_id: str = "doc_id", text
 
     Rows that share an id share its deletions' line numbers only if they are the same text, so ids should be keys.
     """
-    gone = written(deletions(docs, min_words, doc_id, text).select(F.col("id").alias("__id"), F.col("gone").alias("__gone")))
-    n, most = gone.agg(F.count(F.lit(1)), F.sum(F.size("__gone"))).first()
-    gone = F.broadcast(gone) if n + (most or 0) <= BROADCAST_ROWS else gone
+    gone = written(deletions(docs, min_words, doc_id, text).select(F.col("id").alias("__id"), F.col("gone").alias("__gone"))).hint("merge")
     out = docs.join(gone, F.col("__id") == docs[doc_id].cast("long"), "left")
     kept = F.expr(f"array_join(filter(split(`{text}`, '\\n', -1), (x, i) -> NOT array_contains(__gone, i)), '\\n')")
     out = out.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept))
