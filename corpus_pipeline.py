@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pagewright.llm import langid, mixing, ngram_join, suffix_search
 from pagewright.llm import line_dedup as lines
-from pagewright.llm import ngram_join, suffix_search
 from pagewright.llm.queries import table
 from pagewright.llm.shared import small, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no known language go."""
+    found = langid.identify(docs, langid.fit(docs), ["doc_id"], host="source")
+    gone = written(found.where("NOT accepted").select("doc_id").distinct())
+    return docs.join(small(gone), docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").select(COLUMNS)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated blocks of lines leave the later document; a document of which nothing is left goes."""
-    from pyspark.sql import functions as F
-
     out = lines.line_dedup(docs).where("lines_deleted = 0 OR trim(text) <> ''")
     return out.withColumn("n_chars", F.when(F.col("lines_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
@@ -32,10 +38,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return suffix_search.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
 
 
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document once at least, small sources up to twice, in 64 blocks of equal mixture."""
+    return mixing.mix(docs, blocks=64, seed=1, repeats=2.0).select(*COLUMNS, "pass", "block")
+
+
 STAGES = [
+    ("language_id", language_id),
     ("line_dedup", line_dedup),
     ("near_duplicates", near_duplicates),
     ("decontamination", decontamination),
+    ("mixture", mixture),
 ]
 
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import itq, licences, line_dedup, mixing, ngram_join, quality, suffix_search, token_counts
+from . import itq, langid, licences, line_dedup, logbilinear, mixing, ngram_join, quality, suffix_search, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "lines_deleted")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    out = logbilinear.score(table(spark, sf_dir, "documents"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -54,15 +60,27 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "digest", "licence", F.array_join("notices", ",").alias("notices"), "notice_lines")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (host: their source) and pages (declared language and host of their address) together."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    null = F.lit(None)
+    rows = docs.select("doc_id", null.cast("long").alias("page_id"), "text", null.cast("string").alias("declared"), F.col("source").alias("host")).union(
+        pages.select(null.cast("long"), "page_id", langid.page_text(F.col("html")), langid.page_language(F.col("html")), langid.page_host(F.col("url")))
+    )
+    return langid.identify(rows, langid.fit(docs), ["doc_id", "page_id"], declared="declared", host="host")
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_decontamination": op2_decontamination,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_token_counts": op4_token_counts,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_quality": op6_quality,
     "op7_line_dedup": op7_line_dedup,
     "op8_mixing": op8_mixing,
     "op9_licence_scan": op9_licence_scan,
+    "op10_language_id": op10_language_id,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
