@@ -21,8 +21,6 @@ and kept by callers that join; an empty table gives an empty result; without lab
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -65,29 +63,36 @@ def fit(docs: DataFrame, label: str = "lang", per_language: int = 400, doc_id: s
     return model
 
 
+def _softmax(logs: np.ndarray) -> np.ndarray:
+    e = np.exp(logs - logs.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
 def _likelihoods(model, names: list[str]):
+    """Adds per row: n (trigrams), stated (the declared language is known), own (log evidence of text and markup for each
+    language and `und`) and p (their posterior under equal priors)."""
+
     def run(batches):
-        tables = model.value
+        tables, k = model.value, len(names)
         flat = float(np.log(1 / BUCKETS))
+        equal = np.log(np.r_[np.full(k, (1 - OTHER) / max(k, 1)), OTHER])
+        says = {x: np.log(np.r_[[TRUST if x == y else (1 - TRUST) / max(k - 1, 1) for y in names], 1 / max(k, 1)]) for x in names}
+        silent = np.zeros(k + 1)
         for batch in batches:
             for part, raw, off in fp.chunks(batch, "text"):
                 code, row = trigrams(raw, off)
                 n = np.bincount(row, minlength=part.num_rows).astype(float)
                 weight = np.where(n > 0, STRENGTH / (n + STRENGTH), 0)
                 sums = [np.bincount(row, tables[x][code], part.num_rows) * weight for x in names]
-                every = np.stack([*sums, n * flat * weight], 1)
-                yield pa.RecordBatch.from_arrays([*part.drop_columns(["text"]).columns, pa.array(n.astype(np.int64)), pa.array(every.tolist(), pa.list_(pa.float64()))], [*[c for c in part.schema.names if c != "text"], "n", "fit"])
+                declared = part.column(part.schema.get_field_index("declared")).to_pylist()
+                own = np.stack([*sums, n * flat * weight], 1) + np.array([says.get(x, silent) for x in declared])
+                lists = [pa.array(x.tolist(), pa.list_(pa.float64())) for x in (own, _softmax(own + equal))]
+                cols = [part.column(i) for i, c in enumerate(part.schema.names) if c in ("key", "host")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(n.astype(np.int64)), pa.array([x in says for x in declared]), *lists], ["key", "host", "n", "stated", "own", "p"])
 
     return run
 
 
-def _softmax(logs: list[Column]) -> list[Column]:
-    top = reduce(lambda a, b: F.greatest(a, b), logs) if len(logs) > 1 else logs[0]
-    each = [F.exp(x - top) for x in logs]
-    total = reduce(lambda a, b: a + b, each)
-    return [x / total for x in each]
-
-
 def identify(rows: DataFrame, model: dict[str, np.ndarray], keys: list[str], text: str = "text", declared: str | None = None, host: str | None = None, least: float = 0.5) -> DataFrame:
     """Per row: `keys`, language, confidence, accepted.
 
@@ -103,38 +108,37 @@ def identify(rows: DataFrame, model: dict[str, np.ndarray], keys: list[str], tex
     base = rows.select(key, F.col(text).cast("string").alias("text"), given.alias("declared"), where.alias("host"))
     kind = base.schema["key"].dataType.simpleString()
     shared = spark.sparkContext.broadcast(model)
-    seen = written(base.mapInArrow(_likelihoods(shared, names), f"key {kind}, declared string, host string, n long, fit array<double>"))
+    seen = written(base.mapInArrow(_likelihoods(shared, names), f"key {kind}, host string, n long, stated boolean, own array<double>, p array<double>"))
     seen = seen.withColumn("suffix", F.nullif(F.regexp_extract("host", r"\.([^.]+)$", 1), F.lit("")))
 
-    k = len(names)
-    stated = F.coalesce(F.col("declared").isin(names), F.lit(False)) if names else F.lit(False)
-    says = [F.when(~stated, 0.0).when(F.col("declared") == x, float(np.log(TRUST))).otherwise(float(np.log((1 - TRUST) / max(k - 1, 1)))) for x in names] + [F.when(~stated, 0.0).otherwise(float(np.log(1 / max(k, 1))))]
-    own = [F.col("fit")[i] + says[i] for i in range(k + 1)]
-
     # priors: expected rows of each language, for all rows, each suffix and each host
-    flat = [float(np.log((1 - OTHER) / max(k, 1)))] * k + [float(np.log(OTHER))]
-    first = seen.select("host", "suffix", *(p.alias(f"p{i}") for i, p in enumerate(_softmax([x + f for x, f in zip(own, flat)]))))
-    sums = [F.sum(f"p{i}").alias(f"c{i}") for i in range(k)]
-    hosts = written(first.groupBy("host", "suffix").agg(*sums))
-    world = hosts.agg(*(F.sum(f"c{i}") for i in range(k))).first() if k else []
+    k = len(names)
+    array = lambda c, x: F.array(*(x(F.col(f"{c}{i}"), i) for i in range(k)))
+    hosts = written(seen.groupBy("host", "suffix").agg(*(F.sum(F.col("p")[i]).alias(f"c{i}") for i in range(k)), F.count(F.lit(1)).alias("rows")))
+    world = hosts.agg(F.count(F.lit(1)), *(F.sum(f"c{i}") for i in range(k))).first()[1:]
     n = sum(x or 0.0 for x in world)
     every = [((x or 0.0) + 1) / (n + k) for x in world]
-    total = lambda p: reduce(lambda a, b: a + b, (F.col(f"{p}{i}") for i in range(k))) if k else F.lit(0.0)
-    suffixes = hosts.where("suffix is not null").groupBy("suffix").agg(*(F.sum(f"c{i}").alias(f"s{i}") for i in range(k)))
-    suffixes = suffixes.select("suffix", *((F.col(f"s{i}") + SMOOTH * every[i]).alias(f"s{i}") for i in range(k)))
-    suffixes = suffixes.select("suffix", *((F.col(f"s{i}") / total("s")).alias(f"s{i}") for i in range(k)))
+    suffixes = hosts.where("suffix is not null").groupBy("suffix").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(k)), F.sum("rows").alias("rows"))
+    suffixes = suffixes.select("suffix", array("c", lambda c, i: c + F.lit(SMOOTH * every[i])).cast("array<double>").alias("of_suffix"))
+    suffixes = suffixes.select("suffix", _share("of_suffix").alias("of_suffix"))
     hosts = hosts.where("host is not null").join(suffixes, "suffix", "left")
-    hosts = hosts.select("host", *((F.col(f"c{i}") + SMOOTH * F.coalesce(F.col(f"s{i}"), F.lit(every[i]))).alias(f"h{i}") for i in range(k)))
-    hosts = small(written(hosts.select("host", *((F.col(f"h{i}") / total("h")).alias(f"h{i}") for i in range(k)))))
-
-    out = seen.join(hosts, "host", "left")
-    prior = [F.ln(F.coalesce(F.col(f"h{i}"), F.lit(every[i])) * (1 - OTHER)) for i in range(k)] + [F.lit(float(np.log(OTHER)))]
-    final = _softmax([x + p for x, p in zip(own, prior)])
-    ranked = F.array(*(F.struct(F.round(p, 9).alias("p"), F.lit(-i).alias("o"), F.lit(x).alias("l")) for i, (p, x) in enumerate(zip(final, [*names, "und"]))))
-    best = F.array_max(ranked)
-    out = out.withColumn("best", best)
-    accepted = (F.col("best.l") != "und") & (F.col("best.p") >= least) & ((F.col("n") > 0) | stated)
-    return out.select("key.*", F.col("best.l").alias("language"), F.col("best.p").alias("confidence"), accepted.alias("accepted"))
+    above = F.coalesce("of_suffix", F.array(*map(F.lit, every)).cast("array<double>"))
+    hosts = hosts.select("host", F.zip_with(array("c", lambda c, i: c).cast("array<double>"), above, lambda c, a: c + SMOOTH * a).alias("of_host"))
+    hosts = small(written(hosts.select("host", _share("of_host").alias("of_host"))))
+
+    prior = F.concat(F.transform(F.coalesce("of_host", F.array(*map(F.lit, every)).cast("array<double>")), lambda x: F.ln(x * (1 - OTHER))), F.array(F.lit(float(np.log(OTHER)))))
+    out = seen.join(hosts, "host", "left").select("key", "n", "stated", F.zip_with("own", prior, lambda x, y: x + y).alias("logs"))
+    out = out.select("key", "n", "stated", F.transform("logs", lambda x: F.exp(x - F.array_max("logs"))).alias("e"))
+    out = out.select("key", "n", "stated", F.transform(_share("e"), lambda x: F.round(x, 9)).alias("p"))
+    place = F.array_position("p", F.array_max("p")).cast("int")
+    language = F.element_at(F.array(*map(F.lit, [*names, "und"])), place)
+    out = out.select("key.*", language.alias("language"), F.array_max("p").alias("confidence"), "n", "stated")
+    accepted = (F.col("language") != "und") & (F.col("confidence") >= least) & ((F.col("n") > 0) | F.col("stated"))
+    return out.select(*keys, "language", "confidence", accepted.alias("accepted"))
+
+
+def _share(values: str) -> Column:
+    return F.transform(values, lambda x: x / F.aggregate(values, F.lit(0.0), lambda a, b: a + b))
 
 
 def page_text(html: Column) -> Column:
