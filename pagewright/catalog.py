@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import curate, evaluate
+
+QUERIES = {**evaluate.QUERIES, **curate.QUERIES}
+ORACLE_SQL = {**evaluate.ORACLE_SQL, **curate.ORACLE_SQL}
