@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..functions import quotes as q
 BLOCK_ROWS = 5_000
 VERBATIM, PUNCTUATION, MISSING = "逐字", "去标点", "未命中"
 GRAM, SHORT = 24, q.MIN_SEGMENT
+#: Anchors of segments that may be broadcast (8 bytes each).
+ANCHORS = 200_000
 
 
 def locate(segments: DataFrame, pages: DataFrame, key: str, segment: str, page_key: str, text: str) -> DataFrame:
@@ -32,22 +36,59 @@ def locate(segments: DataFrame, pages: DataFrame, key: str, segment: str, page_k
     return out
 
 
-def locate_indexed(segments: DataFrame, pages: DataFrame, key: str, segment: str, page_key: str, text: str) -> DataFrame:
-    """The same rows for a segment list that grows with the corpus.
+def _grams(text: str, width: int) -> np.ndarray:
+    """Hash of the window of `width` characters at each position."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(code) - width + 1
+    h = np.zeros(max(n, 0), np.uint64)
+    for i in range(width if n > 0 else 0):
+        h = (h ^ code[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
+
+
+def _anchors(batches):
+    """Of each segment: the hash of its first GRAM (or SHORT) characters, and that width."""
+    for batch in batches:
+        texts = batch.column(2).to_pylist()
+        width = [GRAM if len(t) >= GRAM else SHORT for t in texts]
+        anchor = [int(_grams(t[:w], w)[0]) for t, w in zip(texts, width)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(anchor, pa.int64()), pa.array(width, pa.int32())], [*batch.schema.names, "g", "w"])
 
-    A segment is looked up by its first GRAM characters (SHORT ones for shorter segments) in an index of all
-    positions of the pages: an equi-join, whose candidates are then searched.
-    """
-    s = segments.select(F.col(key).alias("__k"), q.squeezed(F.col(segment)).alias("__n1"), q.bare(F.col(segment)).alias("__n2")).where(F.length("__n2") >= SHORT)
-    s = s.withColumn("__w", F.when(F.length("__n2") >= GRAM, GRAM).otherwise(SHORT)).withColumn("__g", F.xxhash64(F.expr("substring(__n2, 1, __w)")))
-    anchors = s.select(F.col("__g").alias("__a"), F.col("__w").alias("__aw")).distinct()
-    p = pages.select(F.col(page_key).alias("__p"), q.squeezed(F.col(text)).alias("__t1"), q.bare(F.col(text)).alias("__t2"))
-    widths = F.array(F.lit(SHORT), F.lit(GRAM))
-    at = p.select("__p", "__t2", F.explode(widths).alias("__w")).where("length(__t2) >= __w")
-    at = at.select("__p", "__w", F.explode(F.expr("array_distinct(transform(sequence(1, length(__t2) - __w + 1), i -> xxhash64(substring(__t2, i, __w))))")).alias("__g"))
-    hits = at.join(anchors, (F.col("__g") == F.col("__a")) & (F.col("__w") == F.col("__aw"))).select("__p", "__g", "__w")
-    both = hits.join(s, ["__g", "__w"]).select("__p", "__k", "__n1", "__n2").join(p, "__p").where(F.contains("__t2", "__n2"))
-    return both.select(F.col("__k").alias(key), F.col("__p").alias(page_key), F.when(F.contains("__t1", "__n1"), VERBATIM).otherwise(PUNCTUATION).alias("band"))
 
+def _index(wanted):
+    """Distinct (hash, width) of each page's positions; of the wanted anchors only, if these were broadcast."""
 
+    def run(batches):
+        for batch in batches:
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for w in (SHORT, GRAM):
+                    h = np.unique(_grams(text, w))
+                    if wanted is not None:
+                        h = h[np.isin(h, wanted.value[w])]
+                    if len(h):
+                        at = pa.array(np.zeros(len(h), np.int32))
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1).take(at), pa.array(h), pa.array(np.full(len(h), w, np.int32))], ["p", "g", "w"])
 
+    return run
+
+
+def locate_indexed(segments: DataFrame, pages: DataFrame, key: str, segment: str, page_key: str, text: str) -> DataFrame:
+    """The same rows for a segment list that grows with the corpus.
+
+    A segment is looked up by its first GRAM characters (SHORT ones if it is shorter) in an index of the pages'
+    positions: an equi-join, whose candidates are then searched.  Up to ANCHORS distinct anchors are broadcast, so that
+    only their positions leave the scan; beyond it all positions go to the join.
+    """
+    spark = pages.sparkSession
+    s = segments.select(F.col(key).alias("k"), q.squeezed(F.col(segment)).alias("n1"), q.bare(F.col(segment)).alias("n2")).where(F.length("n2") >= SHORT)
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    s = s.mapInArrow(_anchors, f"k {kind(s, 'k')}, n1 string, n2 string, g long, w int")
+    p = pages.select(F.col(page_key).alias("p"), q.squeezed(F.col(text)).alias("t1"), q.bare(F.col(text)).alias("t2"))
+    some = s.select("g", "w").distinct().limit(ANCHORS + 1).collect()
+    wanted = None
+    if len(some) <= ANCHORS:
+        wanted = spark.sparkContext.broadcast({w: np.array(sorted(r.g for r in some if r.w == w), np.int64) for w in (SHORT, GRAM)})
+    at = p.select("p", "t2").mapInArrow(_index(wanted), f"p {kind(p, 'p')}, g long, w int")
+    both = at.join(s, ["g", "w"]).join(p, "p").where(F.contains("t2", "n2"))
+    return both.select(F.col("k").alias(key), F.col("p").alias(page_key), F.when(F.contains("t1", "n1"), VERBATIM).otherwise(PUNCTUATION).alias("band")).distinct()

@@ -17,7 +17,7 @@ def numeric_score(prediction: Column, reference: Column, question: Column) -> Co
     hit = fg.match_figures(ref, pred)
     echo = fg.match_figures(hit, asked)
     missing = F.array_join(F.array_sort(F.transform(F.array_except(ref, hit), fg.figure_text)), "、")
-    n, h, e = F.size(ref), F.size(hit), F.size(echo)
+    n, h, e = (F.size(x).cast("long") for x in (ref, hit, echo))
     return F.when(
         n > 0,
         F.struct(n.alias("n"), h.alias("hit"), e.alias("echo"), (h - e).alias("net"), F.bround(h / n, 3).alias("ratio"), F.bround((h - e) / n, 3).alias("net_ratio"), missing.alias("missing")),
