@@ -10,13 +10,17 @@ global order (rare shingles first) in an inverted index: token -> (size, positio
   groups, and verified.  What a leader's group has already answered (the members' common component) is not
   computed again: the index is probed only for partners outside it, and what is verified there extends it.
 
+A candidate pair then has to pass its signatures: a digest for each of about |set| / 2 ranges of fingerprints.  Ranges
+whose digests differ hold a shingle of one set alone, so their number bounds the overlap from above.
+
 The order only affects speed.  Shingles seen twice or more within a task are counted and the most frequent
 go last; all others follow by fingerprint.  Candidates are verified on whole texts, so no pair is lost to a
 sketch.  Nothing is enumerated within a group: leaders are grouped minima and the rest are equi-joins, whose
 long keys adaptive execution splits.
 
 Defined results: null, empty or blank text gives the empty set, which links with nothing; fewer than k words
-give one shingle; repeated rows of one doc_id with the same text are one document per row; extra columns are
+give one shingle; a row with a null id has its size and no component, and links nothing; repeated rows of one
+doc_id with the same text each get their row; extra columns are
 ignored, whatever their names; an empty table gives an empty result.
 """
 
@@ -47,12 +51,13 @@ def _sketch(k: int):
     def run(batches):
         for batch in batches:
             for part, raw, off in fp.chunks(batch, "text"):
-                n, d1, d2, bands = [], [], [], []
+                n, d1, d2, bands, sigs = [], [], [], [], []
                 for s in fp.shingle_sets(fp.Words(raw, off), k):
                     n.append(len(s))
                     m = fp.mix(s + fp.U(7))
                     d1.append(int(np.bitwise_xor.reduce(m)) if len(s) else 0)
                     d2.append(int(m.sum(dtype=fp.U)) if len(s) else 0)
+                    sigs.append(_signature(s, m))
                     if len(s) < 2:
                         bands.append([])
                         continue
@@ -66,13 +71,44 @@ def _sketch(k: int):
                 lens = np.array([0, *map(len, bands)]).cumsum().astype(np.int32)
                 flat = np.concatenate([np.asarray(b, np.int64) for b in bands]) if bands else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(np.array(d1, fp.U).view(np.int64)), pa.array(np.array(d2, fp.U).view(np.int64)), pa.ListArray.from_arrays(pa.array(lens), pa.array(flat))],
-                    ["id", "n", "d1", "d2", "bands"],
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(np.array(d1, fp.U).view(np.int64)), pa.array(np.array(d2, fp.U).view(np.int64)), pa.ListArray.from_arrays(pa.array(lens), pa.array(flat)), pa.array(sigs, pa.binary())],
+                    ["id", "n", "d1", "d2", "bands", "sig"],
                 )
 
     return run
 
 
+def _signature(s: np.ndarray, mixed: np.ndarray) -> bytes:
+    """A byte for each of 2**g equal ranges: exclusive or of one byte of each member's hash."""
+    if not len(s):
+        return b""
+    g = max(3, int(len(s) - 1).bit_length() - 1)
+    group = (s >> fp.U(64 - g)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    out = np.zeros(1 << g, np.uint8)
+    out[group[first]] = np.bitwise_xor.reduceat((mixed & fp.U(255)).astype(np.uint8), first)
+    return out.tobytes()
+
+
+def _possible(percent: int):
+    """Of pairs with sizes and signatures, those whose differing ranges still allow the threshold."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            keep = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint8) for c in (4, 5))
+                while len(x) > len(y):
+                    x = x[::2] ^ x[1::2]
+                while len(y) > len(x):
+                    y = y[::2] ^ y[1::2]
+                keep[i] = (100 + percent) * np.count_nonzero(x != y) <= (100 - percent) * (na[i] + nb[i])
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+    return run
+
+
 _EDGES = np.arange(BINS, dtype=fp.U) * fp.U((1 << 64) // BINS)
 
 
@@ -81,7 +117,7 @@ def _frequent(k: int):
 
     def run(batches):
         for batch in batches:
-            for _, raw, off in fp.chunks(batch, "text", 4 * fp.CHUNK_BYTES):
+            for _, raw, off in fp.chunks(batch, "text", 2 * fp.CHUNK_BYTES):
                 sets = list(fp.shingle_sets(fp.Words(raw, off), k))
                 every = np.sort(np.concatenate(sets)) if sets else np.zeros(0, fp.U)
                 first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, int)
@@ -93,14 +129,15 @@ def _frequent(k: int):
 
 
 def _prefixes(k: int, percent: int, common):
-    """Index entries of every set: token, position, size, and whether the entry serves as the shorter side."""
+    """Index entries of every set: token, the two before it, position, size, and a flag: 1 if the entry serves as the
+    shorter side, 2 if its token is known to be frequent."""
 
     def run(batches):
         tokens, weight = common.value
         for batch in batches:
             for part, raw, off in fp.chunks(batch, "text"):
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                out = [[], [], [], [], []]
+                out = [[], [], [], [], [], [], []]
                 for i, s in zip(ids, fp.shingle_sets(fp.Words(raw, off), k)):
                     n = len(s)
                     if not n:
@@ -123,9 +160,11 @@ def _prefixes(k: int, percent: int, common):
                     out[2].append(np.full(probe, n, np.int32))
                     out[3].append(np.full(probe, i, np.int64))
                     out[4].append((np.arange(probe) < index) + 2 * (w > 0))
+                    out[5].append(np.r_[fp.U(0), p[:-1]])
+                    out[6].append(np.r_[fp.U(0), fp.U(0), p[:-2]][:probe])
                 if out[0]:
-                    t, p, n, i, f = map(np.concatenate, out)
-                    yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(p), pa.array(n), pa.array(i), pa.array(f.astype(np.int8))], ["token", "pos", "n", "id", "flag"])
+                    t, p, n, i, f, t1, t2 = map(np.concatenate, out)
+                    yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(p), pa.array(n), pa.array(i), pa.array(f.astype(np.int8)), pa.array(t1.view(np.int64)), pa.array(t2.view(np.int64))], ["token", "pos", "n", "id", "flag", "t1", "t2"])
 
     return run
 
@@ -153,9 +192,12 @@ def _one(last, side, key, batch, column, i, k):
     return last[side][1]
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of ids whose whole texts' sets reach the threshold."""
-    pairs = written(pairs)
+def verified(pairs: DataFrame, texts: DataFrame, sigs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ids whose whole texts' sets reach the threshold; sigs: id, n, sig."""
+    x = sigs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("x"))
+    y = sigs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("y"))
+    pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y")
+    pairs = written(pairs.mapInArrow(_possible(percent), "a long, b long"))
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     have = written(texts.join(small(ids), "id", "left_semi"))
     x = have.select(F.col("id").alias("a"), F.col("text").alias("x"))
@@ -172,35 +214,38 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: s
     Two documents link when 100 * |A & B| >= percent * |A | B|; component_id is the smallest id reachable.
     """
     spark = docs.sparkSession
-    texts = _column(docs, doc_id, text)
-    doc = written(texts.mapInArrow(_sketch(k), "id long, n long, d1 long, d2 long, bands array<long>"))
+    every = _column(docs, doc_id, text)
+    texts = every.where("id is not null")
+    doc = written(every.mapInArrow(_sketch(k), "id long, n long, d1 long, d2 long, bands array<long>, sig binary"))
     key = ["n", "d1", "d2"]
-    classes = doc.where("n > 0").groupBy(key).agg(F.min("id").alias("rep"))
-    member = written(doc.select("id", *key).join(classes, key, "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
+    classes = doc.where("n > 0 and id is not null").groupBy(key).agg(F.min("id").alias("rep"))
+    member = written(doc.select("id", *key).join(classes, key, "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")))
+    sigs = doc.select("id", "n", "sig")
     heads = doc.join(member.where("id = rep and n > 0").select("id").distinct(), "id", "left_semi")
 
     # Answers of highly similar sets first: each set against the smallest member of its signature groups.
     sig = heads.select("id", F.posexplode("bands").alias("band", "sig"))
     lead = sig.groupBy("band", "sig").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "sig", "a")
-    near = verified(sig.join(lead, ["band", "sig"]).where("a <> id").select("a", F.col("id").alias("b")).distinct(), texts, k, percent)
+    near = verified(sig.join(lead, ["band", "sig"]).where("a <> id").select("a", F.col("id").alias("b")).distinct(), texts, sigs, k, percent)
     known = written(components(near))
 
     # The rest through the index, skipping whatever is answered.
     seen = texts.mapInArrow(_frequent(k), "token long, seen long").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= ORDER_LEAST)
     rows = sorted((int(np.array(r.token).view(np.uint64)), r.seen) for r in seen.orderBy(F.desc("seen"), "token").limit(ORDER_ROWS).collect())
     common = spark.sparkContext.broadcast((np.array([t for t, _ in rows], fp.U), np.array([s for _, s in rows], np.int64)))
-    entry = texts.mapInArrow(_prefixes(k, percent, common), "token long, pos int, n int, id long, flag byte")
-    reps = heads.select("id")
+    entry = texts.mapInArrow(_prefixes(k, percent, common), "token long, pos int, n int, id long, flag byte, t1 long, t2 long")
     entry = entry.join(small(written(member.where("id <> rep").select("id").distinct())), "id", "left_anti").join(small(known), F.col("id") == F.col("node"), "left")
     # Blocks by size, of lists known to be long: a partner's size differs by at most one block.
     step = float(np.log(100 / percent))
     block = F.when(F.col("flag") >= 2, F.floor(F.log(F.col("n").cast("double")) / step).cast("int") + 1).otherwise(0)
-    entry = entry.select("token", "pos", "n", "id", F.coalesce("component", "id").alias("comp"), (F.col("flag") % 2 == 1).alias("short"), block.alias("block"))
-    a = entry.where("short").select("token", "block", F.col("pos").alias("ap"), F.col("n").alias("an"), F.col("id").alias("a"), F.col("comp").alias("ac"))
-    b = entry.select("token", F.explode(F.expr("if(block = 0, array(0), array(block - 1, block))")).alias("block"), F.col("pos").alias("bp"), F.col("n").alias("bn"), F.col("id").alias("b"), F.col("comp").alias("bc"))
-    fits = F.expr(f"ac <> bc and (an < bn or (an = bn and a < b)) and 100L * an >= {percent}L * bn and {100 + percent}L * least(an - ap, bn - bp) >= {percent}L * (an + bn)")
+    entry = entry.select("token", "t1", "t2", "pos", "n", "id", F.coalesce("component", "id").alias("comp"), (F.col("flag") % 2 == 1).alias("short"), block.alias("block"))
+    a = entry.where("short").select("token", "block", F.col("pos").alias("ap"), F.col("n").alias("an"), F.col("id").alias("a"), F.col("comp").alias("ac"), F.col("t1").alias("a1"), F.col("t2").alias("a2"))
+    b = entry.select("token", F.explode(F.expr("if(block = 0, array(0), array(block - 1, block))")).alias("block"), F.col("pos").alias("bp"), F.col("n").alias("bn"), F.col("id").alias("b"), F.col("comp").alias("bc"), F.col("t1").alias("b1"), F.col("t2").alias("b2"))
+    # a pair that also shares one of the tokens before was met there; 0 stands for none before
+    met = "(a1 <> 0 and (a1 = b1 or a1 = b2)) or (a2 <> 0 and (a2 = b1 or a2 = b2))"
+    fits = F.expr(f"ac <> bc and not ({met}) and (an < bn or (an = bn and a < b)) and 100L * an >= {percent}L * bn and {100 + percent}L * least(an - ap, bn - bp) >= {percent}L * (an + bn)")
     found = a.join(b, (a.token == b.token) & (a.block == b.block) & fits).select("a", "b").distinct()
-    far = verified(found, texts, k, percent)
+    far = verified(found, texts, sigs, k, percent)
     all_edges = near.union(far)
     comp = components(all_edges)
     out = member.join(comp, F.col("rep") == F.col("node"), "left")
