@@ -29,8 +29,9 @@ EQUIVALENT = [
     ("https?://", "https "),
     ("&", " and "),
 ]
-#: Lines that begin like this state who holds the rights, not under which terms.
-COPYRIGHT_LINE = r"(?m)^[ \t*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Lines that begin like this state who holds the rights, not under which terms.  A sign or a year has to follow, as
+#: "copyright holders" may well begin a wrapped line of the terms.
+COPYRIGHT_LINE = r"(?m)^[ \t*#/;-]*(copyright[ \t]*(\(c\)|©|[0-9])|\(c\)[ \t]*[0-9]|©|all rights reserved)[^\n]*"
 
 _WARRANTY = (
     'The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of '
@@ -128,7 +129,7 @@ def known_texts() -> list[tuple[str, str]]:
 
 def canonical(text: Column) -> Column:
     """The text without case, copyright lines, variant spellings, punctuation and spacing; null if nothing is left."""
-    x = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
+    x = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " "), r"\s+", " ")
     for pattern, to in EQUIVALENT:
         x = F.regexp_replace(x, pattern, to) if any(c in pattern for c in "[?") else F.replace(x, F.lit(pattern), F.lit(to))
     x = F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "))
