@@ -238,12 +238,16 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: s
     # Blocks by size, of lists known to be long: a partner's size differs by at most one block.
     step = float(np.log(100 / percent))
     block = F.when(F.col("flag") >= 2, F.floor(F.log(F.col("n").cast("double")) / step).cast("int") + 1).otherwise(0)
-    entry = entry.select("token", "t1", "t2", "pos", "n", "id", F.coalesce("component", "id").alias("comp"), (F.col("flag") % 2 == 1).alias("short"), block.alias("block"))
-    a = entry.where("short").select("token", "block", F.col("pos").alias("ap"), F.col("n").alias("an"), F.col("id").alias("a"), F.col("comp").alias("ac"), F.col("t1").alias("a1"), F.col("t2").alias("a2"))
-    b = entry.select("token", F.explode(F.expr("if(block = 0, array(0), array(block - 1, block))")).alias("block"), F.col("pos").alias("bp"), F.col("n").alias("bn"), F.col("id").alias("b"), F.col("comp").alias("bc"), F.col("t1").alias("b1"), F.col("t2").alias("b2"))
+    entry = entry.select("token", "t1", "t2", "pos", "n", "id", F.coalesce("component", "id").alias("comp"), (F.col("flag") % 2).cast("int").alias("short"), block.alias("own"))
+    entry = entry.select("*", F.explode(F.expr("if(own = 0, array(0), array(own - 1, own))")).alias("block"))
+    # both sides are the same rows under other names, so that one exchange serves both; only an entry in its own block
+    # may be the shorter side (asked for in terms of both sides, or the filter would part the exchanges)
+    cols = ["token", "block", "t1", "t2", "pos", "n", "id", "comp", F.when(F.col("own") == F.col("block"), F.col("short")).otherwise(0).alias("role")]
+    a = entry.select(*cols).toDF("token", "block", "a1", "a2", "ap", "an", "a", "ac", "ar")
+    b = entry.select(*cols).toDF("token", "block", "b1", "b2", "bp", "bn", "b", "bc", "br")
     # a pair that also shares one of the tokens before was met there; 0 stands for none before
     met = "(a1 <> 0 and (a1 = b1 or a1 = b2)) or (a2 <> 0 and (a2 = b1 or a2 = b2))"
-    fits = F.expr(f"ac <> bc and not ({met}) and (an < bn or (an = bn and a < b)) and 100L * an >= {percent}L * bn and {100 + percent}L * least(an - ap, bn - bp) >= {percent}L * (an + bn)")
+    fits = F.expr(f"ar + br >= br + 1 and ac <> bc and not ({met}) and (an < bn or (an = bn and a < b)) and 100L * an >= {percent}L * bn and {100 + percent}L * least(an - ap, bn - bp) >= {percent}L * (an + bn)")
     found = a.join(b, (a.token == b.token) & (a.block == b.block) & fits).select("a", "b").distinct()
     far = verified(found, texts, sigs, k, percent)
     all_edges = near.union(far)
