@@ -85,6 +85,19 @@ QUERIES = {
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _canonical(x: str) -> str:
+    x = f"regexp_replace(regexp_replace(lower({x}), {_text(licences.COPYRIGHT_LINE)}, ' ', 'g'), '\\s+', ' ', 'g')"
+    for pattern, to in licences.EQUIVALENT:
+        x = f"regexp_replace({x}, {_text(pattern)}, {_text(to)}, 'g')"
+    return f"nullif(trim(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), '')"
+
+
 ORACLE_SQL = {
     "op1_ngram_jaccard": f"""
 WITH RECURSIVE d AS (
@@ -116,4 +129,35 @@ i AS (SELECT doc_id, count(DISTINCT id) AS n, string_agg(DISTINCT id, ',' ORDER
 SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items,
   sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
 FROM dw LEFT JOIN h ON h.doc_id = dw.doc_id LEFT JOIN i ON i.doc_id = dw.doc_id""",
+    "op5_embedding_near_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95),
+r AS (SELECT vec_id, vec_id AS m FROM embeddings UNION SELECT r.vec_id, e.b FROM r JOIN e ON r.m = e.a)
+SELECT r.vec_id, (SELECT count(*) FROM e WHERE e.a = r.vec_id) AS n_links, min(r.m) AS component_id, r.vec_id = min(r.m) AS kept
+FROM r GROUP BY r.vec_id""",
+    "op8_mixing": """
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n FROM documents),
+s AS (SELECT source, sum(n)::BIGINT AS tokens FROM d GROUP BY source),
+p AS (SELECT source, tokens, tokens / sum(tokens) OVER () AS p, sum(tokens) OVER () AS total FROM s),
+x AS (SELECT greatest(0, 1 - ln(2) / nullif(ln(max(p) / min(p)), 0)) AS t, max(p) AS most FROM p WHERE p > 0),
+b AS (SELECT source, tokens, CASE WHEN p > 0 THEN round(total * pow(p, coalesce(t, 0)) * pow(x.most, 1 - coalesce(t, 0))) ELSE 0 END::BIGINT AS most FROM p, x),
+u AS (
+  SELECT doc_id, d.source, n, tokens, most, unnest(range(0, CASE WHEN tokens > 0 THEN ceil(most / tokens) ELSE 1 END::BIGINT)) AS pass
+  FROM d JOIN b ON b.source = d.source),
+o AS (
+  SELECT *, pass * tokens + coalesce(sum(n) OVER (PARTITION BY source, pass ORDER BY md5(concat('1|', pass, '|', doc_id)), doc_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM u)
+SELECT doc_id, source, pass::INT AS pass, CASE WHEN tokens = 0 THEN 0 ELSE least(63, floor(start * 64 / most)) END::INT AS block, n AS n_tokens
+FROM o WHERE start < most OR tokens = 0""",
+    "op9_licence_scan": f"""
+WITH k AS (
+  SELECT md5({_canonical('t')}) AS digest, min(licence) AS licence FROM (VALUES {', '.join(f"({_text(x)}, {_text(t)})" for x, t in licences.known_texts())}) v(licence, t) GROUP BY 1),
+d AS (SELECT row_number() OVER () AS i, doc_id, text FROM documents),
+l AS (SELECT i, md5({_canonical('line')}) AS digest FROM (SELECT i, unnest(string_split(text, chr(10))) AS line FROM d)),
+n AS (SELECT i, count(*) AS lines, array_to_string(list_sort(list_distinct(list(licence))), ',') AS notices FROM l JOIN k ON k.digest = l.digest GROUP BY i)
+SELECT doc_id, md5({_canonical('text')}) AS digest, k.licence, coalesce(notices, '') AS notices, coalesce(lines, 0)::INT AS notice_lines
+FROM d LEFT JOIN k ON k.digest = md5({_canonical('text')}) LEFT JOIN n ON n.i = d.i""",
 }
