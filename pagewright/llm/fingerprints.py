@@ -17,7 +17,7 @@ U = np.uint64
 _MULT = 0x9E3779B97F4A7C15 | 1
 _BASE = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2**64
 _INV = pow(_BASE, -1, 1 << 64)
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, written
+from .shared import bounded, components, written
 
 SAMPLE = 20_000
 TABLES = 12
@@ -99,7 +99,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id
     classes = written(valid.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("many")))
     n = classes.count()
     width = int(np.clip(np.ceil(np.log2(max(n, 2))), 8, 40))
-    sample = classes.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("v").toPandas()["v"]
+    sample = bounded(classes.select("rep", "v"), ["rep"], SAMPLE, n).select("v").toPandas()["v"]
     x = np.array(sample.tolist(), float).reshape(-1, d)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     mean = x.mean(0) if len(x) else np.zeros(d)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fingerprints as fp
-from .shared import small, written
+from .shared import bounded, small, written
 
 BUCKETS = 1 << 16
 MAX_BYTES = 20_000
@@ -53,10 +53,11 @@ def trigrams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, label: str = "lang", per_language: int = 400, doc_id: str = "doc_id", text: str = "text") -> dict[str, np.ndarray]:
     """Log-probability tables (float32) of the languages that are labelled, by name."""
     doc = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("t"), F.col(label).cast("string").alias("l")).where(F.octet_length("t").between(200, MAX_BYTES) & F.col("l").isNotNull())
-    names = sorted(r.l for r in doc.groupBy("l").count().orderBy(F.desc("count"), "l").limit(64).collect())
+    sizes = {r.l: r["count"] for r in doc.groupBy("l").count().orderBy(F.desc("count"), "l").limit(64).collect()}
+    names = sorted(sizes)
     model = {}
     for name in names:
-        rows = doc.where(F.col("l") == name).select("t").orderBy(F.xxhash64("id", "t")).limit(per_language).toPandas()
+        rows = bounded(doc.where(F.col("l") == name).select("id", "t"), ["id", "t"], per_language, sizes[name]).select("t").toPandas()
         raw, off = fp.flat(pa.array(rows["t"].tolist(), pa.large_string()))
         count = np.bincount(trigrams(raw, off)[0], minlength=BUCKETS)
         model[name] = np.log((count + 0.5) / (count.sum() + 0.5 * BUCKETS)).astype(np.float32)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import fingerprints as fp
+from .shared import bounded
 
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
@@ -156,8 +157,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     size = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("t")).where(F.octet_length("t") <= MAX_BYTES)
     chosen = None
     both = size.select("id").join(known, "id")
+    sizes = {r.y: r["count"] for r in both.groupBy("y").count().collect()}
     for y in (0, 1):
-        some = both.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
+        some = bounded(both.where(F.col("y") == y), ["id"], per_class, sizes.get(y, 0))
         chosen = some if chosen is None else chosen.union(some)
     rows = size.join(F.broadcast(chosen), "id").select("id", "t", "y").toPandas().sort_values("id", kind="stable")
     return train(rows["t"].tolist(), rows["y"].to_numpy(np.int64))

@@ -43,6 +43,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def bounded(df: DataFrame, keys: list[str], rows: int, n: int) -> DataFrame:
+    """The `rows` rows of `df` (of `n`) that come first by a hash of their keys.
+
+    Twice as many are let through by the hash itself, in the scan, so that what reaches the last sort is bounded by
+    `rows` and not by tasks times `rows`.
+    """
+    h = F.xxhash64(*keys)
+    if n > 4 * rows:
+        df = df.where(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * 2 * rows / n) + 1)
+        h = F.pmod(h, F.lit(1 << 40))
+    return df.orderBy(h, *keys).limit(rows)
+
+
 def _forest(batches):
     """Edges of a task replaced by a spanning forest whose roots are the smallest ids; memory is bounded by flushing."""
     import numpy as np

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import fingerprints as fp
 
-SHARD_BYTES = 6_000_000
+SHARD_BYTES = 3_000_000
 BLOCK_BYTES = 8_000_000
 U = fp.U
 
