@@ -18,6 +18,8 @@ _MULT = 0x9E3779B97F4A7C15 | 1
 _BASE = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2**64
 _INV = pow(_BASE, -1, 1 << 64)
 CHUNK_BYTES = 1_000_000
+#: Rows whose bytes are laid out at once.
+SLICE_ROWS = 1_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -69,12 +71,15 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(batch: pa.RecordBatch, text: str, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch whose texts hold at most about `most` bytes (a longer text is a slice alone)."""
-    raw, off = flat(batch.column(batch.schema.get_field_index(text)))
-    i, n = 0, batch.num_rows
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
-        yield batch.slice(i, j - i), raw[off[i] : off[j]], off[i : j + 1] - off[i]
-        i = j
+    at = batch.schema.get_field_index(text)
+    for first in range(0, batch.num_rows, SLICE_ROWS):
+        some = batch.slice(first, SLICE_ROWS)
+        raw, off = flat(some.column(at))
+        i = 0
+        while i < some.num_rows:
+            j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
+            yield some.slice(i, j - i), raw[off[i] : off[j]], off[i : j + 1] - off[i]
+            i = j
 
 
 class Words:
