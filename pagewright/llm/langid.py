@@ -2,8 +2,9 @@
 
 Four kinds of evidence are multiplied for every language:
 
-* the text: a character trigram model per language, learned here from a bounded sample of labelled texts (the
-  `per_language` of each language, of at most MAX_BYTES each, smallest by a hash of the id).  A long text
+* the text: a character trigram model for every labelled language, learned here from a bounded sample of labelled texts
+  (the `per_language` different ones of each language, of 200 to MAX_BYTES bytes each, smallest by a hash of id and text;
+  a language without texts of that length has whole shorter or longer ones).  A long text
   counts as at most STRENGTH independent trigrams, as neighbouring ones say much the same;
 * the language that markup declares (right with probability TRUST);
 * the host, and the suffix of its address: priors counted by grouped aggregation of the first two, where a host is smoothed by
@@ -16,7 +17,8 @@ Only sums per host leave the scan; a host with a third of all rows is one row of
 
 Defined results: null, empty and letterless texts have flat text evidence; a null or unknown declared language, host or
 suffix has none; ties go to the alphabetically first language; repeated rows each count; extra columns are ignored
-and kept by callers that join; an empty table gives an empty result; without labelled texts every row is `und`.
+and kept by callers that join; an empty table gives an empty result; without labelled texts every row is `und`; a
+label none of whose texts has a letter is no language.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from . import fingerprints as fp
-from .shared import bounded, small, written
+from .shared import small, written
 
 BUCKETS = 1 << 16
 MAX_BYTES = 20_000
@@ -50,18 +53,45 @@ def trigrams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code[keep].astype(np.int64), row[:-2][keep]
 
 
-def fit(docs: DataFrame, label: str = "lang", per_language: int = 400, doc_id: str = "doc_id", text: str = "text") -> dict[str, np.ndarray]:
-    """Log-probability tables (float32) of the languages that are labelled, by name."""
-    doc = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("t"), F.col(label).cast("string").alias("l")).where(F.octet_length("t").between(200, MAX_BYTES) & F.col("l").isNotNull())
-    sizes = {r.l: r["count"] for r in doc.groupBy("l").count().orderBy(F.desc("count"), "l").limit(64).collect()}
-    names = sorted(sizes)
-    model = {}
-    for name in names:
-        rows = bounded(doc.where(F.col("l") == name).select("id", "t"), ["id", "t"], per_language, sizes[name]).select("t").toPandas()
-        raw, off = fp.flat(pa.array(rows["t"].tolist(), pa.large_string()))
-        count = np.bincount(trigrams(raw, off)[0], minlength=BUCKETS)
-        model[name] = np.log((count + 0.5) / (count.sum() + 0.5 * BUCKETS)).astype(np.float32)
-    return model
+def _counts(batches):
+    """Trigram counts of a batch's texts by label: l, code, n."""
+    for batch in batches:
+        for part, raw, off in fp.chunks(batch, "t"):
+            code, row = trigrams(raw, off)
+            labels = part.column(part.schema.get_field_index("l")).dictionary_encode()
+            of = labels.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            both, n = np.unique(of[row] * BUCKETS + code, return_counts=True)
+            yield pa.RecordBatch.from_arrays([labels.dictionary.take(pa.array(both // BUCKETS)), pa.array((both % BUCKETS).astype(np.int32)), pa.array(n.astype(np.int64))], ["l", "code", "n"])
+
+
+def _table(counts: pa.Table) -> pa.Table:
+    """A label's log-probabilities: of the buckets that it has, and of any other.  Half a count is added to each bucket,
+    or less where that would outweigh the counts, so that a label with little text is not taken for a flat one."""
+    code, n = (np.asarray(counts.column(c).combine_chunks()) for c in ("code", "n"))
+    order = np.argsort(code)
+    add = min(0.5, n.sum() / BUCKETS)
+    total = n.sum() + add * BUCKETS
+    logs = np.log((n[order] + add) / total).astype(np.float32)
+    return pa.table([counts.column("l").slice(0, 1), pa.array([code[order].astype(np.uint16).tobytes()]), pa.array([logs.tobytes()]), pa.array([np.log(add / total)])], names=["l", "code", "logs", "other"])
+
+
+def fit(docs: DataFrame, label: str = "lang", per_language: int = 400, doc_id: str = "doc_id", text: str = "text") -> dict[str, tuple]:
+    """Log-probability tables (buckets, their float32 values, the value of all other buckets) of every language that is
+    labelled, by name.  Texts are counted where they are read; a language takes one row of at most BUCKETS entries from there.
+    """
+    doc = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("t"), F.col(label).cast("string").alias("l"))
+    doc = doc.where(F.col("l").isNotNull() & (F.octet_length("t") >= 3) & F.col("t").rlike(r"[A-Za-z]|[^\x00-\x7F]"))
+    doc = doc.withColumn("h", F.pmod(F.xxhash64("id", "t"), F.lit(1 << 40))).withColumn("fits", F.octet_length("t").between(200, MAX_BYTES))
+    sizes = doc.groupBy("l").agg(F.approx_count_distinct(F.when(F.col("fits"), F.col("h"))).alias("some"), F.approx_count_distinct("h").alias("every"))
+    sizes = small(written(sizes.select("l", (F.col("some") == 0).alias("short"), F.when(F.col("some") > 0, F.col("some")).otherwise(F.col("every")).alias("n"))))
+    doc = doc.join(sizes, "l").where("fits OR short")
+    # of a label with many texts about twice as many as needed are ranked
+    first = doc.where((F.col("n") <= 4 * per_language) | (F.col("h") < F.lit(float(1 << 40)) * 2 * per_language / F.col("n"))).select("l", "h").distinct()
+    first = first.withColumn("place", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("place") <= per_language)
+    last = small(written(first.groupBy("l").agg(F.max("h").alias("last"))))
+    counts = doc.join(last, "l").where("h <= last").select("l", "t").mapInArrow(_counts, "l string, code int, n long")
+    tables = counts.groupBy("l", "code").agg(F.sum("n").alias("n")).groupBy("l").applyInArrow(_table, "l string, code binary, logs binary, other double")
+    return {r.l: (np.frombuffer(r.code, np.uint16), np.frombuffer(r.logs, np.float32), r.other) for r in tables.toLocalIterator()}
 
 
 def _softmax(logs: np.ndarray) -> np.ndarray:
@@ -77,24 +107,33 @@ def _likelihoods(model, names: list[str]):
         tables, k = model.value, len(names)
         flat = float(np.log(1 / BUCKETS))
         equal = np.log(np.r_[np.full(k, (1 - OTHER) / max(k, 1)), OTHER])
-        says = {x: np.log(np.r_[[TRUST if x == y else (1 - TRUST) / max(k - 1, 1) for y in names], 1 / max(k, 1)]) for x in names}
-        silent = np.zeros(k + 1)
+        number = {x: i for i, x in enumerate(names)}
         for batch in batches:
             for part, raw, off in fp.chunks(batch, "text"):
                 code, row = trigrams(raw, off)
                 n = np.bincount(row, minlength=part.num_rows).astype(float)
                 weight = np.where(n > 0, STRENGTH / (n + STRENGTH), 0)
-                sums = [np.bincount(row, tables[x][code], part.num_rows) * weight for x in names]
+                sums = []
+                for x in names:
+                    at, logs, other = tables[x]
+                    table = np.full(BUCKETS, other, np.float32)
+                    table[at] = logs
+                    sums.append(np.bincount(row, table[code], part.num_rows) * weight)
                 declared = part.column(part.schema.get_field_index("declared")).to_pylist()
-                own = np.stack([*sums, n * flat * weight], 1) + np.array([says.get(x, silent) for x in declared])
+                own = np.stack([*sums, n * flat * weight], 1)
+                said = np.array([number.get(x, -1) for x in declared], np.int64)
+                r = np.flatnonzero(said >= 0)
+                true = own[r, said[r]] + np.log(TRUST)
+                own[r] += np.log(np.r_[np.full(k, (1 - TRUST) / max(k - 1, 1)), 1 / max(k, 1)])
+                own[r, said[r]] = true
                 lists = [pa.array(x.tolist(), pa.list_(pa.float64())) for x in (own, _softmax(own + equal))]
                 cols = [part.column(i) for i, c in enumerate(part.schema.names) if c in ("key", "host")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(n.astype(np.int64)), pa.array([x in says for x in declared]), *lists], ["key", "host", "n", "stated", "own", "p"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(n.astype(np.int64)), pa.array(said >= 0), *lists], ["key", "host", "n", "stated", "own", "p"])
 
     return run
 
 
-def identify(rows: DataFrame, model: dict[str, np.ndarray], keys: list[str], text: str = "text", declared: str | None = None, host: str | None = None, least: float = 0.5) -> DataFrame:
+def identify(rows: DataFrame, model: dict[str, tuple], keys: list[str], text: str = "text", declared: str | None = None, host: str | None = None, least: float = 0.5) -> DataFrame:
     """Per row: `keys`, language, confidence, accepted.
 
     declared: column of the language that markup states ('de' or 'de-AT'); host: column of the host's name,

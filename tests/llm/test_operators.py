@@ -299,6 +299,22 @@ def test_language_id(spark):
     assert {r.language for r in langid.identify(docs, {}, ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_id_has_every_label(spark):
+    rng = random.Random(6)
+    names = [f"l{i:02d}" for i in range(70)]
+    parts = {x: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(6)] for x in names}
+    text = lambda x, n: " ".join(rng.choice(parts[x]) for _ in range(n))
+    size = lambda x: 20 if x == "l68" else 4000 if x == "l69" else 80  # noqa: E731 (l68: under 200 bytes, l69: over 20,000)
+    docs = [(i, text(x, size(x)), x) for i, x in enumerate(names * 2 + names[:66] * 2)]
+    docs += [(900, "12 34", "none"), (901, None, "none"), (902, "ab", None)]
+    model = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert sorted(model) == names
+    rows = [(i, text(x, 40), None) for i, x in enumerate(names)] + [(100 + i, "1", x) for i, x in enumerate(names)] + [(999, "qxz jvk wwq kkj zzx qqj xxv vvk jjq", None)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, d string"), model, ["doc_id"], declared="d").collect()}
+    assert all(got[i].language == x and got[i].accepted for i, x in enumerate(names))
+    assert not got[999].accepted
+
+
 def test_pages_evidence(spark):
     html = '<html CLASS=x lang="de-AT"><script>if (a<b) x()</script><!-- c --><p>Zu <b>und</b></p>'
     r = spark.createDataFrame([(html, "https://me@www.Example.de:80/x?y#z")], "h string, u string").select(langid.page_language(F.col("h")).alias("l"), langid.page_host(F.col("u")).alias("u"), langid.page_text(F.col("h")).alias("t")).first()
