@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from pagewright.llm import langid, mixing, ngram_join, suffix_search
 from pagewright.llm import line_dedup as lines
 from pagewright.llm.queries import table
-from pagewright.llm.shared import small, written
+from pagewright.llm.shared import keyed, small, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no known language go."""
-    found = langid.identify(docs, langid.fit(docs), ["doc_id"], host="source")
-    gone = written(found.where("NOT accepted").select("doc_id").distinct())
-    return docs.join(small(gone), docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").select(COLUMNS)
+    keys = ["doc_id", "source", "digest"]  # text and source decide, so that equal rows go or stay together
+    docs = docs.withColumn("digest", F.md5("text"))
+    found = langid.identify(docs, langid.fit(docs), keys, host="source")
+    gone = written(found.where("NOT accepted").select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct())
+    same = [F.col(f"__{k}").eqNullSafe(docs[k]) for k in keys]
+    return docs.join(small(gone), same, "left_anti").select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +30,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of the n-gram join stays."""
-    found = ngram_join.ngram_jaccard_join(docs)
-    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(small(gone), "doc_id", "left_anti").select(COLUMNS)
+    """The document with the smallest id of each component of the n-gram join stays; rows are told apart by a number of
+    their own where ids are null (then last) or repeated, and one of equal repeated rows stays."""
+    if keyed(docs, "doc_id"):
+        found = ngram_join.ngram_jaccard_join(docs)
+        gone = written(found.where("doc_id <> component_id").select("doc_id").distinct())
+        return docs.join(small(gone), "doc_id", "left_anti").select(COLUMNS)
+    docs = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
+    found = written(ngram_join.ngram_jaccard_join(docs, doc_id="row").select(F.col("doc_id").alias("row"), "component_id"))
+    rows = found.join(docs.select("row", "doc_id", F.md5("text").alias("digest")), "row")
+    first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "digest")).alias("x")).select("x.*")
+    # texts without words link with nothing: of equal ones that share an id one stays
+    stays = first.groupBy("doc_id", "digest", F.when(F.col("doc_id").isNull(), F.col("row"))).agg(F.min("row").alias("row"))
+    gone = written(found.select("row").join(stays.select("row"), "row", "left_anti"))
+    return docs.join(small(gone), "row", "left_anti").select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ def _lines(batches):
                 words.append(k)
             lens = pa.array(np.r_[0, np.cumsum([len(h) for h in hashes])].astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.ListArray.from_arrays(lens, pa.array(np.concatenate(hashes))), pa.ListArray.from_arrays(lens, pa.array(np.concatenate(words)))], ["id", "lines", "words"]
+                [part.column(0), part.column(1), pa.ListArray.from_arrays(lens, pa.array(np.concatenate(hashes))), pa.ListArray.from_arrays(lens, pa.array(np.concatenate(words)))], ["id", "digest", "lines", "words"]
             )
 
 
@@ -106,7 +106,7 @@ def _align(min_words: int):
     def run(batches):
         for batch in batches:
             gone = []
-            ids, cols = batch.column(0), [batch.column(i) for i in (1, 2, 3)]
+            ids, cols = batch.column(0), [batch.column(i) for i in (2, 3, 4)]
             for r in range(batch.num_rows):
                 later, words, earlier = (c[r].values.to_numpy(zero_copy_only=False) for c in cols)
                 out: list[int] = []
@@ -114,31 +114,32 @@ def _align(min_words: int):
                     if words[i : i + n].sum() >= min_words:
                         out += range(i, i + n)
                 gone.append(out)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(gone, pa.list_(pa.int32()))], ["id", "gone"])
+            yield pa.RecordBatch.from_arrays([ids, batch.column(1), pa.array(gone, pa.list_(pa.int32()))], ["id", "digest", "gone"])
 
     return run
 
 
 def deletions(docs: DataFrame, min_words: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document that loses lines: id and the numbers of its deleted lines (from 0, sorted)."""
-    lines = written(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null and text is not null").mapInArrow(_lines, "id long, lines array<long>, words array<int>"))
+    """Per document that loses lines: id, digest of the text (rows may share an id) and the numbers of its deleted lines
+    (from 0, sorted)."""
+    lines = written(docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("digest"), F.col(text).cast("string").alias("text")).where("id is not null and text is not null").mapInArrow(_lines, "id long, digest long, lines array<long>, words array<int>"))
     each = lines.select("id", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
     lead = each.groupBy("line").agg(F.min("id").alias("lead"), F.max("id").alias("most")).where("most > lead").select("line", "lead")
     pairs = each.join(lead, "line").where("lead < id").select("id", "lead").distinct()
-    later = lines.select("id", F.col("lines").alias("x"), "words")
+    later = lines.select("id", "digest", F.col("lines").alias("x"), "words")
     earlier = lines.select(F.col("id").alias("lead"), F.col("lines").alias("y"))
-    both = pairs.join(later, "id").join(earlier, "lead").select("id", "x", "words", "y")
-    found = both.mapInArrow(_align(min_words), "id long, gone array<int>").where(F.size("gone") > 0)
-    return found.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    both = pairs.join(later, "id").join(earlier, "lead").select("id", "digest", "x", "words", "y")
+    found = both.mapInArrow(_align(min_words), "id long, digest long, gone array<int>").where(F.size("gone") > 0)
+    return found.groupBy("id", "digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
 def line_dedup(docs: DataFrame, min_words: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with aligned common blocks taken out of the later one's text, and `lines_deleted` (int).
 
-    Rows that share an id share its deletions' line numbers only if they are the same text, so ids should be keys.
+    Rows that share an id lose the lines of their own text each.
     """
-    gone = written(deletions(docs, min_words, doc_id, text).select(F.col("id").alias("__id"), F.col("gone").alias("__gone"))).hint("merge")
-    out = docs.join(gone, F.col("__id") == docs[doc_id].cast("long"), "left")
+    gone = written(deletions(docs, min_words, doc_id, text).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("gone").alias("__gone"))).hint("merge")
+    out = docs.join(gone, (F.col("__id") == docs[doc_id].cast("long")) & (F.col("__digest") == F.xxhash64(docs[text].cast("string"))), "left")
     kept = F.expr(f"array_join(filter(split(`{text}`, '\\n', -1), (x, i) -> NOT array_contains(__gone, i)), '\\n')")
     out = out.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept))
-    return out.withColumn("lines_deleted", F.coalesce(F.size("__gone"), F.lit(0))).withColumn("lines_deleted", F.greatest("lines_deleted", F.lit(0))).drop("__id", "__gone")
+    return out.withColumn("lines_deleted", F.coalesce(F.size("__gone"), F.lit(0))).withColumn("lines_deleted", F.greatest("lines_deleted", F.lit(0))).drop("__id", "__digest", "__gone")

@@ -12,8 +12,8 @@ is spread over RANGES windows.  The exponent takes a few grouped aggregates over
 
 Defined results: a null source is the source ''; a null or blank text has no tokens and stands where the
 permutation puts it; a source without tokens has weight 0 and its documents are dealt once, to block 0; rows that
-share an id stand next to each other; extra columns are dropped by `plan`, kept by `mix`; an empty table gives an empty
-result.
+share an id stand next to each other; extra columns are dropped by `plan`, kept by `mix`, which takes rows with a null
+id by their own number and joins by it where ids are null or repeated; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .shared import small, written
+from .shared import keyed, small, written
 
 #: Ranges of the permutation key: three hexadecimal digits.
 RANGES = 16**3
@@ -79,25 +79,35 @@ def weights(docs: DataFrame, budget: int | None = None, entropy: float | None =
 
 def plan(docs: DataFrame, blocks: int = 64, seed: int = 1, budget: int | None = None, entropy: float | None = None, repeats: float | None = 2.0, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mixture, a row per use of a document: doc_id, source, pass (from 0), block (from 0), n_tokens."""
+    return _uses(docs, blocks, seed, budget, entropy, repeats, doc_id, source, text).drop("row")
+
+
+def _uses(docs: DataFrame, blocks: int = 64, seed: int = 1, budget: int | None = None, entropy: float | None = None, repeats: float | None = 2.0, doc_id: str = "doc_id", source: str = "source", text: str = "text", row: str | None = None) -> DataFrame:
+    """The plan with `row`, the number in the column of that name (null without one), which tells rows of one id apart."""
     kind = docs.schema[doc_id].dataType
+    number = F.col(row) if row else F.lit(None).cast("long")
     per = small(written(weights(docs, budget, entropy, repeats, source, text)))
-    use = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), tokens(text).alias("n_tokens"))
+    use = docs.select(F.col(doc_id).alias("doc_id"), number.alias("row"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), tokens(text).alias("n_tokens"))
     use = use.join(per.select("source", "passes", F.col("budget").alias("most"), "tokens"), "source").where("passes > 0")
     use = use.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("pass").cast("string"), F.col("doc_id").cast("string")))
-    use = written(use.select("doc_id", "source", "pass", "n_tokens", "most", "tokens", key.alias("key")).withColumn("part", F.conv(F.substring("key", 1, 3), 16, 10).cast("int")))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("pass").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string")))))
+    use = written(use.select("doc_id", "row", "source", "pass", "n_tokens", "most", "tokens", key.alias("key")).withColumn("part", F.conv(F.substring("key", 1, 3), 16, 10).cast("int")))
     ranges = use.groupBy("source", "pass", "part").agg(F.sum("n_tokens").alias("n"))
     ahead = Window.partitionBy("source", "pass").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("source", "pass", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source", "pass", "part").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "pass", "part").orderBy("key", "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = use.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(ranges, ["source", "pass", "part"])
     start = F.col("pass") * F.col("tokens") + F.col("before") + F.col("inner")
     placed = placed.withColumn("start", start).where("start < most OR tokens = 0")
     block = F.when(F.col("tokens") == 0, 0).otherwise(F.least(F.lit(blocks - 1), F.floor(F.col("start") * F.lit(blocks) / F.col("most")))).cast("int")
-    return placed.select(F.col("doc_id").cast(kind).alias("doc_id"), "source", "pass", block.alias("block"), "n_tokens")
+    return placed.select(F.col("doc_id").cast(kind).alias("doc_id"), "source", "pass", block.alias("block"), "n_tokens", "row")
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
     """The documents, each as often as the plan uses it, with pass and block."""
-    uses = plan(docs, doc_id=doc_id, **how).select(F.col("doc_id").alias("__id"), "pass", "block")
-    return docs.join(uses, F.col("__id") == docs[doc_id]).drop("__id")
+    if keyed(docs, doc_id):
+        uses = plan(docs, doc_id=doc_id, **how).select(F.col("doc_id").alias("__id"), "pass", "block")
+        return docs.join(uses, F.col("__id") == docs[doc_id]).drop("__id")
+    docs = written(docs.withColumn("__row", F.monotonically_increasing_id()))
+    uses = _uses(docs, doc_id=doc_id, row="__row", **how).select(F.col("row").alias("__row"), "pass", "block")
+    return docs.join(uses, "__row").drop("__row")

@@ -43,6 +43,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def keyed(df: DataFrame, key: str) -> bool:
+    """Whether every row has a key of its own: none null, none twice."""
+    return not df.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).limit(1).count()
+
+
 def bounded(df: DataFrame, keys: list[str], rows: int, n: int) -> DataFrame:
     """The `rows` rows of `df` (of `n`) that come first by a hash of their keys.
 

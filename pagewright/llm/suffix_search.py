@@ -189,10 +189,14 @@ def search(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "d
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those that hold any window of an item; all their columns stay.
 
-    Affected ids are found from two columns only and taken out by an anti-join, so that one scan of the
-    texts is all that the search needs.  Documents with a null id are kept unless the search hits them.
+    Affected rows are found from two columns only and taken out by an anti-join on the id and a digest of the text, so
+    that one scan of the texts is all that the search needs and rows that share an id, or have none, are told apart.
     """
     from .shared import small, written
 
-    hit = written(search(docs, items, window, doc_id, text).where("n_hit > 0").select(F.col("doc_id").alias("__hit")).distinct())
-    return docs.join(small(hit), F.col("__hit").eqNullSafe(docs[doc_id]), "left_anti")
+    key = F.struct(F.col(doc_id).alias("id"), F.md5(F.col(text).cast("string")).alias("digest"))
+    rows = docs.select(key.alias("key"), F.col(text).alias("text"))
+    hit = search(rows, items, window, "key", "text").where("n_hit > 0")
+    hit = written(hit.select(F.col("doc_id.id").alias("__hit"), F.col("doc_id.digest").alias("__digest")).distinct())
+    same = F.col("__hit").eqNullSafe(docs[doc_id]) & (F.col("__digest") == F.md5(docs[text].cast("string")))
+    return docs.join(small(hit), same, "left_anti")
