@@ -137,6 +137,27 @@ e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec
 r AS (SELECT vec_id, vec_id AS m FROM embeddings UNION SELECT r.vec_id, e.b FROM r JOIN e ON r.m = e.a)
 SELECT r.vec_id, (SELECT count(*) FROM e WHERE e.a = r.vec_id) AS n_links, min(r.m) AS component_id, r.vec_id = min(r.m) AS kept
 FROM r GROUP BY r.vec_id""",
+    "op7_line_dedup": """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS j FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, j, raw, array_to_string(v, ' ') AS t, len(v) AS k FROM (SELECT *, regexp_extract_all(raw, '[^\\x20\\x09-\\x0D]+') AS v FROM l)),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS p FROM w WHERE k > 0),
+d AS (SELECT doc_id, list(t ORDER BY p) AS ts, list(k ORDER BY p) AS ks FROM s GROUP BY doc_id),
+q AS (SELECT doc_id, ts, ks, z, unnest(range(1, len(ts) - z + 2)) AS p FROM d, range(1, 9) r(z)),
+r AS (
+  SELECT doc_id, p, z, array_to_string(ts[p:p + z - 1], chr(10)) AS g FROM q WHERE list_sum(ks[p:p + z - 1]) >= 8
+    AND (z = 1 OR list_sum(ks[p:p + z - 2]) < 8 OR list_sum(ks[p + 1:p + z - 1]) < 8)),
+f AS (SELECT g, min(doc_id) AS lead FROM r GROUP BY g),
+c AS (SELECT DISTINCT doc_id, unnest(range(p, p + z)) AS p FROM r JOIN f ON f.g = r.g WHERE lead < doc_id),
+m AS (
+  SELECT w.doc_id, w.j, w.raw, CASE WHEN w.k > 0 THEN c.p IS NULL END AS stays FROM w LEFT JOIN s ON s.doc_id = w.doc_id AND s.j = w.j
+    LEFT JOIN c ON c.doc_id = s.doc_id AND c.p = s.p WHERE w.doc_id IN (SELECT doc_id FROM c)),
+n AS (
+  SELECT doc_id, j, raw, coalesce(stays, coalesce(last_value(stays IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false)
+    OR coalesce(first_value(stays IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), false)) AS stays FROM m),
+o AS (SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY j) FILTER (stays), '') AS text, (count(*) FILTER (NOT stays))::INT AS lines_deleted FROM n GROUP BY doc_id)
+SELECT x.doc_id, CASE WHEN o.doc_id IS NULL THEN x.text ELSE o.text END AS text, coalesce(lines_deleted, 0)::INT AS lines_deleted
+FROM documents x LEFT JOIN o ON o.doc_id = x.doc_id""",
     "op8_mixing": """
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n FROM documents),

@@ -1,18 +1,16 @@
 """The corpus operators against brute force on small fixtures, with nulls, empty texts, ties, repeated rows, empty tables
 and extra columns."""
 
-import hashlib
 import math
 import random
 import re
 from collections import Counter, defaultdict
-from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.llm import itq, langid, licences, line_dedup, logbilinear, mixing, ngram_join, quality, suffix_search, token_counts
+from pagewright.llm import itq, langid, licences, logbilinear, mixing, ngram_join, quality, suffix_search, token_counts
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, token string"
 
@@ -130,35 +128,6 @@ def test_suffix_array_is_sorted():
     assert [tail(i) for i in sa] == sorted(tail(i) for i in range(len(ids)) if ids[i])
 
 
-def test_patience_blocks_are_common_and_in_order():
-    rng = random.Random(2)
-    for _ in range(200):
-        a, b = ([rng.randrange(1, 12) for _ in range(rng.randrange(12))] for _ in "ab")
-        last = (0, 0)
-        for i, j, n in line_dedup.patience_blocks(a, b):
-            assert a[i : i + n] == b[j : j + n] and i >= last[0] and j >= last[1] and n > 0
-            last = (i + n, j + n)
-    a, b = list(range(1, 9)), [20, 3, 4, 5, 21, 8]
-    assert line_dedup.patience_blocks(a, b) == [(x.a, x.b, x.size) for x in SequenceMatcher(None, a, b, False).get_matching_blocks()[:-1]]
-
-
-def test_line_dedup(spark):
-    line = [f"line {i} has exactly eight words in it" for i in range(9)]
-    rows = [
-        (1, "\n".join([line[0], line[1], "own"]), "x"),
-        (2, "\n".join(["before", line[0], line[1], "after"]), "x"),
-        (3, "\n".join([line[1], line[2]]), "x"),
-        (4, line[2] + "\n\n" + line[3] + "\n", "x"),
-        (5, line[0] + "\n" + line[1], "x"),
-        (6, None, "x"), (7, "", "x"), (8, "own\nshort", "x"), (None, line[0], "x"),
-    ]
-    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, id string")).collect()
-    text = {r.doc_id: r.text for r in got}
-    assert text == {1: rows[0][1], 2: "before\nafter", 3: line[2], 4: "\n" + line[3] + "\n", 5: "", 6: None, 7: "", 8: "own\nshort", None: line[0]}
-    assert {r.id for r in got} == {"x"}
-    assert line_dedup.line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-
-
 def test_lm_counts_and_normalisation(spark):
     rng = random.Random(3)
     texts = ["the cat sat on the mat " * rng.randrange(1, 9) + " ".join(words(rng, 9)) for _ in range(150)] + ["", None, "UNSEEN wordé the", "the"]
@@ -330,7 +299,3 @@ def test_components(spark):
     want = {i: c for i, c in components(ids, links).items() if i != c}
     got = connect(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r.node: r.component for r in got} == want and len(got) == len(want)
-
-
-def test_digest_of_no_items():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
