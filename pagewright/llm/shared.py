@@ -13,9 +13,13 @@ BROADCAST_ROWS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one, for local runs, where the setting is absent."""
+    """The folder in spark.checkpoint.dir.  Without that setting a temporary one, in local mode only: elsewhere each executor
+    would write to a disk of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="pagewright-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -24,18 +28,26 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """The same rows, as a Parquet table in the shared folder: later jobs depend on that table only."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/cut-{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Deletes all tables of `written` of this application, once their results are stored elsewhere."""
+    _delete(spark, f"{shared_dir(spark)}/cut-{spark.sparkContext.applicationId}")
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes a table made by `written` that nothing will read again."""
-    spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/cut-" in path:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(df.sparkSession, path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -43,6 +55,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def whole_number(df: DataFrame, key: str) -> None:
+    """Raises a TypeError unless the column holds whole numbers, as components are named by the smallest."""
+    if df.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"column {key} has to hold whole numbers, not {df.schema[key].dataType.simpleString()}")
+
+
 def keyed(df: DataFrame, key: str) -> bool:
     """Whether every row has a key of its own: none null, none twice."""
     return not df.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).limit(1).count()
@@ -104,14 +122,17 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long").distinct())
     while True:
         both = now.union(now.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # the smallest neighbour, of nodes that have a smaller one; a table, so that the joins on a hub can be split
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).where("m < u"))
         # large-star: larger neighbours move to the smallest neighbour; small-star then moves the rest
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        low2 = large.groupBy("a").agg(F.min("b").alias("m"))
-        star = large.join(low2, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        large = written(both.where("v > u").join(low.hint("merge"), "u", "left").select(F.col("v").alias("a"), F.coalesce("m", "u").alias("b")))
+        low2 = written(large.groupBy("a").agg(F.min("b").alias("m")))
+        star = large.join(low2.hint("merge"), "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         nxt = written(star.where("a <> b").distinct())
         # done when every node has one parent that is a root
         busy = nxt.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() or nxt.select("b").distinct().join(nxt.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
+        for t in (low, large, low2):
+            dropped(t)
         dropped(now)
         now = nxt
         if not busy:

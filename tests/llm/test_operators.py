@@ -187,6 +187,66 @@ def test_embedding_near_dedup(spark):
     assert itq.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def _cosines(x):
+    y = np.asarray(x, float)
+    y = y / np.linalg.norm(y, axis=1, keepdims=True)
+    return y @ y.T
+
+
+@pytest.mark.parametrize("width", [8, 24, 32, 40])
+@pytest.mark.parametrize("offset", [0.0, 1.0])
+def test_embedding_recall_at_any_width(width, offset):
+    """Pairs at exactly the threshold, of vectors around zero and around a common direction (norm of their mean: 0.7)."""
+    rng = np.random.default_rng(5)
+    theta = np.arccos(0.95)
+    x = rng.standard_normal((6_000, 32)) + offset * np.sqrt(32) * np.eye(32)[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    code, tables, _, _ = itq.fit(x[3_000:], width, theta)
+    assert tables >= itq.tables_for(width, theta)
+    u = rng.standard_normal((3_000, 32))
+    u -= (u * x[:3_000]).sum(1, keepdims=True) * x[:3_000]
+    y = np.cos(theta) * x[:3_000] + np.sin(theta) * u / np.linalg.norm(u, axis=1, keepdims=True)
+    one, two = code(x[:3_000], tables)[0], code(y, tables)[0]
+    met = np.vectorize(lambda v: int(v).bit_count() <= 1)(one ^ two).any(1)
+    assert met.mean() >= 0.99
+
+
+def test_embedding_groups_are_counted(spark):
+    """Tight groups, loose groups and their borders, in two dimensions, one of them rare: the same as all pairs."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for d, groups in ((16, 6), (5, 1)):
+        for _ in range(groups):
+            base = rng.standard_normal(d)
+            for noise, many in ((0.02, 20), (0.1, 12), (0.2, 12), (0.33, 12)):
+                rows += [(base + noise * rng.standard_normal(d)).tolist() for _ in range(many)]
+    rows += rows[:15] + rng.standard_normal((200, 16)).tolist() + [[1e200, 0.0, 1e200], [2e200, 0.0, 2e200], [0.5], [7.0], [-7.0]]
+    want, up = {i: 0 for i in range(len(rows))}, []
+    for d in (16, 5, 3, 1):
+        at = [i for i, v in enumerate(rows) if len(v) == d]
+        near = np.argwhere(_cosines([np.array(rows[i]) / max(np.abs(rows[i])) for i in at]) >= 0.95)
+        up += [(at[i], at[j]) for i, j in near if i != j]
+    for i, _ in up:
+        want[i] += 1
+    vectors = spark.createDataFrame([(i, v, "x") for i, v in enumerate(rows)], "vec_id long, embedding array<double>, rep string")
+    got = {r.vec_id: r for r in itq.near_vectors(vectors).collect()}
+    wrong = sum(got[i].n_links != n for i, n in want.items())
+    assert wrong <= len(rows) * 0.02 and sum(r.n_links for r in got.values()) <= sum(want.values())
+    whole = components(want, up)
+    assert sum(got[i].component_id != c for i, c in whole.items()) <= len(rows) * 0.02
+    assert got[len(rows) - 2].component_id == len(rows) - 3 and got[len(rows) - 1].kept and got[len(rows) - 4].n_links == 1
+
+
+def test_embedding_edges(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(None, v), (None, v), (1, v), (1, v), (2, [1.0, 2.0, 3.1]), (2, None), (3, [-1.0, 0.0, 0.0])]
+    got = itq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    key = lambda r: (r.vec_id or 0, r.n_links, r.component_id or 0, r.kept)
+    assert sorted(map(key, got)) == [(0, 0, 0, True), (0, 0, 0, True), (1, 2, 1, True), (1, 2, 1, True), (2, 0, 2, True), (2, 2, 1, False), (3, 0, 3, True)]
+    with pytest.raises(TypeError):
+        itq.near_vectors(spark.createDataFrame([("a", v)], "vec_id string, embedding array<double>"))
+
+
 def test_quality_learns(spark):
     rng = random.Random(1)
     rows, labels = [], []
