@@ -11,9 +11,11 @@ in two steps, over ranges of the permutation key and within each range, so a sou
 is spread over RANGES windows.  The exponent takes a few grouped aggregates over one row per source.
 
 Defined results: a null source is the source ''; a null or blank text has no tokens and stands where the
-permutation puts it; a source without tokens has weight 0 and its documents are dealt once, to block 0; rows that
-share an id stand next to each other; extra columns are dropped by `plan`, kept by `mix`, which takes rows with a null
-id by their own number and joins by it where ids are null or repeated; an empty table gives an empty result.
+permutation puts it, in the first pass even behind the budget's end (it takes nothing from it); a source without tokens has
+weight 0 and its documents are dealt once, to block 0; rows that share an id stand next to each other; equal keys are
+ordered by id; extra columns are dropped by `plan` and kept by `mix`, whatever their names (`pass` and `block` are
+replaced), which takes rows with a null id by their own number and joins by it where ids are null or repeated; a very
+long text is one row with its count; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -57,13 +59,22 @@ def exponent(sources: DataFrame, budget: int | None, entropy: float | None, repe
     return low if entropy is not None else high
 
 
+def counted(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", row: str | None = None) -> DataFrame:
+    """doc_id, row, source and n_tokens of every document: the one reading of the texts."""
+    number = F.col(row) if row else F.lit(None).cast("long")
+    return docs.select(F.col(doc_id).alias("doc_id"), number.alias("row"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), tokens(text).alias("n_tokens"))
+
+
 def weights(docs: DataFrame, budget: int | None = None, entropy: float | None = None, repeats: float | None = 2.0, source: str = "source", text: str = "text") -> DataFrame:
     """Per source: source, docs, tokens, share, weight, budget (tokens of it in the mixture), passes.
 
     budget None: the smallest at which no document is left out.  Without a target the shares stay (t = 1).
     """
-    per = docs.select(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), tokens(text).alias("tokens"))
-    per = written(per.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens")))
+    return _weights(docs.select(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), tokens(text).alias("n_tokens")), budget, entropy, repeats)
+
+
+def _weights(rows: DataFrame, budget: int | None, entropy: float | None, repeats: float | None) -> DataFrame:
+    per = written(rows.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens")))
     total = per.agg(F.sum("tokens")).first()[0] or 0
     per = per.withColumn("share", F.col("tokens") / F.lit(float(max(total, 1))))
     live = per.where("share > 0")
@@ -79,17 +90,14 @@ def weights(docs: DataFrame, budget: int | None = None, entropy: float | None =
 
 def plan(docs: DataFrame, blocks: int = 64, seed: int = 1, budget: int | None = None, entropy: float | None = None, repeats: float | None = 2.0, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mixture, a row per use of a document: doc_id, source, pass (from 0), block (from 0), n_tokens."""
-    return _uses(docs, blocks, seed, budget, entropy, repeats, doc_id, source, text).drop("row")
+    return _uses(written(counted(docs, doc_id, source, text)), blocks, seed, budget, entropy, repeats).drop("row")
 
 
-def _uses(docs: DataFrame, blocks: int = 64, seed: int = 1, budget: int | None = None, entropy: float | None = None, repeats: float | None = 2.0, doc_id: str = "doc_id", source: str = "source", text: str = "text", row: str | None = None) -> DataFrame:
-    """The plan with `row`, the number in the column of that name (null without one), which tells rows of one id apart."""
-    kind = docs.schema[doc_id].dataType
-    number = F.col(row) if row else F.lit(None).cast("long")
-    per = small(written(weights(docs, budget, entropy, repeats, source, text)))
-    use = docs.select(F.col(doc_id).alias("doc_id"), number.alias("row"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), tokens(text).alias("n_tokens"))
-    use = use.join(per.select("source", "passes", F.col("budget").alias("most"), "tokens"), "source").where("passes > 0")
-    use = use.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
+def _uses(rows: DataFrame, blocks: int = 64, seed: int = 1, budget: int | None = None, entropy: float | None = None, repeats: float | None = 2.0) -> DataFrame:
+    """The plan over the rows of `counted`, with their `row`, which tells rows of one id apart."""
+    per = small(written(_weights(rows, budget, entropy, repeats)))
+    use = rows.join(per.select("source", "passes", F.col("budget").alias("most"), "tokens"), "source").where("passes > 0 or n_tokens = 0")
+    use = use.withColumn("pass", F.explode(F.sequence(F.lit(0), F.greatest(F.col("passes"), F.lit(1)) - 1)))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("pass").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string")))))
     use = written(use.select("doc_id", "row", "source", "pass", "n_tokens", "most", "tokens", key.alias("key")).withColumn("part", F.conv(F.substring("key", 1, 3), 16, 10).cast("int")))
     ranges = use.groupBy("source", "pass", "part").agg(F.sum("n_tokens").alias("n"))
@@ -98,16 +106,21 @@ def _uses(docs: DataFrame, blocks: int = 64, seed: int = 1, budget: int | None =
     inside = Window.partitionBy("source", "pass", "part").orderBy("key", "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = use.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(ranges, ["source", "pass", "part"])
     start = F.col("pass") * F.col("tokens") + F.col("before") + F.col("inner")
-    placed = placed.withColumn("start", start).where("start < most OR tokens = 0")
-    block = F.when(F.col("tokens") == 0, 0).otherwise(F.least(F.lit(blocks - 1), F.floor(F.col("start") * F.lit(blocks) / F.col("most")))).cast("int")
-    return placed.select(F.col("doc_id").cast(kind).alias("doc_id"), "source", "pass", block.alias("block"), "n_tokens", "row")
+    placed = placed.withColumn("start", start).where("start < most OR tokens = 0 OR (n_tokens = 0 AND pass = 0)")
+    block = F.when(F.col("tokens") == 0, 0).otherwise(F.least(F.lit(blocks - 1), F.floor(F.col("start") * F.lit(blocks) / F.greatest(F.col("most"), F.lit(1))))).cast("int")
+    return placed.select("doc_id", "source", "pass", block.alias("block"), "n_tokens", "row")
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
     """The documents, each as often as the plan uses it, with pass and block."""
+    names = docs.columns
+    base = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    own, of, body = (f"c{names.index(x)}" for x in (doc_id, source, text))
     if keyed(docs, doc_id):
-        uses = plan(docs, doc_id=doc_id, **how).select(F.col("doc_id").alias("__id"), "pass", "block")
-        return docs.join(uses, F.col("__id") == docs[doc_id]).drop("__id")
-    docs = written(docs.withColumn("__row", F.monotonically_increasing_id()))
-    uses = _uses(docs, doc_id=doc_id, row="__row", **how).select(F.col("row").alias("__row"), "pass", "block")
-    return docs.join(uses, "__row").drop("__row")
+        uses = _uses(written(counted(base, own, of, body)), **how).select(F.col("doc_id").alias("use"), "pass", "block")
+        out = base.join(uses, F.col("use") == F.col(own))
+    else:
+        base = written(base.withColumn("number", F.monotonically_increasing_id()))
+        uses = _uses(written(counted(base, own, of, body, row="number")), **how).select(F.col("row").alias("use"), "pass", "block")
+        out = base.join(uses, F.col("use") == F.col("number"))
+    return out.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n not in ("pass", "block")), "pass", "block")

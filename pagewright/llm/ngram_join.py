@@ -20,7 +20,7 @@ long keys adaptive execution splits.
 
 Defined results: null, empty or blank text gives the empty set, which links with nothing; fewer than k words
 give one shingle; a row with a null id has its size and no component, and links nothing; repeated rows of one
-doc_id with the same text each get their row; extra columns are
+doc_id with the same text each get their row; ids are whole numbers (others raise a TypeError); extra columns are
 ignored, whatever their names; an empty table gives an empty result.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import fingerprints as fp
-from .shared import components, dropped, small, written
+from .shared import components, dropped, small, whole_number, written
 
 #: Shingles that are moved to the end of the order; a bound on a broadcast, not on what is joined.
 ORDER_ROWS = 60_000
@@ -214,6 +214,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: s
     Two documents link when 100 * |A & B| >= percent * |A | B|; component_id is the smallest id reachable.
     """
     spark = docs.sparkSession
+    whole_number(docs, doc_id)
     every = _column(docs, doc_id, text)
     texts = every.where("id is not null")
     doc = written(every.mapInArrow(_sketch(k), "id long, n long, d1 long, d2 long, bands array<long>, sig binary"))

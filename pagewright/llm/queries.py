@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(of: int):
+    """crc32 of the id as text (null: the text ''), modulo `of`."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % of
+
+
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -26,7 +31,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    remainder = F.crc32(F.col("doc_id").cast("string")) % 5
+    remainder = _remainder(5)
     model = quality.fit(docs, labels.where(remainder != 0))
     out = quality.score(docs, model)
     return out.select("doc_id", (remainder == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
@@ -38,7 +43,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    held_out = _remainder(7) == 2
     out = logbilinear.score(table(spark, sf_dir, "documents"), ~held_out)
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
@@ -172,7 +177,7 @@ o AS (
   SELECT *, pass * tokens + coalesce(sum(n) OVER (PARTITION BY source, pass ORDER BY md5(concat('1|', pass, '|', doc_id)), doc_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM u)
 SELECT doc_id, source, pass::INT AS pass, CASE WHEN tokens = 0 THEN 0 ELSE least(63, floor(start * 64 / most)) END::INT AS block, n AS n_tokens
-FROM o WHERE start < most OR tokens = 0""",
+FROM o WHERE start < most OR tokens = 0 OR (n = 0 AND pass = 0)""",
     "op9_licence_scan": f"""
 WITH k AS (
   SELECT md5({_canonical('t')}) AS digest, min(licence) AS licence FROM (VALUES {', '.join(f"({_text(x)}, {_text(t)})" for x, t in licences.known_texts())}) v(licence, t) GROUP BY 1),

@@ -6,13 +6,15 @@ match and are left out.  Every suffix of every benchmark item is binary-searched
 insertion point gives its longest verbatim match, and the range that shares its window gives all locations.
 Comparisons use prefix hashes, so that one costs the logarithm of the match, whatever an item's length.
 
-The items travel to the executors in blocks of at most BLOCK_BYTES of text, one after the other, so the
-broadcast is bounded for any benchmark table.
+The items travel to the executors in blocks of about BLOCK_BYTES of text.  A worker holds all blocks if they are HELD at
+most; of a larger benchmark table it holds one at a time, read anew from its local copy for each shard, so its memory is
+bounded for any number of items.
 
 Defined results: a null or blank text has no words and no hit; a null or blank item has no window; an item of
 fewer words than the window is one window; items with equal words all count; repeated documents are searched
-one by one; a null item_id is no item; extra columns are ignored by `search` and kept by `decontaminate`; empty
-tables give empty results (documents) or clean documents (items).
+one by one, whatever their ids, null ones too; a null item_id is no item; extra columns are ignored by `search` and kept by
+`decontaminate`, whatever their names; a very long text is a shard alone (about 100 bytes of a worker's memory a byte);
+empty tables give empty results (documents) or clean documents (items).
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from . import fingerprints as fp
 
 SHARD_BYTES = 3_000_000
 BLOCK_BYTES = 8_000_000
+HELD = 4
 U = fp.U
 
 
@@ -154,6 +157,9 @@ def _search(blocks, window: int):
                     np.maximum.at(longest, row, length)
                     for r, i in np.unique(np.stack([row, item], 1), axis=0).tolist():
                         found[r][items.ids[i]] = None
+                    del items
+                    if len(blocks) > HELD:
+                        block.__dict__.pop("_value", None)  # the worker reads it again from its file
                 covered = np.r_[0, np.cumsum(np.cumsum(change[:-1]) > 0)]
                 hit = covered[w.at[1:]] - covered[w.at[:-1]]
                 spans = [[] for _ in range(w.rows)]
@@ -194,9 +200,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: s
     """
     from .shared import small, written
 
-    key = F.struct(F.col(doc_id).alias("id"), F.md5(F.col(text).cast("string")).alias("digest"))
-    rows = docs.select(key.alias("key"), F.col(text).alias("text"))
+    names = docs.columns
+    base = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    own, body = F.col(f"c{names.index(doc_id)}"), F.col(f"c{names.index(text)}").cast("string")
+    rows = base.select(F.struct(own.alias("id"), F.md5(body).alias("digest")).alias("key"), body.alias("text"))
     hit = search(rows, items, window, "key", "text").where("n_hit > 0")
-    hit = written(hit.select(F.col("doc_id.id").alias("__hit"), F.col("doc_id.digest").alias("__digest")).distinct())
-    same = F.col("__hit").eqNullSafe(docs[doc_id]) & (F.col("__digest") == F.md5(docs[text].cast("string")))
-    return docs.join(small(hit), same, "left_anti")
+    hit = written(hit.select(F.col("doc_id.id").alias("hit"), F.col("doc_id.digest").alias("digest")).distinct())
+    same = F.col("hit").eqNullSafe(own) & (F.col("digest") == F.md5(body))
+    return base.join(small(hit), same, "left_anti").toDF(*names)

@@ -299,6 +299,45 @@ def test_mixing_realises_weights(spark):
     assert mixing.mix(docs).count() == len(uses)
 
 
+def test_mixing_edges(spark):
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randrange(9), "hot", i) for i in range(80)] + [(100 + i, None if i % 2 else " ", "hot", i) for i in range(30)] + [(200, "w w", "small", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, pass int")
+    for seed in range(4):  # texts without tokens stay, also behind the budget's end of the largest source
+        assert {r.doc_id for r in mixing.plan(docs, seed=seed).where("pass = 0").collect()} == {r[0] for r in rows}
+    same = [(1, "a b", "s", 7, "x"), (1, "a b", "s", 8, "y"), (None, "c", "s", 9, "z"), (None, None, None, 9, "z"), (2, "d e f", "t", 9, "z")]
+    docs = spark.createDataFrame(same, "doc_id long, text string, source string, block int, number string")
+    out = mixing.mix(docs, blocks=4)
+    assert out.columns == ["doc_id", "text", "source", "number", "pass", "block"]
+    first = sorted((r.doc_id or 0, r.text or "", r.number) for r in out.where("pass = 0").collect())
+    assert first == sorted((r[0] or 0, r[1] or "", r[4]) for r in same)
+    assert out.count() == mixing.plan(docs, blocks=4).count()
+
+
+def test_decontaminate_keeps_columns_and_rows(spark):
+    item = " ".join(f"t{i}" for i in range(12))
+    rows = [(1, "clean", "a", 1), (1, f"x {item}", "a", 2), (None, item, "b", 3), (None, "clean", "b", 4), (None, None, "b", 5), (2, "clean", "c", 6), (2, "clean", "c", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __hit string, digest int")
+    out = suffix_search.decontaminate(docs, spark.createDataFrame([("i", item, "x"), ("j", item, "x"), (None, "clean", "x")], "item_id string, text string, n_hit string"))
+    assert out.columns == docs.columns and sorted(r.digest for r in out.collect()) == [1, 4, 5, 6, 6]
+    assert suffix_search.search(docs, spark.createDataFrame([("i", item), ("j", item)], "item_id string, text string")).where("size(items) = 2").count() == 2
+
+
+def test_very_long_texts(spark):
+    """A text of a few million bytes beside short ones, for each operator that reads whole texts."""
+    rng = random.Random(12)
+    long = " ".join(f"w{rng.randrange(9000)}" for _ in range(500_000))
+    item = " ".join(long.split(" ")[400_000:400_020])
+    docs = spark.createDataFrame([(1, "short text of some words here"), (2, long), (3, long + " tail")], "doc_id long, text string")
+    hits = {r.doc_id: (r.n_words, r.n_hit) for r in suffix_search.search(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert hits == {1: (6, 0), 2: (500_000, 20), 3: (500_001, 20)}
+    assert {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard_join(docs).collect()} == {1: 1, 2: 2, 3: 2}
+    assert sum(r.n_tokens for r in mixing.plan(docs.withColumn("source", F.lit("s")), repeats=None).collect()) == 1_000_007
+    assert token_counts.token_counts(docs).agg(F.sum("docs")).first()[0] == 3
+    assert quality.score(docs, (np.zeros(quality.BUCKETS, np.float32), 0.0)).where("score = 0.5").count() == 3
+    assert licences.licence_scan(docs).where("notice_lines = 0").count() == 3
+
+
 def test_licences(spark):
     mit = "Copyright (c) 2020 Someone\n\n" + licences.FULL_TEXTS[0][1].replace("license", "licence").upper().replace(" ", "\n ")
     rows = [(1, mit), (2, "Text.\nReleased under the MIT License.\nMore, all rights reserved"), (3, None), (4, ""), (5, "© 2020 X"), (6, "SPDX-License-Identifier: Apache-2.0"), (7, "released UNDER the   mit licence!\nLicensed under CC BY-NC 4.0."), (7, "plain")]
