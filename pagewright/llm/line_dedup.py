@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import fingerprints as fp
-from .shared import dropped, written
+from .shared import written
 
 #: Holders of a run of which all pairs are aligned.
 RARE = 4
@@ -237,7 +237,8 @@ def overlaps(lines: DataFrame, min_words: int, kind: str) -> tuple[DataFrame, Da
     each = written(lines.mapInArrow(_runs(min_words), f"id {kind}, digest binary, run long, lo int, hi int, new boolean"))
     held = each.groupBy("run").agg(F.count_if("new").alias("holders"), F.min("id").alias("lead"), F.max("id").alias("last")).where("last > lead")
     held = written(held.select("run", "holders", "lead"))  # a table, so that the join below can split a frequent run
-    shared = each.join(held.hint("merge"), "run")
+    # written as well, so that only the rows of rare runs are grouped by run
+    shared = written(each.join(held.hint("merge"), "run").where("new or lead < id"))
     rare = shared.where((F.col("holders") <= RARE) & F.col("new")).groupBy("run").agg(F.collect_list(F.struct("id", "digest")).alias("docs"))
     one = rare.select("docs", F.explode("docs").alias("x")).select("x", F.explode("docs").alias("y")).where("y.id < x.id")
     pairs = one.select(F.col("x.digest").alias("later"), F.col("y.digest").alias("earlier")).distinct()
