@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import curate, evaluate
+from .plans import build, curate, evaluate
 
-QUERIES = {**evaluate.QUERIES, **curate.QUERIES}
-ORACLE_SQL = {**evaluate.ORACLE_SQL, **curate.ORACLE_SQL}
+QUERIES = {**evaluate.QUERIES, **curate.QUERIES, **build.QUERIES}
+ORACLE_SQL = {**evaluate.ORACLE_SQL, **curate.ORACLE_SQL, **build.ORACLE_SQL}

@@ -5,55 +5,97 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Lines that are page numbers, lines of a table.
-PAGE_NUMBER = r"^\s*[-—–\s]*(?:第\s*)?\d{1,4}\s*(?:页)?[-—–\s]*$"
-TABLE_LINE = r"^[\s(（]*-?[\d,，.]+[)）%]?[\s]*$"
+from .text import DIGIT, SPACE, given, lines, stripped
 
-
-def lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r")
+# Lines that are page numbers, lines of a table, report names, code fences and JSON in replies, prompt limits.
+PAGE_NUMBER = rf"^[{SPACE}]*[-—–{SPACE}]*(?:第[{SPACE}]*)?{DIGIT}{{1,4}}[{SPACE}]*(?:页)?[-—–{SPACE}]*$"
+TABLE_LINE = rf"^[{SPACE}(（]*-?[{DIGIT},，.]+[)）%]?[{SPACE}]*$"
+REPORT = r"(\d{4})(年报|中报)"
+FENCE = r"(?m)^```(?:json)?\s*|\s*```$"
+JSON_LIST, JSON_OBJECT = r"(?s)\[.*\]", r"(?s)\{.*\}"
+LEAST_CHARS, CONTEXT_CHARS, CORPUS_CHARS = 20, 6000, 80
 
 
 def clean_page(text: Column) -> Column:
     """Without blank lines, page-number lines and runs of blanks."""
-    kept = F.filter(F.transform(lines(text), lambda x: F.regexp_replace(x, r"(?U)\s+$", "")), lambda x: (x != "") & ~x.rlike(PAGE_NUMBER))
-    return F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), r"[ \t]{2,}", " "), r"^\s+|\s+$", "")
+    kept = F.filter(F.transform(lines(text), lambda x: F.regexp_replace(x, f"[{SPACE}]+$", "")), lambda x: (x != "") & ~x.rlike(PAGE_NUMBER))
+    return stripped(F.regexp_replace(F.array_join(kept, "\n"), r"[ \t]{2,}", " "))
 
 
 def is_near_blank(text: Column) -> Column:
-    return F.length(text) < 20
+    return F.length(text) < LEAST_CHARS
+
+
+def in_corpus(text: Column) -> Column:
+    """Whether a page is long enough to be searched."""
+    return F.coalesce(F.length(text) > CORPUS_CHARS, F.lit(False))
 
 
 def is_table(text: Column) -> Column:
     """Four lines or more, and over a quarter of them are numbers alone."""
-    filled = F.filter(lines(text), lambda x: F.trim(x) != "")
+    filled = F.filter(lines(text), lambda x: stripped(x) != "")
     numeric = F.filter(filled, lambda x: x.rlike(TABLE_LINE))
     return (F.size(filled) >= 4) & (F.size(numeric) * 4 > F.size(filled))
 
 
 def report_of(name: Column) -> tuple[Column, Column]:
     """Year and kind of a report's name, or 'unknown'."""
-    year, kind = F.regexp_extract(name, r"(\d{4})(年报|中报)", 1), F.regexp_extract(name, r"(\d{4})(年报|中报)", 2)
+    year, kind = F.regexp_extract(name, REPORT, 1), F.regexp_extract(name, REPORT, 2)
     return F.when(year == "", "unknown").otherwise(year), F.when(kind == "", "unknown").otherwise(kind)
 
 
-def cache_key(*parts: Column) -> Column:
-    """A content hash: 32 hexadecimal digits of the parts' JSON."""
-    return F.substring(F.sha2(F.to_json(F.array(*parts)), 256), 1, 32)
+def html_text(html: Column) -> Column:
+    """The lines of a page: block ends as line ends, no scripts, styles, comments or tags."""
+    bare = F.regexp_replace(given(html), r"(?is)<(script|style)\b.*?</(script|style)\s*>|<!--.*?-->", " ")
+    return F.regexp_replace(F.regexp_replace(bare, r"(?i)</(p|div|li|tr|h[1-6]|title)\s*>|<br\s*/?>", "\n"), r"<[^>]*>", " ")
+
+
+def json_text(text: Column) -> Column:
+    """A string as JSON, in quotes."""
+    inside = F.to_json(F.array(given(text)))
+    return F.substring(inside, F.lit(2), F.length(inside) - 2)
+
+
+def payload(model: str, system: Column, user: Column, temperature: Column) -> Column:
+    """A chat request as JSON with sorted keys, and blanks behind commas and colons."""
+    message = lambda role, x: F.concat(F.lit('{"content": '), json_text(x), F.lit(f', "role": "{role}"}}'))
+    return F.concat(
+        F.lit('{"messages": ['), message("system", system), F.lit(", "), message("user", user),
+        F.lit(f'], "model": "{model}", "response_format": {{"type": "json_object"}}, "temperature": '), temperature.cast("string"), F.lit("}"),
+    )
+
+
+def cache_key(request: Column) -> Column:
+    """A content hash: 32 hexadecimal digits."""
+    return F.substring(F.sha2(request, 256), 1, 32)
 
 
 def json_part(text: Column) -> Column:
     """The JSON in a reply: without code fences, whole if it parses, else the widest [..] or {..} that does; else null."""
-    bared = F.trim(F.regexp_replace(text, r"(?m)^```(?:json)?\s*|\s*```$", ""))
-    ok = lambda x: F.when(F.expr("true") & F.try_parse_json(x).isNotNull() & (F.trim(x) != ""), x)
-    return F.coalesce(ok(bared), ok(F.regexp_extract(bared, r"(?s)\[.*\]", 0)), ok(F.regexp_extract(bared, r"(?s)\{.*\}", 0)))
+    bared = F.trim(F.regexp_replace(text, FENCE, ""))
+    ok = lambda x: F.when(F.try_parse_json(x).isNotNull() & (F.trim(x) != ""), x)
+    return F.coalesce(ok(bared), ok(F.regexp_extract(bared, JSON_LIST, 0)), ok(F.regexp_extract(bared, JSON_OBJECT, 0)))
 
 
-def context(doc: Column, page: Column, text: Column) -> Column:
+def passage(doc: Column, page: Column, text: Column) -> Column:
     """A passage as it stands in a prompt."""
     return F.concat(F.lit("【"), doc, F.lit(" 第 "), page.cast("string"), F.lit(" 页】\n"), text)
 
 
+def context(passages: Column) -> Column:
+    """Passages in order, a blank line between them, cut to what a prompt takes."""
+    return F.substring(F.array_join(passages, "\n\n"), 1, CONTEXT_CHARS)
+
+
 def masked_labels(prompt_ids: Column, answer_ids: Column, most: int = 1024) -> Column:
     """Training labels of a prompt and its answer: -100 for each prompt token, cut to `most`."""
     return F.slice(F.concat(F.array_repeat(F.lit(-100), F.size(prompt_ids)), answer_ids), 1, most)
+
+
+def yes_no(flag: Column) -> Column:
+    return F.when(flag, "是").otherwise("否")
+
+
+def filled(*columns: Column) -> Column:
+    """How many of the cells are not blank."""
+    return sum(((stripped(given(c)) != "").cast("int") for c in columns), F.lit(0))

@@ -2,71 +2,78 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..functions.pages import is_table
+from ..functions.text import stripped
 
-# Sizes in characters and in shares of the target.
+# Sizes in characters and in shares of the target, and the sections that are wanted.
 LEAST_PAGE, SHORT_PAGE, LONG_PAGE, LONG_PIECE = 40, 400, 1.7, 1.4
+SECTIONS = "摘要|業務回顧|业务回顾|管理層討論|管理层讨论"
+_CHUNK = "struct<section:string,page_start:bigint,page_end:bigint,text:string,open:boolean>"
+
+
+def _joined(parts: Column, fits) -> Column:
+    """Strings put together, a line end between them, for as long as `fits` (what there is, what comes) allows."""
+    last = lambda out: F.element_at(out, -1)
+
+    def step(out: Column, x: Column) -> Column:
+        more = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.concat(last(out), F.lit("\n"), x)))
+        return F.when((F.size(out) > 0) & fits(F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit("")), x), more).otherwise(F.concat(out, F.array(x)))
+
+    return F.aggregate(parts, F.array().cast("array<string>"), step)
+
+
+def pieces(text: Column, target: int) -> Column:
+    """The paragraphs of a long page, packed; one that is too long by itself stays whole."""
+    paragraphs = F.filter(F.transform(F.split(text, "\n\n"), stripped), lambda x: x != "")
+    return _joined(paragraphs, lambda out, x: F.length(out) + F.length(x) <= target * LONG_PIECE)
 
 
-def pieces(text: str, target: int) -> list[str]:
-    """Paragraphs packed greedily; one that is too long stays whole."""
-    parts = [p.strip() for p in text.split("\n\n") if p.strip()] or [p.strip() for p in text.splitlines() if p.strip()]
-    out: list[str] = []
-    for p in parts:
-        if out and len(out[-1]) + len(p) <= target * LONG_PIECE:
-            out[-1] = f"{out[-1]}\n{p}"
-        else:
-            out.append(p)
-    return out
-
-
-def fold(pages: Iterator[tuple[int, str, str]], wanted: str, target: int) -> Iterator[tuple[str, int, int, str]]:
-    """(section, first page, last page, text) of (page, section, text) in order."""
-    keep = re.compile(wanted)
-    held: list = []  # section, first page, last page, text
-
-    def flush() -> Iterator:
-        if held:
-            yield tuple(held)
-            held.clear()
-
-    for page, section, text in pages:
-        if not keep.search(section):
-            yield from flush()
-        elif len(text) < LEAST_PAGE:
-            pass
-        elif len(text) > target * LONG_PAGE:
-            yield from flush()
-            for p in pieces(text, target):
-                yield section, page, page, p
-        else:
-            if len(text) < SHORT_PAGE and held:
-                held[1:] = [min(held[1], page), max(held[2], page), f"{held[3]}\n{text}".strip()]
-            else:
-                yield from flush()
-                held[:] = [section, page, page, text.strip()]
-            if len(held[3]) >= target:
-                yield from flush()
-    yield from flush()
-
-
-def chunk(pages: DataFrame, wanted: str, target: int = 650) -> DataFrame:
+def chunk(pages: DataFrame, wanted: str = SECTIONS, target: int = 650) -> DataFrame:
     """doc, seq (from 0 in each doc), section, page_start, page_end, text, chars, has_table.
 
-    pages: doc, page, section, text.  The fold is sequential in a document, so each is one group.
+    pages: doc, page, section, text; ties on the page go by text.  What was gathered so far matters to short pages only:
+    a page of an unwanted section, a long one and one of SHORT_PAGE characters all end it.  So a document falls into stretches
+    of one such page and the short pages behind it, which are folded one by one, each over its own few rows.
     """
+    p = pages.select("doc", F.col("page").cast("long").alias("page"), F.coalesce("section", F.lit("")).alias("section"), F.coalesce("text", F.lit("")).alias("text"))
+    size = F.length("text")
+    kind = F.when(~F.col("section").rlike(wanted), "out").when(size < LEAST_PAGE, "skip").when(size > target * LONG_PAGE, "long").when(size >= SHORT_PAGE, "start").otherwise("short")
+    p = p.withColumn("kind", kind).where("kind <> 'skip'")
+    p = p.withColumn("stretch", F.sum((F.col("kind") != "short").cast("int")).over(Window.partitionBy("doc").orderBy("page", "text").rowsBetween(Window.unboundedPreceding, 0)))
+    whole = lambda text, ready: F.struct("section", F.col("page").alias("page_start"), F.col("page").alias("page_end"), text.alias("text"), ready.alias("open"))
+    parts = F.when(F.col("kind") == "out", F.array().cast(f"array<{_CHUNK}>")).when(F.col("kind") == "long", F.transform(pieces(F.col("text"), target), lambda x: whole(x, F.lit(False))))
+    parts = parts.otherwise(F.array(whole(F.col("text"), F.length("text") < target)))
+    groups = p.select("doc", "stretch", "page", "text", parts.alias("parts")).groupBy("doc", "stretch").agg(F.array_sort(F.collect_list(F.struct("page", "text", "parts"))).alias("rows"))
+
+    def step(out: Column, x: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        text = stripped(F.concat(last["text"], F.lit("\n"), x["text"]))
+        grown = F.struct(last["section"].alias("section"), F.least(last["page_start"], x["page_start"]).alias("page_start"), F.greatest(last["page_end"], x["page_end"]).alias("page_end"), text.alias("text"), (F.length(text) < target).alias("open"))
+        return F.when(F.coalesce(last["open"], F.lit(False)), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(grown))).otherwise(F.concat(out, F.array(x)))
+
+    folded = F.aggregate(F.flatten(F.transform("rows", lambda r: r["parts"])), F.array().cast(f"array<{_CHUNK}>"), step)
+    out = groups.select("doc", "stretch", F.posexplode(folded).alias("pos", "x")).select("doc", "stretch", "pos", "x.*")
+    seq = F.row_number().over(Window.partitionBy("doc").orderBy("stretch", "pos")) - 1
+    out = out.withColumn("text", stripped(F.col("text"))).where("text <> ''").select("doc", seq.cast("long").alias("seq"), "section", "page_start", "page_end", "text")
+    return out.withColumn("chars", F.length("text").cast("long")).withColumn("has_table", is_table(F.col("text")))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("page", kind="stable")
-        rows = list(fold(zip(pdf["page"], pdf["section"].fillna(""), pdf["text"].fillna("")), wanted, target))
-        return pd.DataFrame([(key[0], i, *r) for i, r in enumerate(rows)], columns=["doc", "seq", "section", "page_start", "page_end", "text"])
 
-    out = pages.select("doc", F.col("page").cast("long").alias("page"), "section", "text").groupBy("doc").applyInPandas(run, "doc string, seq long, section string, page_start long, page_end long, text string")
-    return out.withColumn("chars", F.length("text").cast("long")).withColumn("has_table", is_table(F.col("text")))
+def with_ids(chunks: DataFrame) -> DataFrame:
+    """The chunks with chunk_id: document, first page, and a running number (from 0000) over all documents in their order.
+
+    Documents are counted first, so the only window over all of them has one row each.
+    """
+    per = chunks.groupBy("doc").agg(F.count(F.lit(1)).alias("many"))
+    before = F.coalesce(F.sum("many").over(Window.orderBy("doc").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = chunks.join(per.select("doc", before.alias("before")), "doc")
+    return out.withColumn("chunk_id", F.format_string("%s_p%d_%04d", "doc", "page_start", F.col("before") + F.col("seq"))).drop("before")
+
+
+def question_ids(chunks: DataFrame, questions: str) -> DataFrame:
+    """A row per question of a chunk (an array column): chunk_id, qa_id, question."""
+    rows = chunks.select("chunk_id", F.posexplode(questions).alias("at", "question"))
+    return rows.select("chunk_id", F.concat("chunk_id", F.lit("_q"), (F.col("at") + 1).cast("string")).alias("qa_id"), "question")

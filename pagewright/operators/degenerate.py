@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 
 def most_repeated(docs: DataFrame, n: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, most (0 for texts shorter than n and nulls).  Within the scan; nothing is shuffled."""
+    """doc_id, most: of the text without white space at its ends; 1 if that is shorter than n, 0 if it is empty or null.  Within
+    the scan; nothing is shuffled."""
 
     def run(batches):
         for batch in batches:
             most = []
             for t in batch.column(1).to_pylist():
-                code = np.frombuffer((t or "").encode("utf-32-le"), np.uint32).astype(np.uint64)
+                code = np.frombuffer((t or "").strip().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
                 if len(code) < n:
-                    most.append(0)
+                    most.append(int(len(code) > 0))
                     continue
                 size = len(code) - n + 1
                 _, key = np.unique(code, return_inverse=True)

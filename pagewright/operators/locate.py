@@ -1,4 +1,4 @@
-"""Where quoted text stands in a corpus, and how exactly: verbatim, punctuation aside, or not at all."""
+"""Where quoted text stands in a corpus, and how exactly: verbatim, punctuation aside, script aside, or not at all."""
 
 from __future__ import annotations
 
@@ -9,86 +9,88 @@ from pyspark.sql import functions as F
 
 from ..functions import quotes as q
 
-#: Segments that are broadcast at once; more are searched in further rounds over the corpus.
-BLOCK_ROWS = 5_000
-VERBATIM, PUNCTUATION, MISSING = "逐字", "去标点", "未命中"
+# The bands, best first; a place in this list is a level.
+BANDS = VERBATIM, PUNCTUATION, SCRIPT, MISSING = "逐字", "去标点", "繁简", "未命中"
+#: Characters of a segment's anchor; of a shorter segment SHORT, or all it has.
 GRAM, SHORT = 24, q.MIN_SEGMENT
-#: Anchors of segments that may be broadcast (8 bytes each).
-ANCHORS = 200_000
-
-
-def locate(segments: DataFrame, pages: DataFrame, key: str, segment: str, page_key: str, text: str) -> DataFrame:
-    """(key, page_key, band) for every page that holds a segment.
-
-    Each page is normalised once and searched for a block of segments; blocks are bounded, so what is broadcast is too,
-    and the corpus is never shuffled.
-    """
-    n = segments.count()
-    blocks = n // BLOCK_ROWS + 1
-    s = segments.select(F.col(key).alias("__k"), q.squeezed(F.col(segment)).alias("__n1"), q.bare(F.col(segment)).alias("__n2")).where("__n2 <> ''")
-    p = pages.select(F.col(page_key).alias("__p"), q.squeezed(F.col(text)).alias("__t1"), q.bare(F.col(text)).alias("__t2"))
-    out = None
-    for b in range(blocks):
-        part = s if blocks == 1 else s.where(F.pmod(F.xxhash64("__k"), F.lit(blocks)) == b)
-        found = p.join(F.broadcast(part), F.contains("__t2", "__n2"))
-        found = found.select(F.col("__k").alias(key), F.col("__p").alias(page_key), F.when(F.contains("__t1", "__n1"), VERBATIM).otherwise(PUNCTUATION).alias("band"))
-        out = found if out is None else out.union(found)
+#: Slots (a bit each, 16 MB) of the filter that keeps most of the corpus's positions out of the join.
+SLOTS = 1 << 27
+
+_BASE, _powers = 0xD6E8FEB86659FD93, [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _grams(text: str, widths: list[int]) -> list[np.ndarray]:
+    """Hash of the window at each position, for each width."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    if len(_powers[0]) <= len(code):
+        for i, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            x = np.full(2 * len(code) + 2, b, np.uint64)
+            x[0] = 1
+            _powers[i] = np.multiply.accumulate(x)
+    up, down = _powers
+    run = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(code * code * np.uint64(0x9E3779B97F4A7C15) * up[: len(code)], out=run[1:])
+    out = []
+    for w in widths:
+        n = max(len(code) - w + 1, 0)
+        h = (run[w : w + n] - run[:n]) * down[:n] + np.uint64(w)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append((h ^ (h >> np.uint64(32))).view(np.int64))
     return out
 
 
-def _grams(text: str, width: int) -> np.ndarray:
-    """Hash of the window of `width` characters at each position."""
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(code) - width + 1
-    h = np.zeros(max(n, 0), np.uint64)
-    for i in range(width if n > 0 else 0):
-        h = (h ^ code[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return h.view(np.int64)
+def _width(length: int) -> int:
+    return GRAM if length >= GRAM else min(length, SHORT)
 
 
 def _anchors(batches):
-    """Of each segment: the hash of its first GRAM (or SHORT) characters, and that width."""
+    """Of each segment: the hash of its first characters, and how many they are."""
     for batch in batches:
-        texts = batch.column(2).to_pylist()
-        width = [GRAM if len(t) >= GRAM else SHORT for t in texts]
-        anchor = [int(_grams(t[:w], w)[0]) for t, w in zip(texts, width)]
+        texts = batch.column(batch.schema.get_field_index("n3")).to_pylist()
+        width = [_width(len(t)) for t in texts]
+        anchor = [int(_grams(t[:w], [w])[0][0]) for t, w in zip(texts, width)]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(anchor, pa.int64()), pa.array(width, pa.int32())], [*batch.schema.names, "g", "w"])
 
 
-def _index(wanted):
-    """Distinct (hash, width) of each page's positions; of the wanted anchors only, if these were broadcast."""
+def _index(shared):
+    """Distinct hashes of each page's positions that the filter lets through."""
 
     def run(batches):
+        widths, bits = shared.value
         for batch in batches:
             for i, text in enumerate(batch.column(1).to_pylist()):
-                for w in (SHORT, GRAM):
-                    h = np.unique(_grams(text, w))
-                    if wanted is not None:
-                        h = h[np.isin(h, wanted.value[w])]
+                for h in _grams(text, widths):
+                    slot = h & (SLOTS - 1)
+                    h = np.unique(h[(bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0])
                     if len(h):
-                        at = pa.array(np.zeros(len(h), np.int32))
-                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1).take(at), pa.array(h), pa.array(np.full(len(h), w, np.int32))], ["p", "g", "w"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(h), np.int32))), pa.array(h)], ["p", "g"])
 
     return run
 
 
-def locate_indexed(segments: DataFrame, pages: DataFrame, key: str, segment: str, page_key: str, text: str) -> DataFrame:
-    """The same rows for a segment list that grows with the corpus.
+def locate(segments: DataFrame, pages: DataFrame, key: str, segment: str, page_key: str, text: str) -> DataFrame:
+    """(key, page_key, level, band) for every page that holds a segment: level 0 verbatim but for spacing, 1 but for punctuation
+    as well, 2 but for the script as well.
 
-    A segment is looked up by its first GRAM characters (SHORT ones if it is shorter) in an index of the pages'
-    positions: an equi-join, whose candidates are then searched.  Up to ANCHORS distinct anchors are broadcast, so that
-    only their positions leave the scan; beyond it all positions go to the join.
+    A segment is looked up by its first characters in the positions of the pages, an equi-join whose candidates are then
+    searched.  A bitmap of the anchors, of fixed size, goes to the executors first, so that only positions that may be
+    an anchor's leave the scan; the texts that meet a candidate are all that is shuffled.  Blank and null segments
+    are nowhere.
     """
     spark = pages.sparkSession
-    s = segments.select(F.col(key).alias("k"), q.squeezed(F.col(segment)).alias("n1"), q.bare(F.col(segment)).alias("n2")).where(F.length("n2") >= SHORT)
     kind = lambda df, c: df.schema[c].dataType.simpleString()
-    s = s.mapInArrow(_anchors, f"k {kind(s, 'k')}, n1 string, n2 string, g long, w int")
-    p = pages.select(F.col(page_key).alias("p"), q.squeezed(F.col(text)).alias("t1"), q.bare(F.col(text)).alias("t2"))
-    some = s.select("g", "w").distinct().limit(ANCHORS + 1).collect()
-    wanted = None
-    if len(some) <= ANCHORS:
-        wanted = spark.sparkContext.broadcast({w: np.array(sorted(r.g for r in some if r.w == w), np.int64) for w in (SHORT, GRAM)})
-    at = p.select("p", "t2").mapInArrow(_index(wanted), f"p {kind(p, 'p')}, g long, w int")
-    both = at.join(s, ["g", "w"]).join(p, "p").where(F.contains("t2", "n2"))
-    return both.select(F.col("k").alias(key), F.col("p").alias(page_key), F.when(F.contains("t1", "n1"), VERBATIM).otherwise(PUNCTUATION).alias("band")).distinct()
+    s = segments.select(F.col(key).alias("k"), q.squeezed(F.col(segment)).alias("n1"), q.bare(F.col(segment)).alias("n2"), q.bare(q.simplified(F.col(segment))).alias("n3")).where("n3 <> ''")
+    s = s.mapInArrow(_anchors, f"k {kind(s, 'k')}, n1 string, n2 string, n3 string, g long, w int")
+    slot = F.col("g").bitwiseAND(F.lit(SLOTS - 1))
+    words = s.groupBy((slot / 32768).cast("int").alias("at")).agg(F.bitmap_construct_agg(slot % 32768).alias("bits"), F.collect_set("w").alias("w")).collect()  # 4 kB each, SLOTS / 32768 at most
+    bits, widths = np.zeros(SLOTS // 8, np.uint8), set()
+    for r in words:
+        bits[r.at * 4096 : (r.at + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
+        widths |= set(r.w)
+    shared = spark.sparkContext.broadcast((sorted(widths), bits))
+    p = pages.select(F.col(page_key).alias("p"), q.squeezed(F.col(text)).alias("t1"), q.bare(F.col(text)).alias("t2"), q.bare(q.simplified(F.col(text))).alias("t3"))
+    at = p.select("p", "t3").mapInArrow(_index(shared), f"p {kind(p, 'p')}, g long")
+    both = at.join(s, "g").join(p, "p").where(F.contains("t3", "n3"))
+    same = F.contains("t2", "n2")
+    level = F.when(same & F.contains("t1", "n1"), 0).when(same, 1).otherwise(2)
+    return both.select(F.col("k").alias(key), F.col("p").alias(page_key), level.alias("level")).distinct().withColumn("band", F.element_at(F.array(*map(F.lit, BANDS)), F.col("level") + 1))

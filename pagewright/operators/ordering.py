@@ -69,12 +69,46 @@ def first_wins(df: DataFrame, text: Column, order: str) -> DataFrame:
 
 
 def stratified(df: DataFrame, stratum: str, key: str, k: int, seed: str = "s") -> DataFrame:
-    """k rows: each stratum's share of them (half to even), the smallest stratum the rest; rows by a hash of the key."""
+    """k rows (all, if there are fewer): each stratum's share of them (half to even), the smallest stratum the rest, what it
+    lacks from the others; rows by a hash of the key."""
     size = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy()
     order = Window.orderBy(F.desc("__n"), stratum)
     quota = size.withColumn("__o", F.row_number().over(order)).withColumn("__q", F.bround(F.lit(k) * F.col("__n") / F.sum("__n").over(w)).cast("long"))
     before = F.coalesce(F.sum("__q").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     quota = quota.withColumn("__q", F.when(F.col("__o") == F.max("__o").over(w), F.lit(k) - before).otherwise(F.col("__q"))).select(F.col(stratum).alias("__s"), "__q")
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key))
-    return df.withColumn("__r", rank).join(quota, F.col(stratum).eqNullSafe(F.col("__s"))).where("__r <= __q").drop("__s", "__q", "__r")
+    hashed = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
+    # no stratum gives more than k, so each task ranks k rows of it at most
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy("__h", key))
+    ranked = df.withColumn("__h", hashed).withColumn("__r", rank).where(F.col("__r") <= k).join(quota, F.col(stratum).eqNullSafe(F.col("__s")))
+    # the quotas first, then the rest by hash
+    ranked = ranked.withColumn("__over", (F.col("__r") > F.col("__q")).cast("int"))
+    return ranked.orderBy("__over", "__h", key).limit(k).drop("__s", "__q", "__r", "__h", "__over")
+
+
+def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row per key: the last in the order.  A grouped maximum, so repeated keys are not gathered."""
+    rest = [c for c in df.columns if c not in keys and c != order]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(order, *rest), F.struct(order, F.struct(*rest))).alias("__x")).select(*keys, "__x.*")
+
+
+def first_accepted(tries: DataFrame, key: str, order: str, accepted: Column, value: str) -> DataFrame:
+    """Per key the value of its first accepted try, or '' if there is none."""
+    return tries.groupBy(key).agg(F.coalesce(F.min_by(value, F.when(accepted, F.col(order))), F.lit("")).alias(value))
+
+
+def first_rows(df: DataFrame, order: str, k: int) -> DataFrame:
+    """The first k rows in the order, numbered from 1 as `place`."""
+    return df.orderBy(order).limit(k).withColumn("place", F.row_number().over(Window.orderBy(order)))
+
+
+def in_order(df: DataFrame, name: str, wanted: list[str]) -> DataFrame:
+    """Rows sorted by a fixed list of names; those that it lacks follow, by name."""
+    at = F.array_position(F.array(*map(F.lit, wanted)), F.col(name))
+    return df.withColumn("place", F.row_number().over(Window.orderBy(F.when(at > 0, at).otherwise(len(wanted) + 1), name))).orderBy("place")
+
+
+def zipped(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Rows of two tables of one length side by side, by their place in the order of their keys."""
+    a, b = numbered(left, key).drop("n"), numbered(right, key).drop("n", key)
+    return a.join(b, "i").drop("i")

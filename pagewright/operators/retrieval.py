@@ -1,8 +1,8 @@
 """Retrieval: BM25 and vector top-k for a stated set of queries, and rank fusion.
 
-Queries are the small side: they travel to the executors in blocks, documents are scanned once a block and never
-shuffled; what leaves a task is its own top k of each query, so the last ranking sees at most k rows a
-query and task.
+Queries are the small side: they travel to the executors in blocks whose weights are bounded in bytes, documents are scanned
+once a block and never shuffled; what leaves a task is its own top k of each query, so the last ranking sees at most k
+rows a query and task.  Terms are hashes of windows or words over flat arrays of characters, without a loop over tokens.
 """
 
 from __future__ import annotations
@@ -16,61 +16,121 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 K1, B = 1.5, 0.75  # fixed values
-BLOCK_ROWS = 2_000
+#: Cells (8 bytes each) of a block's query x term weights, and of a worker's document x term counts.
+CELLS = 4_000_000
+VECTOR_ROWS = 2_000
+#: Characters that are laid out at once.
+CHARS = 1_000_000
 _WORD = re.compile(r"[^\W]+")
+_MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def bigrams(text: str) -> list[str]:
-    """Windows of two characters over letters and digits."""
-    t = "".join(_WORD.findall(text or ""))
-    return [t[i : i + 2] for i in range(len(t) - 1)]
+def _letters(code: np.ndarray) -> np.ndarray:
+    """Which characters belong to words."""
+    kinds, back = np.unique(code, return_inverse=True)
+    good = np.array([bool(_WORD.match(chr(c))) if not 0xD800 <= c < 0xE000 else False for c in kinds.tolist()], bool)
+    return good[back] if len(code) else np.zeros(0, bool)
 
 
-def words(text: str) -> list[str]:
-    return _WORD.findall((text or "").lower())
+def _flat(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts (null: empty), and the row of each."""
+    code = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return code, np.repeat(np.arange(len(texts)), [len(t or "") for t in texts])
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def bigrams(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of two characters over letters and digits: hash, row."""
+    code, row = _flat(texts)
+    keep = _letters(code)
+    code, row = code[keep].astype(np.uint64), row[keep]
+    both = row[1:] == row[:-1] if len(row) else np.zeros(0, bool)
+    return _mix((code[:-1] << np.uint64(32) | code[1:])[both] * _MULT), row[1:][both]
+
+
+def words(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of letters and digits in lower case: hash, row."""
+    code, row = _flat([(t or "").lower() for t in texts])
+    inside = _letters(code)
+    edge = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
+    first = np.flatnonzero(inside & (edge | ~np.r_[False, inside[:-1]]))
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # a word's place weighs its characters; sums between starts of words leave out what is no letter
+    place = np.arange(len(code)) - np.repeat(np.r_[0, first], np.diff(np.r_[0, first, len(code)]))
+    each = np.where(inside, _mix((code.astype(np.uint64) << np.uint64(24) | place.astype(np.uint64)) * _MULT).view(np.uint64), np.uint64(0))
+    return _mix(np.add.reduceat(each, first) * _MULT), row[first]
 
 
 TERMS = {"bigram": bigrams, "word": words}
 
 
-def _statistics(terms: str, wanted):
-    """Of a task's documents: rows that hold each wanted term (index >= 0), documents (-1) and terms (-2)."""
+def _parts(batches, column: int):
+    """Slices of batches of about CHARS characters, with their texts."""
+    for batch in batches:
+        texts, start, size = batch.column(column).to_pylist(), 0, 0
+        for i, t in enumerate(texts):
+            size += len(t or "")
+            if size >= CHARS or i == len(texts) - 1:
+                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
+                start, size = i + 1, 0
+
+
+def _counts(terms: str, texts: list, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the wanted terms: row, place in `wanted` and count; and each row's number of terms."""
+    h, row = TERMS[terms](texts)
+    size = np.bincount(row, minlength=len(texts))
+    at = np.searchsorted(wanted, h)
+    at[at == len(wanted)] = 0
+    same = wanted[at] == h if len(wanted) else np.zeros(len(h), bool)
+    both, f = np.unique(row[same] * max(len(wanted), 1) + at[same], return_counts=True)
+    return both // max(len(wanted), 1), both % max(len(wanted), 1), f, size
+
+
+def _statistics(terms: str, shared):
+    """Of a task's documents: rows that hold each wanted term (its hash), and under null the documents and their terms."""
 
     def run(batches):
-        cut, index = TERMS[terms], {t: i for i, t in enumerate(wanted.value)}
-        df, docs, total = np.zeros(len(index), np.int64), 0, 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = cut(text)
-                docs, total = docs + 1, total + len(found)
-                for t in set(found):
-                    if (i := index.get(t)) is not None:
-                        df[i] += 1
+        wanted = shared.value
+        df, docs, total = np.zeros(len(wanted), np.int64), 0, 0
+        for _, texts in _parts(batches, 0):
+            _, at, _, size = _counts(terms, texts, wanted)
+            df += np.bincount(at, minlength=len(wanted))
+            docs, total = docs + len(texts), total + int(size.sum())
         at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1, -2]), pa.array(np.r_[df[at], docs, total])], ["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([*wanted[at].tolist(), None], pa.int64()), pa.array(np.r_[df[at], docs]), pa.array(np.r_[np.zeros(len(at), np.int64), total])], ["term", "n", "total"])
 
     return run
 
 
+def _best(ids: list, doc: np.ndarray, scores: np.ndarray, k: int) -> list[tuple]:
+    """The k best documents of each query (a column of scores); of equals the larger id."""
+    out: list[tuple] = []
+    for j, i in enumerate(ids):
+        s = scores[:, j]
+        few = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
+        few = few[np.lexsort((-doc[few], -s[few]))[:k]]
+        out += [(i, d, v) for d, v in zip(doc[few].tolist(), s[few].tolist()) if v > -np.inf]
+    return out
+
+
 def _score(terms: str, shared, k: int):
     def run(batches):
         wanted, ids, weight, average = shared.value
-        cut, index = TERMS[terms], {t: i for i, t in enumerate(wanted)}
         best: list[tuple] = []
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                tf = np.zeros((part.num_rows, len(wanted)))
-                for r, text in enumerate(part.column(1).to_pylist()):
-                    found = cut(text)
-                    at = [i for t in found if (i := index.get(t)) is not None]
-                    f = np.bincount(at, minlength=len(wanted)) if at else np.zeros(len(wanted))
-                    tf[r] = f * (K1 + 1) / (f + K1 * (1 - B + B * len(found) / average))
-                scores = np.round(tf @ weight.T, 6)
-                doc = np.asarray(part.column(0).to_pylist(), np.int64)
-                for j in range(len(ids)):
-                    order = np.lexsort((-doc, -scores[:, j]))[:k]
-                    best += zip([ids[j]] * len(order), doc[order].tolist(), scores[order, j].tolist())
+        rows = max(1, CELLS // max(len(wanted), 1))
+        for part, texts in _parts(batches, 1):
+            doc = np.asarray(part.column(0).to_pylist(), np.int64)
+            for start in range(0, len(texts), rows):
+                some = texts[start : start + rows]
+                row, at, f, size = _counts(terms, some, wanted)
+                tf = np.zeros((len(some), len(wanted)))
+                tf[row, at] = f * (K1 + 1) / (f + K1 * (1 - B + B * size[row] / average))
+                best += _best(ids, doc[start : start + rows], np.round(tf @ weight, 6), k)
             best = _top(best, k)
         if best:
             q, d, s = zip(*best)
@@ -91,36 +151,48 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def _blocks(queries: list, terms: str) -> list[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, distinct terms, and each query's terms (row, hash) of stretches of queries within CELLS."""
+    out, start = [], 0
+    while start < len(queries):
+        n = len(queries) - start
+        while True:
+            part = queries[start : start + n]
+            h, row = TERMS[terms]([r.text for r in part])
+            kinds = np.unique(h)
+            if n == 1 or n * len(kinds) <= CELLS:
+                break
+            n = max(1, n // 2)
+        out.append(([r.query_id for r in part], kinds, row, h))
+        start += n
+    return out
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int, terms: str = "bigram") -> DataFrame:
     """query_id, doc_id, score (6 places), rank (from 1): the best k documents; of equal scores the larger id first.
 
-    queries: query_id, text.  docs: doc_id, text.  A term counts as often as the query has it; documents without
-    any of a query's terms score 0 and may fill its k.
+    queries: query_id, text: a list that the driver reads.  docs: doc_id, text.  A term counts as often as the query has it;
+    documents without any of a query's terms score 0 and may fill its k.
     """
     spark = docs.sparkSession
     corpus = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    n = queries.count()
-    blocks = n // BLOCK_ROWS + 1
+    blocks = _blocks(queries.select("query_id", "text").orderBy("query_id").collect(), terms)
+    every = np.unique(np.concatenate([b[1] for b in blocks])) if blocks else np.zeros(0, np.int64)
+    counted = corpus.select("text").mapInArrow(_statistics(terms, spark.sparkContext.broadcast(every)), "term long, n long, total long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    stat = {r.term: r for r in counted.collect()}  # a row a query term
+    size, total = (stat[None].n, stat[None].total) if None in stat else (0, 0)
+    average = max(total / max(size, 1), 1e-9)
     out = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = part.select("query_id", "text").orderBy("query_id").collect()
-        cut = [TERMS[terms](r.text) for r in rows]
-        wanted = sorted({t for c in cut for t in c})
-        place = {t: i for i, t in enumerate(wanted)}
-        counted = corpus.select("text").mapInArrow(_statistics(terms, spark.sparkContext.broadcast(wanted)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        stat = {r.term: r.n for r in counted.collect()}  # a row a query term
-        size = stat.pop(-1, 0)
-        average = max(stat.pop(-2, 0) / max(size, 1), 1e-9)
-        df = np.zeros(len(wanted))
-        df[list(stat)] = list(stat.values())
-        idf = np.where(df > 0, np.log(1 + (size - df + 0.5) / (df + 0.5)), 0)
-        weight = np.zeros((len(rows), len(wanted)))
-        for j, c in enumerate(cut):
-            np.add.at(weight[j], [place[t] for t in c], 1)
-        shared = spark.sparkContext.broadcast((wanted, [r.query_id for r in rows], weight * idf, average))
+    for ids, kinds, row, h in blocks:
+        df = np.array([stat[t].n if t in stat else 0 for t in kinds.tolist()], float)
+        idf = np.log(1 + (size - df + 0.5) / (df + 0.5))
+        weight = np.zeros((len(kinds), len(ids)))
+        np.add.at(weight, (np.searchsorted(kinds, h), row), 1)
+        shared = spark.sparkContext.broadcast((kinds, ids, weight * idf[:, None], average))
         found = corpus.mapInArrow(_score(terms, shared, k), "query_id long, doc_id long, score double")
         out = found if out is None else out.union(found)
+    if out is None:
+        out = spark.createDataFrame([], "query_id long, doc_id long, score double")
     return _ranked(out, k)
 
 
@@ -136,8 +208,7 @@ def _cosines(shared, k: int):
                 doc = np.asarray(part.column(0).to_pylist(), np.int64)
                 for j, i in enumerate(ids):
                     s[doc == i, j] = -np.inf  # a query isn't its own answer
-                    order = np.lexsort((-doc, -s[:, j]))[:k]
-                    best += [(i, d, v) for d, v in zip(doc[order].tolist(), s[order, j].tolist()) if v > -np.inf]
+                best += _best(ids, doc, s, k)
             best = _top(best, k)
         if best:
             a, d, s = zip(*best)
@@ -152,7 +223,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     spark = vectors.sparkSession
     base = vectors.where("embedding is not null").select(F.col("vec_id").cast("long"), "embedding")
     q = queries.where("embedding is not null")
-    blocks = q.count() // BLOCK_ROWS + 1
+    blocks = q.count() // VECTOR_ROWS + 1
     out = None
     for b in range(blocks):
         rows = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).select("vec_id", "embedding").collect()

@@ -1,4 +1,4 @@
-"""Scores of answers on their axes: figures, format and citations; and their summaries."""
+"""Scores of answers on their axes: figures, format and citations; their summaries; the audit of sources."""
 
 from __future__ import annotations
 
@@ -7,70 +7,93 @@ from pyspark.sql import functions as F
 
 from ..functions import figures as fg
 from ..functions import quotes as q
+from ..functions.text import let
+from ..storage import written
 from . import locate as loc
 
+# Characters of a citation, and of a missing quotation, that a report shows.
+CITES_CHARS, EXAMPLE_CHARS = 120, 60
+
 
 def numeric_score(prediction: Column, reference: Column, question: Column) -> Column:
     """struct<n, hit, echo, net, ratio, net_ratio, missing>: figures of the reference found, and of these the ones that
     the question already gave; null if the reference has none."""
-    ref, pred, asked = (fg.key_figures(q.without_marks(x)) for x in (reference, prediction, question))
-    hit = fg.match_figures(ref, pred)
-    echo = fg.match_figures(hit, asked)
-    missing = F.array_join(F.array_sort(F.transform(F.array_except(ref, hit), fg.figure_text)), "、")
-    n, h, e = (F.size(x).cast("long") for x in (ref, hit, echo))
-    return F.when(
-        n > 0,
-        F.struct(n.alias("n"), h.alias("hit"), e.alias("echo"), (h - e).alias("net"), F.bround(h / n, 3).alias("ratio"), F.bround((h - e) / n, 3).alias("net_ratio"), missing.alias("missing")),
-    )
+    found = F.struct(*(fg.key_figures(q.without_marks(x)).alias(n) for n, x in (("ref", reference), ("pred", prediction), ("asked", question))))
 
+    def score(x: Column) -> Column:
+        n, h, e = (F.size(x[c]).cast("long") for c in ("ref", "hit", "echo"))
+        missing = F.array_join(F.array_sort(F.transform(F.array_except(x["ref"], x["hit"]), fg.figure_text)), "、")
+        parts = F.struct(n.alias("n"), h.alias("hit"), e.alias("echo"), (h - e).alias("net"), F.bround(h / n, 3).alias("ratio"), F.bround((h - e) / n, 3).alias("net_ratio"), missing.alias("missing"))
+        return F.when(n > 0, parts)
 
-def verdicts(answers: DataFrame, pages: DataFrame, key: str, answer: str) -> DataFrame:
-    """Per quotation of an answer: key, at (its place), first (its first segment), verdict and places
-    (array<struct<doc, page>> that hold a segment).  pages: doc, page, text.
+    # each step is computed once a row
+    with_hit = let(found, lambda x: F.struct(x["ref"], x["asked"], fg.match_figures(x["ref"], x["pred"]).alias("hit")))
+    return let(let(with_hit, lambda x: F.struct(x["ref"].alias("ref"), x["hit"].alias("hit"), fg.match_figures(x["hit"], x["asked"]).alias("echo"))), score)
 
-    Segments are located by the position index, as there may be as many as pages.
-    """
+
+def verdicts(answers: DataFrame, pages: DataFrame, key: str, answer: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Per quotation with a segment: key, at (its place), level (of its worst segment) and first (its first segment); the
+    segments themselves (key, at, segment); and where these stand (segment, doc, page).  pages: doc, page, text."""
     said = answers.select(key, F.posexplode(q.quotes(F.col(answer))).alias("at", "quote"))
-    parts = said.select(key, "at", F.posexplode(q.segments(F.col("quote"))).alias("s", "segment"))
-    distinct = parts.select("segment").distinct().withColumn("sid", F.col("segment"))
-    places = pages.select(F.struct("doc", "page").alias("place"), "text")
-    found = loc.locate_indexed(distinct, places, "sid", "segment", "place", "text")
-    each = found.groupBy("sid").agg(F.max(F.when(F.col("band") == loc.VERBATIM, 1).otherwise(0)).alias("exact"), F.collect_set("place").alias("places"))
-    joined = parts.join(each, parts["segment"] == each["sid"], "left")
-    worst = F.max(F.when(F.col("exact").isNull(), 2).otherwise(1 - F.col("exact")))
-    return joined.groupBy(key, "at").agg(
-        F.element_at(F.array(*map(F.lit, (loc.VERBATIM, loc.PUNCTUATION, loc.MISSING))), (worst + 1).cast("int")).alias("verdict"),
-        F.min(F.struct("s", "segment"))["segment"].alias("first"),
-        F.array_distinct(F.flatten(F.collect_list(F.coalesce("places", F.array().cast("array<struct<doc:string,page:long>>"))))).alias("places"),
+    parts = written(said.select(key, "at", F.posexplode(q.segments(F.col("quote"))).alias("s", "segment")))
+    wanted = parts.select("segment").distinct().withColumn("sid", F.col("segment"))
+    found = written(loc.locate(wanted, pages.select(F.struct("doc", "page").alias("place"), "text"), "sid", "segment", "place", "text"))
+    best = found.groupBy("sid").agg(F.min("level").alias("best"))
+    level = F.coalesce("best", F.lit(loc.BANDS.index(loc.MISSING)))
+    per = parts.join(best, parts["segment"] == best["sid"], "left").groupBy(key, "at").agg(F.max(level).alias("level"), F.min(F.struct("s", "segment"))["segment"].alias("first"))
+    places = found.join(best, "sid").where("level <= 1 or best = 2").select(F.col("sid").alias("segment"), "place.doc", "place.page")
+    return per, parts.select(key, "at", "segment"), places
+
+
+def _quotation_counts(answers: DataFrame, pages: DataFrame, key: str, answer: str, ranges: dict[str, Column]) -> DataFrame:
+    """Per answer with quotations: its key as `__k`, their counts by band, first_missing, and for each named array<struct<lo, hi>> of
+    pages how many quotations stand there, in the answer's own `doc`."""
+    per, parts, places = verdicts(answers.select(key, answer), pages, key, answer)
+    out = per.groupBy(F.col(key).alias("__k")).agg(
+        F.count(F.lit(1)).alias("quotes"), F.count_if(F.col("level") <= 1).alias("exact"), F.count_if(F.col("level") == 2).alias("script"), F.count_if(F.col("level") == 3).alias("missing"),
+        F.substring(F.min(F.when(F.col("level") == 3, F.struct("at", "first")))["first"], 1, EXAMPLE_CHARS).alias("first_missing"),
+    )
+    for name, spans in ranges.items():
+        # an equi-join on segment, document and page: no segment's places are gathered
+        asked = answers.select(F.col(key).alias("__k"), F.col("doc").alias("__d"), F.explode(spans).alias("__x")).where("__x.hi >= __x.lo").select("__k", "__d", F.explode(F.sequence(F.col("__x.lo").cast("long"), F.col("__x.hi").cast("long"))).alias("__p")).distinct()
+        at = parts.join(asked, F.col(key) == F.col("__k")).select("__k", "at", "segment", "__d", "__p")
+        hit = at.join(places.withColumnRenamed("segment", "sid"), (F.col("segment") == F.col("sid")) & (F.col("__d") == F.col("doc")) & (F.col("__p") == F.col("page")), "left_semi")
+        out = out.join(hit.select("__k", "at").distinct().groupBy("__k").agg(F.count(F.lit(1)).alias(name)), "__k", "left")
+    return out
+
+
+def _counted(a: DataFrame, per: DataFrame, key: str, names: list[str]) -> DataFrame:
+    out = a.join(per, F.col(key) == F.col("__k"), "left").drop("__k")
+    for c in names:
+        out = out.withColumn(c, F.coalesce(c, F.lit(0)))
+    return out.withColumn("first_missing", F.coalesce("first_missing", F.lit("")))
+
+
+def _cited(answers: DataFrame, answer: str) -> DataFrame:
+    """The answers with the reports (docs), page ranges (spans) and texts (cites) of their citations."""
+    return answers.withColumn("__found", q.citations(F.col(answer))).select(
+        *answers.columns,
+        F.flatten(F.transform("__found", lambda c: c["docs"])).alias("__docs"),
+        F.flatten(F.transform("__found", lambda c: c["pages"])).alias("__spans"),
+        F.substring(F.array_join(F.transform("__found", lambda c: c["raw"]), "；"), 1, CITES_CHARS).alias("cites"),
     )
 
 
+def _all_same(docs: str, doc: str) -> Column:
+    return ((F.size(docs) > 0) & F.forall(docs, lambda d: d == F.col(doc))).cast("int")
+
+
 def citation_score(answers: DataFrame, pages: DataFrame, key: str = "qa_id", answer: str = "prediction") -> DataFrame:
     """Adds to the answers (doc, page: where the question comes from) the parts of the citation score, 0 to 3, and
     counts of its quotations."""
-    cites = q.citations(F.col(answer))
-    docs, spans = F.flatten(F.transform(cites, lambda c: c["docs"])), F.flatten(F.transform(cites, lambda c: c["pages"]))
-    a = answers.withColumn("__docs", docs).withColumn("__spans", spans)
-    a = a.withColumn("doc_ok", ((F.size("__docs") > 0) & F.forall("__docs", lambda d: d == F.col("doc"))).cast("int"))
+    a = written(_cited(answers, answer))
+    a = a.withColumn("doc_ok", _all_same("__docs", "doc"))
     a = a.withColumn("page_ok", F.exists("__spans", lambda s: (s["lo"] - 1 <= F.col("page")) & (F.col("page") <= s["hi"] + 1)).cast("int"))
-    v = verdicts(answers.select(key, answer), pages, key, answer)
-    v = v.join(a.select(key, F.col("doc").alias("__d"), F.col("page").alias("__p"), F.col("__spans").alias("__s")), key)
-    on_cited = F.exists("places", lambda x: (x["doc"] == F.col("__d")) & F.exists("__s", lambda s: x["page"].between(s["lo"], s["hi"])))
-    on_source = F.exists("places", lambda x: (x["doc"] == F.col("__d")) & (x["page"] == F.col("__p")))
-    per = v.groupBy(F.col(key).alias("__k")).agg(
-        F.count(F.lit(1)).alias("quotes"),
-        F.count_if(F.col("verdict") != loc.MISSING).alias("exact"),
-        F.count_if(F.col("verdict") == loc.MISSING).alias("missing"),
-        F.count_if(on_cited).alias("on_cited"),
-        F.count_if(on_source).alias("on_source"),
-        F.substring(F.min(F.when(F.col("verdict") == loc.MISSING, F.struct("at", "first")))["first"], 1, 60).alias("first_missing"),
-    )
-    out = a.join(per, F.col(key) == F.col("__k"), "left")
-    for c in ("quotes", "exact", "missing", "on_cited", "on_source"):
-        out = out.withColumn(c, F.coalesce(c, F.lit(0)))
-    out = out.withColumn("first_missing", F.coalesce("first_missing", F.lit("")))
+    own = F.array(F.struct(F.col("page").alias("lo"), F.col("page").alias("hi")))
+    per = _quotation_counts(a, pages, key, answer, {"on_cited": F.col("__spans"), "on_source": own})
+    out = _counted(a, per, key, ["quotes", "exact", "script", "missing", "on_cited", "on_source"])
     out = out.withColumn("quotes_ok", ((F.col("quotes") > 0) & (F.col("exact") == F.col("quotes"))).cast("int"))
-    return out.withColumn("citation", F.col("doc_ok") + F.col("page_ok") + F.col("quotes_ok")).drop("__docs", "__spans", "__k")
+    return out.withColumn("citation", F.col("doc_ok") + F.col("page_ok") + F.col("quotes_ok")).drop("__docs", "__spans")
 
 
 def scored(answers: DataFrame, pages: DataFrame) -> DataFrame:
@@ -97,8 +120,7 @@ def diagnosis(rows: DataFrame, *by: str) -> DataFrame:
     """What the quotations of a group of scored answers are worth."""
     has, full = F.col("quotes") > 0, F.col("format") == 2
     return rows.groupBy(*by).agg(
-        F.count_if(has).alias("with_quotes"), F.sum("quotes").alias("quotes"), F.sum("exact").alias("exact"), F.sum("missing").alias("missing"),
-        F.sum("on_cited").alias("on_cited"), F.sum("on_source").alias("on_source"), F.count_if(full).alias("format_full"),
+        F.count_if(has).alias("with_quotes"), *(F.sum(c).alias(c) for c in ("quotes", "exact", "script", "missing", "on_cited", "on_source")), F.count_if(full).alias("format_full"),
         F.count_if(full & (F.col("missing") > 0)).alias("full_but_missing"), F.count_if(has & (F.col("exact") == 0)).alias("none_exact"),
         F.count_if(has & (F.col("citation") == 0)).alias("quoted_zero"),
     )
@@ -107,3 +129,26 @@ def diagnosis(rows: DataFrame, *by: str) -> DataFrame:
 def macro_average(cells: DataFrame, value: str, *by: str) -> DataFrame:
     """Mean over the cells that are there, whatever their sizes."""
     return cells.groupBy(*by).agg(F.round(F.avg(value), 6).alias(value), F.count(value).alias("cells"))
+
+
+def audit(records: DataFrame, pages: DataFrame, key: str = "key") -> DataFrame:
+    """Whether the citations and quotations of reference answers agree with where the answers come from.
+
+    records: key, source, doc, lo, hi (pages that the record comes from), answer.  A cited range agrees if it is at most one
+    page off that range.  on_source: 1 if all quotations stand on the record's own pages, null without quotations.
+    """
+    a = written(_cited(records, "answer"))
+    a = a.withColumn("doc_ok", _all_same("__docs", "doc"))
+    a = a.withColumn("page_ok", F.exists("__spans", lambda s: ~((s["hi"] < F.col("lo") - 1) | (s["lo"] > F.col("hi") + 1))).cast("int"))
+    own = F.array(F.struct(F.col("lo").alias("lo"), F.col("hi").alias("hi")))
+    out = _counted(a, _quotation_counts(a, pages, key, "answer", {"placed": own}), key, ["quotes", "exact", "script", "missing", "placed"])
+    pages_text = F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(F.concat_ws("-", F.col("lo").cast("string"), F.col("hi").cast("string")))
+    out = out.withColumn("pages", pages_text).withColumn("on_source", F.when(F.col("quotes") > 0, (F.col("placed") == F.col("quotes")).cast("int")))
+    return out.drop("__docs", "__spans", "placed")
+
+
+def audit_summary(rows: DataFrame, by: str = "source") -> DataFrame:
+    return rows.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("cites") != "").alias("with_cites"), F.sum("doc_ok").alias("doc_ok"), F.sum("page_ok").alias("page_ok"),
+        F.count_if(F.col("quotes") > 0).alias("with_quotes"), *(F.sum(c).alias(c) for c in ("quotes", "exact", "script", "missing")), F.count_if(F.col("on_source") == 1).alias("on_source"),
+    )

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: The grid: a question, a reference answer, and a prediction of one of six kinds for each document, as SQL that Spark
-#: and the oracle engine both run over `documents`.
+#: The grid: a question, a reference answer, and a prediction of one of seven kinds for each document, as SQL that Spark
+#: and the oracle engine both run over `documents`.  `lead` is a passage of the text, at a place that differs by document.
 GRID = """
-SELECT g.*, CASE doc_id % 6
+SELECT g.*, CASE doc_id % 7
     WHEN 0 THEN answer
     WHEN 1 THEN concat('收入 ', n_chars * 7 + 5000, ' 千元。「', replace(lead, ' ', '， '), '」【依据：《', doc, '》第 ', page + 1, ' 页】')
-    WHEN 2 THEN concat('占 ', doc_id % 97, '.52%，「zz', lead, 'zz」。依据：', doc, ' 第 ', page, ' 页')
+    WHEN 2 THEN concat('占 ', doc_id % 97, '.52%，「zz', lead, 'zz」。依据：', doc, ' 第　', page, ' 页')
     WHEN 3 THEN ''
     WHEN 4 THEN '材料未涉及相关内容「材料未涉及」'
-    ELSE concat('约 1.5 亿元，「', substring(lead, 1, 18), '……', substring(lead, 22, 18), '」【依据：《其他_2024年报》第 ', page + 3, '-', page + 5, ' 页】')
+    WHEN 5 THEN concat('「　本页营业额为 ', n_chars, ' 万元，资产负债已审计', chr(10), '」【依据：《', doc, '》第 ', page - 1, '～', page, ' 页】')
+    ELSE concat('约 １．５ 亿元，「', substring(lead, 1, 18), '……', substring(lead, 22, 18), '」【依据：《其他_2024年报》第 ', page + 3, '-', page + 5, ' 页】')
   END AS prediction
 FROM (
   SELECT b.*,
@@ -23,19 +24,27 @@ FROM (
     SELECT concat('q', doc_id) AS qa_id, doc_id, n_chars, concat(source, '_2025年报') AS doc, doc_id % 50 + 1 AS page,
       concat('cell', doc_id % 4) AS cell, concat('arm', doc_id % 3) AS label,
       CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 3 END AS judge,
-      replace(substring(text, 1, 40), chr(10), ' ') AS lead
+      replace(substring(text, 1 + CAST(doc_id * 37 % greatest(n_chars - 40, 1) AS INT), 40), chr(10), ' ') AS lead
     FROM documents WHERE text IS NOT NULL) b) g"""
+#: The documents as a page table: their whole text, and a line in the traditional script.
+PAGES = """
+SELECT concat(source, '_2025年报') AS doc, doc_id % 50 + 1 AS page, concat(text, chr(10), '本頁營業額為 ', n_chars, ' 萬元，資產負債已審計') AS text
+FROM documents WHERE text IS NOT NULL"""
+GRID_SQL, PAGES_SQL = f"grid AS ({GRID})", f"pages_ AS ({PAGES})"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A query over `documents` alone."""
+    return spark.sql(sql.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+
+
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(GRID.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+    return query(spark, sf_dir, GRID)
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc, page, text of the documents as a page table."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.selectExpr("concat(source, '_2025年报') AS doc", "doc_id % 50 + 1 AS page", "text").where("text is not null")
+    return query(spark, sf_dir, PAGES)

@@ -1,22 +1,36 @@
-"""Readers and writers of report tables: JSON lines, nested contents, CSV of unknown encoding, resumable output."""
+"""Readers and writers of report tables: JSON lines, nested contents, CSV of unknown encoding, summaries, resumable output."""
 
 from __future__ import annotations
 
+import csv
+import io
+import json
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAGES = "doc string, year string, doc_type string, page int, chars int, text string"
 MANIFEST = "year string, doc_type string, date string, title_cn string, url string, file string"
-#: Encodings to try, in order.
+# Encodings to try, in order; what a PDF file begins with and has at least.
 ENCODINGS = ("utf-8", "gb18030")
 PDF_MAGIC = b"%PDF"
 LEAST_BYTES = 1024
+BOM = "\ufeff"
+#: Rows that an export for readers may have: it is one file, written by the driver.
+EXPORT_ROWS = 100_000
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str = PAGES) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def write_json_lines(df: DataFrame, path: str) -> None:
+    """A JSON object a line, null fields included."""
+    df.write.option("ignoreNullFields", "false").json(path)
+
+
 def read_contents(spark: SparkSession, path: str) -> DataFrame:
     """doc, pos, level, title, page of a JSON object of document -> bookmarks."""
     kind = "map<string,array<struct<level:int,title:string,page:int>>>"
@@ -24,21 +38,80 @@ def read_contents(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("doc", F.posexplode("marks").alias("pos", "mark")).select("doc", "pos", "mark.*")
 
 
+def _rows(names: list[str], encoding: str):
+    """The rows of whole files, as strings; cells that a line lacks are null."""
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                reader = csv.reader(io.StringIO(content.as_py().decode(encoding), newline=""))
+                next(reader, None)
+                rows = [(r + [None] * len(names))[: len(names)] for r in reader if r]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] or None for r in rows], pa.string()) for i in range(len(names))], names)
+
+    return run
+
+
 def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     """A CSV with a header, quoted line ends and a possible byte order mark; and the encoding that fits its bytes."""
     raw = spark.read.format("binaryFile").load(path)
-    valid = raw.select(F.every(F.is_valid_utf8(F.col("content").cast("string"))).alias("ok")).first().ok
-    encoding = ENCODINGS[0] if valid else ENCODINGS[1]
-    if not valid:  # readers accept other character sets than Unicode's only so
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    df = spark.read.csv(path, header=True, multiLine=True, encoding=encoding, escape='"')
-    return df.toDF(*(c.removeprefix("﻿") for c in df.columns)), encoding
+    if raw.select(F.every(F.is_valid_utf8(F.col("content").cast("string"))).alias("ok")).first().ok is not False:
+        df = spark.read.csv(path, header=True, multiLine=True, encoding=ENCODINGS[0], escape='"')
+        return df.toDF(*(c.removeprefix(BOM) for c in df.columns)), ENCODINGS[0]
+    head = raw.select(F.substring("content", 1, 1 << 16).alias("x")).first().x.decode(ENCODINGS[1], "ignore")
+    names = next(csv.reader(io.StringIO(head, newline="")))
+    return raw.select("content").mapInArrow(_rows(names, ENCODINGS[1]), ", ".join(f"`{n}` string" for n in names)), ENCODINGS[1]
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path, header=True, quoteAll=True, escape='"')
 
 
+def _exported(df: DataFrame) -> list:
+    rows = df.limit(EXPORT_ROWS + 1).collect()
+    if len(rows) > EXPORT_ROWS:
+        raise ValueError(f"an export has at most {EXPORT_ROWS} rows; write larger tables with write_csv or write_json_lines")
+    return rows
+
+
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """One UTF-8 file on whatever file system the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def export_csv(df: DataFrame, path: str) -> None:
+    """A CSV for spreadsheets: one file with a byte order mark."""
+    out = io.StringIO(newline="")
+    writer = csv.writer(out)
+    writer.writerow(df.columns)
+    writer.writerows(["" if x is None else x for x in r] for r in _exported(df))
+    write_file(df.sparkSession, path, BOM + out.getvalue())
+
+
+def export_markdown(df: DataFrame, path: str, title: str) -> None:
+    """A summary as a Markdown table."""
+    cell = lambda x: "—" if x is None else str(x).replace("|", "\\|").replace("\n", " ")
+    rows = [df.columns, ["---"] * len(df.columns), *_exported(df)]
+    write_file(df.sparkSession, path, f"# {title}\n\n" + "\n".join("| " + " | ".join(map(cell, r)) + " |" for r in rows) + "\n")
+
+
+def export_json(df: DataFrame, path: str, *by: str) -> None:
+    """A summary as one JSON object, nested by the values of columns; values that are no numbers become null."""
+    out: dict = {}
+    for r in _exported(df):
+        row = {k: None if isinstance(v, float) and v != v else v for k, v in r.asDict(recursive=True).items()}
+        at = out
+        for c in by[:-1]:
+            at = at.setdefault(str(row.pop(c)), {})
+        at[str(row.pop(by[-1]))] = row
+    write_file(df.sparkSession, path, json.dumps(out, ensure_ascii=False, indent=2))
+
+
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     """path, length and whether it is a whole PDF file, of binary files."""
     f = spark.read.format("binaryFile").load(path)
@@ -48,3 +121,16 @@ def pdf_files(spark: SparkSession, path: str) -> DataFrame:
 def missing(wanted: DataFrame, done: DataFrame, *key: str) -> DataFrame:
     """What a resumed run has left to do, by key and not by position."""
     return wanted.join(done.select(*key).distinct(), list(key), "left_anti")
+
+
+def resumed(wanted: DataFrame, path: str, key: str, compute: Callable[[DataFrame], DataFrame], parts: int = 1) -> DataFrame:
+    """A table of computed rows at a path (Parquet), filled part by part with what it lacks: a run that was stopped goes on
+    where it ended."""
+    spark = wanted.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    for i in range(parts):
+        some = wanted.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            some = missing(some, spark.read.parquet(path), key)
+        compute(some).write.mode("append").parquet(path)
+    return spark.read.parquet(path)

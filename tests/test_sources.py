@@ -1,30 +1,59 @@
+import json
+
 import pytest
 
 from pagewright.sources import files
 
 
 def test_csv_encodings(spark, tmp_path):
-    text = '名,注\n"甲","一\n二"\n'
+    text = '名,注\n"甲","一\n二"\n乙,\n'
     for name, data, want in (("a.csv", text.encode("utf-8-sig"), "utf-8"), ("b.csv", text.encode("utf-8"), "utf-8"), ("c.csv", text.encode("gb18030"), "gb18030")):
         (tmp_path / name).write_bytes(data)
         df, encoding = files.read_csv(spark, f"file://{tmp_path}/{name}")
-        assert (df.columns, [tuple(r) for r in df.collect()], encoding) == (["名", "注"], [("甲", "一\n二")], want)
+        assert (df.columns, [tuple(r) for r in df.collect()], encoding) == (["名", "注"], [("甲", "一\n二"), ("乙", None)], want)
+    assert spark.conf.get("spark.sql.legacy.javaCharsets") == "false"
 
 
 def test_json_and_contents(spark, tmp_path):
     (tmp_path / "p.jsonl").write_text('{"doc": "d", "page": 1, "text": "x"}\n', "utf-8")
     r = files.read_json_lines(spark, f"file://{tmp_path}/p.jsonl").first()
     assert (r.doc, r.page, r.chars, r.text) == ("d", 1, None, "x")
+    files.write_json_lines(files.read_json_lines(spark, f"file://{tmp_path}/p.jsonl"), f"file://{tmp_path}/out")
+    assert [tuple(x) for x in files.read_json_lines(spark, f"file://{tmp_path}/out").collect()] == [tuple(r)]
     (tmp_path / "toc.json").write_text('{"d": [{"level": 1, "title": "t", "page": 3},\n {"level": 1, "title": "u", "page": 5}]}', "utf-8")
     assert [tuple(r) for r in files.read_contents(spark, f"file://{tmp_path}/toc.json").orderBy("pos").collect()] == [("d", 0, 1, "t", 3), ("d", 1, 1, "u", 5)]
 
 
+def test_exports(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([("甲", "x", 1.5, None), ("甲", "y|z", float("nan"), 2)], "a string, b string, c double, d int")
+    files.export_csv(df, f"file://{tmp_path}/t.csv")
+    assert (tmp_path / "t.csv").read_bytes().startswith(b"\xef\xbb\xbf")
+    back, _ = files.read_csv(spark, f"file://{tmp_path}/t.csv")
+    assert back.columns == df.columns and [r.b for r in back.collect()] == ["x", "y|z"]
+    files.export_markdown(df, f"file://{tmp_path}/t.md", "T")
+    assert (tmp_path / "t.md").read_text("utf-8").splitlines()[:5] == ["# T", "", "| a | b | c | d |", "| --- | --- | --- | --- |", "| 甲 | x | 1.5 | — |"]
+    files.export_json(df, f"file://{tmp_path}/t.json", "a", "b")
+    assert json.loads((tmp_path / "t.json").read_text("utf-8")) == {"甲": {"x": {"c": 1.5, "d": None}, "y|z": {"c": None, "d": 2}}}
+    monkeypatch.setattr(files, "EXPORT_ROWS", 1)
+    with pytest.raises(ValueError):
+        files.export_csv(df, f"file://{tmp_path}/u.csv")
+
+
 @pytest.mark.parametrize("data,ok", [(b"%PDF" + b"x" * 2000, True), (b"%PDF", False), (b"<html" + b"x" * 2000, False)])
 def test_pdf(spark, tmp_path, data, ok):
     (tmp_path / "f.pdf").write_bytes(data)
     assert files.pdf_files(spark, f"file://{tmp_path}/f.pdf").first().valid is ok
 
 
-def test_missing(spark):
-    a = spark.createDataFrame([(1, "a"), (2, "b")], "i int, s string")
-    assert [r.i for r in files.missing(a, a.where("i = 1"), "i").collect()] == [2]
+def test_missing_and_resumed(spark, tmp_path):
+    a = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "i int, s string")
+    assert [r.i for r in files.missing(a, a.where("i <> 2"), "i").collect()] == [2]
+    path, seen = f"file://{tmp_path}/v", []
+
+    def compute(df):
+        seen.extend(r.i for r in df.collect())
+        return df.selectExpr("i", "upper(s) AS v")
+
+    files.resumed(a.where("i < 3"), path, "i", compute, parts=2)
+    assert sorted((r.i, r.v) for r in files.resumed(a, path, "i", compute, parts=2).collect()) == [(1, "A"), (2, "B"), (3, "C")]
+    assert sorted(seen) == [1, 2, 3]
