@@ -11,8 +11,8 @@ from ..functions import quotes as q
 
 # The bands, best first; a place in this list is a level.
 BANDS = VERBATIM, PUNCTUATION, SCRIPT, MISSING = "逐字", "去标点", "繁简", "未命中"
-#: Characters of a segment's anchor; of a shorter segment SHORT, or all it has.
-GRAM, SHORT = 24, q.MIN_SEGMENT
+#: Characters of a segment's anchor: as many as it has of these.  A short anchor would be that of too many pages.
+WIDTHS = 64, 40, 24, 16, 12, 8, 6, 5, 4, 3, 2, 1
 #: Slots (a bit each, 16 MB) of the filter that keeps most of the corpus's positions out of the join.
 SLOTS = 1 << 27
 
@@ -40,7 +40,7 @@ def _grams(text: str, widths: list[int]) -> list[np.ndarray]:
 
 
 def _width(length: int) -> int:
-    return GRAM if length >= GRAM else min(length, SHORT)
+    return next(w for w in WIDTHS if w <= length)
 
 
 def _anchors(batches):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import spread
+
 #: The grid: a question, a reference answer, and a prediction of one of seven kinds for each document, as SQL that Spark
 #: and the oracle engine both run over `documents`.  `lead` is a passage of the text, at a place that differs by document.
 GRID = """
@@ -33,8 +35,13 @@ FROM documents WHERE text IS NOT NULL"""
 GRID_SQL, PAGES_SQL = f"grid AS ({GRID})", f"pages_ AS ({PAGES})"
 
 
+#: Tables of whole texts, whose rows cost more to work on than to deal out.
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
 
 
 def query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -8,6 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes a core that a table has to have to be read as its files lie.
+SPREAD_BYTES = 16_000_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few bytes dealt out to all cores, as one small file is one task; a larger one as it is."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir.  Without that setting a temporary one, in local mode only: elsewhere each executor
     would write to a disk of its own."""
