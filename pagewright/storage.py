@@ -13,11 +13,11 @@ SPREAD_BYTES = 16_000_000
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of few bytes dealt out to all cores, as one small file is one task; a larger one as it is."""
+    """A table of few bytes in fewer files than there are cores, dealt out to all cores; any other one as it is."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+    return df.repartition(cores) if size < cores * SPREAD_BYTES and len(df.inputFiles()) < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
