@@ -1,58 +1,26 @@
-"""Cutting lineage through tables in the shared folder, connected components, and size-checked broadcasts."""
+"""Connected components, size-checked broadcasts, and samples of a bounded size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a few bytes that may be broadcast; beyond it the same join is shuffled.
-BROADCAST_ROWS = 400_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir.  Without that setting a temporary one, in local mode only: elsewhere each executor
-    would write to a disk of its own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not at:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="pagewright-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, as a Parquet table in the shared folder: later jobs depend on that table only."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
+from ..storage import dropped, spread, written  # noqa: F401 (operators take them from here)
 
-def cleared(spark: SparkSession) -> None:
-    """Deletes all tables of `written` of this application, once their results are stored elsewhere."""
-    _delete(spark, f"{shared_dir(spark)}/cut-{spark.sparkContext.applicationId}")
+#: Bytes that may be broadcast; beyond it the same join is shuffled.
+BROADCAST_BYTES = 16_000_000
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes a table made by `written` that nothing will read again."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/cut-" in path:
-            _delete(df.sparkSession, path)
+def small(df: DataFrame) -> DataFrame:
+    """`df` (already written) with a broadcast hint if its rows, counted, are within the bound in bytes, else unchanged."""
+    return F.broadcast(df) if df.count() * _width(df) <= BROADCAST_BYTES else df
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` (already written) with a broadcast hint if its counted rows are within the bound, else unchanged."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _width(df: DataFrame) -> int:
+    """Bytes of a row: 40 a value, the longest array's 16 an element."""
+    lists = [F.size(f.name) for f in df.schema.fields if f.dataType.typeName() == "array"]
+    longest = max((x or 0 for x in df.agg(*(F.max(x) for x in lists)).first()), default=0) if lists else 0
+    return 40 * len(df.columns) + 16 * longest * len(lists)
 
 
 def whole_number(df: DataFrame, key: str) -> None:
