@@ -149,12 +149,28 @@ def test_lm_counts_and_normalisation(spark):
     assert len(untrained) == len(docs) and all(math.isfinite(r.score) and r.n_known == 0 for r in untrained)
 
 
-def test_lm_probabilities_sum_to_one():
-    k = logbilinear.SHORT + 1 + logbilinear.CLASSES
-    m = logbilinear.Model(np.arange(9, dtype=np.uint64), np.arange(9), np.arange(1.0, k + 1), np.ones(16), np.ones(16))
-    for one, two in ((0, 3), (k, k), (k - 1, k)):
-        p = 10 ** m.log10(np.arange(k), np.full(k, one), np.full(k, two))
-        assert abs(p.sum() - 1) < 1e-4
+@pytest.mark.parametrize("size", [0, 9, 700, 1500])
+def test_lm_probabilities_sum_to_one(size):
+    """Over all outputs, and over the words of each group, after any context."""
+    rng = np.random.default_rng(size)
+    m = logbilinear.Model(np.arange(size, dtype=np.uint64), np.arange(size), np.arange(size, 0, -1), 3.0, np.ones(logbilinear.CLASSES))
+    m.params = [p + rng.standard_normal(p.shape).astype(np.float32) for p in m.params]
+    outputs, contexts = len(m.freq), len(m.params[0])
+    assert len(m.output) == size and m.edges[-1] == size
+    for one, two in ((0, contexts - 1), (contexts - 1, contexts - 1), (contexts // 2, 1)):
+        word = np.arange(size)
+        rest = np.setdiff1d(np.arange(outputs), m.output)
+        token, inner = np.r_[m.output, rest], np.r_[np.maximum(word - m.short, -1), np.full(len(rest), -1)]
+        p = 10 ** m.log10(token, np.full(len(token), one), np.full(len(token), two), inner)
+        assert abs(p.sum() - 1) < 1e-3
+
+
+def test_lm_repeated_and_null_ids(spark):
+    rows = [(None, "a b a b " * 9), (None, "c d"), (1, "a b"), (1, "a b"), (1, "b a"), (2, None)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, chunk string, train int")
+    got = logbilinear.score(docs, F.lit(True)).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.n_known) for r in got) == [(0, 3, 3), (0, 37, 37), (1, 3, 3), (1, 3, 3), (1, 3, 3), (2, 1, 1)]
+    assert {r.train_tokens for r in got} == {50}
 
 
 def test_token_counts(spark):
