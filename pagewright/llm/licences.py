@@ -1,33 +1,36 @@
 """Licence scan by canonical digest: whole texts, and whole lines of texts, looked up among known licences.
 
-A text is made canonical (case, copyright lines, equivalent spellings, punctuation, white space), its digest is
-taken, and documents are hash-joined to the digests of the known licences.  Notices stand in documents as lines
-of their own, so each line is looked up the same way.  DataFrame functions only; nothing is shuffled: the known
-licences are a fixed table of this module, which is what bounds the broadcast.
-
-Defined results: null, empty or blank text, and text of copyright lines alone, has no digest and no licence; a
-document equal to several known texts (they are distinct after canonicalisation) cannot occur; repeated rows
-are scanned one by one; extra columns are kept unless they have the name of a result column, which replaces
-them; an empty table gives an empty result.
+A text is made canonical (case, copyright lines, punctuation, spacing, equivalent spellings, also across line ends), its digest
+is taken, and documents are hash-joined to the digests of the known licences.  Notices stand in documents as lines
+of their own, so each line is looked up the same way; a line longer than every known notice isn't hashed, as it is none.
+DataFrame functions only; nothing is shuffled: the known licences are a table of at most KNOWN_ROWS rows, which is what
+bounds the broadcast.
+
+Defined results: null, empty or blank text, and text of copyright lines alone, has no digest and no licence; of several
+known licences with one digest the first by name counts; repeated rows are scanned one by one, whatever their ids; a very long
+text is worked on whole (a few copies of it); extra columns are kept unless they have the name of a result
+column, which replaces them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Spellings that count as equal, as in the SPDX matching guidelines (pattern, replacement).
+#: Rows that a table of known licences may have.
+KNOWN_ROWS = 20_000
+
+# Spellings that count as equal, as in the SPDX matching guidelines, when punctuation is single spaces.
 EQUIVALENT = [
     ("licence", "license"),
-    ("sub[- ]license", "sublicense"),
-    ("non[- ]commercial", "noncommercial"),
-    ("copyright[- ]holder", "copyright owner"),
+    ("sub license", "sublicense"),
+    ("non commercial", "noncommercial"),
+    ("copyright holder", "copyright owner"),
     ("per cent", "percent"),
     ("authoris", "authoriz"),
     ("favour", "favor"),
     ("whilst", "while"),
-    ("https?://", "https "),
-    ("&", " and "),
+    ("http ", "https "),
 ]
 #: Lines that begin like this state who holds the rights, not under which terms.  A sign or a year has to follow, as
 #: "copyright holders" may well begin a wrapped line of the terms.
@@ -121,38 +124,88 @@ FRAMES = [
 ]
 
 
+# Digests of the canonical full texts of further licences (from the collection of common licences that Linux
+# distributions carry), which take too much room here.
+FULL_DIGESTS: list[tuple[str, str]] = [
+    ("Apache-2.0", "808c2341a5af49e02957457fcc086dc6"),
+    ("Artistic-1.0-Perl", "c1b81bf4478b19597097b63e59382266"),
+    ("CC0-1.0", "93a180096f6cfcf2c0dd24f75c2eec48"),
+    ("GFDL-1.2", "0ddc974af2022d1eb483df77268fc903"),
+    ("GFDL-1.3", "6dcd514fc8d59959d92fedf319737026"),
+    ("GPL-1.0", "b37a688f44419d3168b23775b65749eb"),
+    ("GPL-2.0", "422f821c6c0b1812cbde7c1c3be04922"),
+    ("GPL-3.0", "e21beb57088fc774cab16ba014b70f2d"),
+    ("LGPL-2.0", "ebf358251bfe9161668a8c8251261977"),
+    ("LGPL-2.1", "1ff066c677365f47fea81c911a7c822e"),
+    ("LGPL-3.0", "b31b7335bc37919e8cdd79154e04d88d"),
+    ("MPL-1.1", "9cdb0c94cb45abb55c616e067859d4ad"),
+    ("MPL-2.0", "db12a21e89062c14ac06f7d6aa8123d5"),
+]
+
+
 def known_texts() -> list[tuple[str, str]]:
     """(licence, text): full texts, each name in each frame, and SPDX tags."""
-    tags = sorted({x for x, _ in NAMES + FULL_TEXTS})
+    tags = sorted({x for x, _ in NAMES + FULL_TEXTS + FULL_DIGESTS})
     return [*FULL_TEXTS, *((x, f.format(n)) for x, n in NAMES for f in FRAMES), *((x, f"SPDX-License-Identifier: {x}") for x in tags)]
 
 
+def _lines(text: Column) -> Column:
+    """The text in canonical form, line ends kept."""
+    x = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
+    x = F.regexp_replace(F.replace(x, F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}\n]+", " ")
+    for old, new in EQUIVALENT:
+        x = F.replace(x, F.lit(old), F.lit(new))
+    return x
+
+
+def _whole(lines: Column) -> Column:
+    """Lines in canonical form as one: spellings that a line end had parted are made equal as well."""
+    x = F.regexp_replace(lines, r"[ \n]+", " ")
+    for old, new in EQUIVALENT:
+        if " " in old.strip():
+            x = F.replace(x, F.lit(old), F.lit(new))
+    return F.nullif(F.trim(x), F.lit(""))
+
+
 def canonical(text: Column) -> Column:
     """The text without case, copyright lines, variant spellings, punctuation and spacing; null if nothing is left."""
-    x = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " "), r"\s+", " ")
-    for pattern, to in EQUIVALENT:
-        x = F.regexp_replace(x, pattern, to) if any(c in pattern for c in "[?") else F.replace(x, F.lit(pattern), F.lit(to))
-    x = F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "))
-    return F.nullif(x, F.lit(""))
+    return _whole(_lines(text))
 
 
-def known(spark) -> DataFrame:
-    """licence, digest; one row per digest."""
+def known(spark: SparkSession, texts: DataFrame | None = None) -> DataFrame:
+    """licence, digest, size (of the canonical text; null where only its digest is known); one row per digest.
+
+    texts: further known licences (licence, text).
+    """
     rows = spark.createDataFrame(known_texts(), "licence string, t string")
-    return rows.select("licence", F.md5(canonical(F.col("t"))).alias("digest")).groupBy("digest").agg(F.min("licence").alias("licence"))
+    if texts is not None:
+        rows = rows.union(texts.select("licence", "text"))
+    rows = rows.withColumn("t", canonical(F.col("t"))).where("t is not null").select("licence", F.md5("t").alias("digest"), F.length("t").alias("size"))
+    if FULL_DIGESTS:
+        rows = rows.union(spark.createDataFrame([(*x, None) for x in FULL_DIGESTS], "licence string, digest string, size int"))
+    return rows.groupBy("digest").agg(F.min("licence").alias("licence"), F.max("size").alias("size"))
 
 
-def licence_scan(docs: DataFrame, text: str = "text") -> DataFrame:
+def licence_scan(docs: DataFrame, text: str = "text", texts: DataFrame | None = None) -> DataFrame:
     """The documents with `digest` of the canonical text, `licence` whose text it is (or null), `notices` (sorted
-    licences that lines of it state) and `notice_lines` (how many lines do)."""
-    # a few hundred rows of this module's own table, whatever the input
-    table = known(docs.sparkSession).select(F.col("digest").alias("__digest"), F.col("licence").alias("__licence"))
-    lookup = [(r["__digest"], r["__licence"]) for r in table.orderBy("__digest").collect()]
-    pairs = F.map_from_arrays(F.array(*(F.lit(d) for d, _ in lookup)), F.array(*(F.lit(x) for _, x in lookup)))
-    lines = F.split(F.col(text), "\n", -1)
-    stated = F.filter(F.transform(lines, lambda x: F.try_element_at(pairs, F.md5(F.coalesce(canonical(x), F.lit(""))))), lambda x: x.isNotNull())
-    out = docs.withColumn("digest", F.md5(canonical(F.col(text)))).withColumn("__stated", F.coalesce(stated, F.array().cast("array<string>")))
-    out = out.join(F.broadcast(table), F.col("digest") == F.col("__digest"), "left")
-    out = out.withColumn("licence", F.col("__licence")).withColumn("notices", F.array_sort(F.array_distinct("__stated"))).withColumn("notice_lines", F.size("__stated"))
-    return out.drop("__digest", "__licence", "__stated")
-
+    licences that lines of it state) and `notice_lines` (how many lines do).
+
+    texts: known licences (licence, text) beside those of this module.
+    """
+    spark = docs.sparkSession
+    lookup = known(spark, texts).orderBy("digest").limit(KNOWN_ROWS + 1).collect()
+    if len(lookup) > KNOWN_ROWS:
+        raise ValueError(f"at most {KNOWN_ROWS} known texts")
+    notices = [r for r in lookup if r["size"] is not None]
+    longest = max(r["size"] for r in notices)
+    pairs = F.map_from_arrays(F.array(*(F.lit(r.digest) for r in notices)), F.array(*(F.lit(r.licence) for r in notices)))
+    names, results = docs.columns, ("digest", "licence", "notices", "notice_lines")
+    base = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("lines", _lines(F.col(f"c{names.index(text)}").cast("string")))
+    short = F.filter(F.transform(F.split("lines", "\n", -1), lambda x: F.trim(x)), lambda x: F.length(x).between(1, longest))
+    # a set first, as looking up in a map goes through all of it
+    stated = F.filter(F.transform(short, F.md5), lambda x: x.isin(*(r.digest for r in notices)))
+    stated = F.coalesce(F.transform(stated, lambda x: F.element_at(pairs, x)), F.array().cast("array<string>"))
+    table = spark.createDataFrame([(r.digest, r.licence) for r in lookup], "known string, licence string")
+    out = base.withColumn("digest", F.md5(_whole(F.col("lines")))).withColumn("stated", stated).join(F.broadcast(table), F.col("digest") == F.col("known"), "left")
+    kept = [F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n not in results]
+    return out.select(*kept, "digest", "licence", F.array_sort(F.array_distinct("stated")).alias("notices"), F.size("stated").alias("notice_lines"))

@@ -98,11 +98,20 @@ def _text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+def _replaced(x: str, pairs) -> str:
+    for old, new in pairs:
+        x = f"replace({x}, {_text(old)}, {_text(new)})"
+    return x
+
+
+def _canonical_lines(x: str) -> str:
+    x = f"regexp_replace(replace(regexp_replace(lower({x}), {_text(licences.COPYRIGHT_LINE)}, ' ', 'g'), '&', ' and '), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    return _replaced(x, licences.EQUIVALENT)
+
+
 def _canonical(x: str) -> str:
-    x = f"regexp_replace(regexp_replace(lower({x}), {_text(licences.COPYRIGHT_LINE)}, ' ', 'g'), '\\s+', ' ', 'g')"
-    for pattern, to in licences.EQUIVALENT:
-        x = f"regexp_replace({x}, {_text(pattern)}, {_text(to)}, 'g')"
-    return f"nullif(trim(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), '')"
+    """Of lines in canonical form."""
+    return f"nullif(trim({_replaced(f"regexp_replace({x}, '[ \\n]+', ' ', 'g')", [p for p in licences.EQUIVALENT if ' ' in p[0].strip()])}), '')"
 
 
 ORACLE_SQL = {
@@ -181,11 +190,13 @@ o AS (
 SELECT doc_id, source, pass::INT AS pass, CASE WHEN tokens = 0 THEN 0 ELSE least(63, floor(start * 64 / most)) END::INT AS block, n AS n_tokens
 FROM o WHERE start < most OR tokens = 0 OR (n = 0 AND pass = 0)""",
     "op9_licence_scan": f"""
-WITH k AS (
-  SELECT md5({_canonical('t')}) AS digest, min(licence) AS licence FROM (VALUES {', '.join(f"({_text(x)}, {_text(t)})" for x, t in licences.known_texts())}) v(licence, t) GROUP BY 1),
-d AS (SELECT row_number() OVER () AS i, doc_id, text FROM documents),
-l AS (SELECT i, md5({_canonical('line')}) AS digest FROM (SELECT i, unnest(string_split(text, chr(10))) AS line FROM d)),
+WITH t AS (SELECT licence, {_canonical(_canonical_lines('t'))} AS t FROM (VALUES {', '.join(f"({_text(x)}, {_text(t)})" for x, t in licences.known_texts())}) v(licence, t)),
+k AS (SELECT md5(t) AS digest, min(licence) AS licence FROM t GROUP BY 1),
+a AS (SELECT digest, min(licence) AS licence FROM (SELECT * FROM k UNION ALL VALUES {', '.join(f"({_text(d)}, {_text(x)})" for x, d in licences.FULL_DIGESTS)}) u(digest, licence) GROUP BY 1),
+d AS (SELECT row_number() OVER () AS i, doc_id, {_canonical_lines('text')} AS lines FROM documents),
+w AS (SELECT i, doc_id, lines, md5({_canonical('lines')}) AS digest FROM d),
+l AS (SELECT i, md5(trim(line)) AS digest FROM (SELECT i, unnest(string_split(lines, chr(10))) AS line FROM d)),
 n AS (SELECT i, count(*) AS lines, array_to_string(list_sort(list_distinct(list(licence))), ',') AS notices FROM l JOIN k ON k.digest = l.digest GROUP BY i)
-SELECT doc_id, md5({_canonical('text')}) AS digest, k.licence, coalesce(notices, '') AS notices, coalesce(lines, 0)::INT AS notice_lines
-FROM d LEFT JOIN k ON k.digest = md5({_canonical('text')}) LEFT JOIN n ON n.i = d.i""",
+SELECT doc_id, w.digest, a.licence, coalesce(notices, '') AS notices, coalesce(n.lines, 0)::INT AS notice_lines
+FROM w LEFT JOIN a ON a.digest = w.digest LEFT JOIN n ON n.i = w.i""",
 }

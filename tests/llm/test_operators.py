@@ -363,6 +363,17 @@ def test_licences(spark):
     assert licences.licence_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_licence_tables(spark):
+    """Own texts, spellings that a line end parts, repeated rows and ids, clashing names; and a text that only a digest is known of."""
+    own = spark.createDataFrame([("house", "You may use this per cent, for non-commercial ends."), ("void", " .")], "licence string, text string")
+    rows = [(1, "© 2001 A\nYOU may use this per\ncent for non\ncommercial ends"), (1, "x\nyou may use this percent; for noncommercial ends!\ny"), (None, "you may use this percent for noncommercial ends"), (2, None)]
+    docs = spark.createDataFrame([(*r, 7, "own") for r in rows], "doc_id long, text string, known int, lines string")
+    got = licences.licence_scan(docs, texts=own).collect()
+    assert [(r.licence, r.notices, r.notice_lines, r.known, r.lines) for r in got] == [("house", [], 0, 7, "own"), (None, ["house"], 1, 7, "own"), ("house", ["house"], 1, 7, "own"), (None, [], 0, 7, "own")]
+    licence, digest = licences.FULL_DIGESTS[0]
+    assert licences.known(spark).where(F.col("digest") == digest).first().licence == licence
+
+
 def test_language_id(spark):
     rng = random.Random(2)
     parts = {"en": ["the", "and", "ing", "tion", "with"], "de": ["der", "und", "ung", "schön", "keit"], "fr": ["les", "eau", "ment", "où", "que"]}
