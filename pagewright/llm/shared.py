@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import dropped, spread, written  # noqa: F401 (operators take them from here)
@@ -11,6 +13,12 @@ from ..storage import dropped, spread, written  # noqa: F401 (operators take the
 BROADCAST_BYTES = 16_000_000
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs, which it does when the driver's JVM collects what named them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small(df: DataFrame) -> DataFrame:
     """`df` (already written) with a broadcast hint if its rows, counted, are within the bound in bytes, else unchanged."""
     return F.broadcast(df) if df.count() * _width(df) <= BROADCAST_BYTES else df
