@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import itq, langid, licences, line_dedup, logbilinear, mixing, ngram_join, quality, suffix_search, token_counts
-from .shared import spread
+from .shared import spread, whole_texts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = whole_texts(spark).read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(df) if name in ("documents", "pages") else df
 
 

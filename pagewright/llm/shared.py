@@ -13,6 +13,16 @@ from ..storage import dropped, spread, written  # noqa: F401 (operators take the
 BROADCAST_BYTES = 16_000_000
 
 
+#: Rows that a Python worker gets at once: each may be a long text.
+BATCH_ROWS = 1_000
+
+
+def whole_texts(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of few rows, as a batch of texts is held whole on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark
+
+
 def freed(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished jobs, which it does when the driver's JVM collects what named them."""
     gc.collect()
