@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import itq, langid, licences, line_dedup, logbilinear, mixing, ngram_join, quality, suffix_search, token_counts
+from . import ball_clusters, itq, langid, licences, line_dedup, logbilinear, mixing, ngram_join, packing, quality, suffix_search, token_counts, whitening
 from .shared import spread, whole_texts
 
 
@@ -77,6 +77,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(rows, langid.fit(docs), ["doc_id", "page_id"], declared="declared", host="host")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ball_clusters.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3, dim=64)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), size=2_048)
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_decontamination": op2_decontamination,
@@ -88,6 +101,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_licence_scan": op9_licence_scan,
     "op10_language_id": op10_language_id,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_whitening": op12_whitening,
+    "op13_packing": op13_packing,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -114,7 +130,35 @@ def _canonical(x: str) -> str:
     return f"nullif(trim({_replaced(f"regexp_replace({x}, '[ \\n]+', ' ', 'g')", [p for p in licences.EQUIVALENT if ' ' in p[0].strip()])}), '')"
 
 
+def _k_means(k: int, rounds: int, seed: int, dim: int) -> str:
+    """Every vector against every centroid, a round after the other."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT i, vec_id, x, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT v.i, v.vec_id, v.x, c.c, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{r} c) GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY p) AS x FROM (
+      SELECT c, p, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(x) AS x, generate_subscripts(x, 1) AS p FROM a{r}) GROUP BY c, p) GROUP BY c) m ON m.c = c.c)""")
+    last = f"a{rounds}"
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, vec_id, x) - 1 AS c, x FROM (
+    SELECT *, sha256(concat('{seed}:', vec_id)) AS h FROM v WHERE vec_id IS NOT NULL ORDER BY h, vec_id, x LIMIT {k})),
+{", ".join(steps)},
+t AS (SELECT c, sum(d)::BIGINT AS d FROM {last} GROUP BY c)
+SELECT vec_id, a.c::INT AS cluster, a.d AS distance, t.d AS cluster_inertia, (SELECT sum(d) FROM t)::BIGINT AS inertia,
+  sha256(array_to_string(z.x, ',')) AS centroid_sha256
+FROM {last} a JOIN t ON t.c = a.c JOIN c{rounds} z ON z.c = a.c"""
+
+
 ORACLE_SQL = {
+    "op11_centroid_clustering": _k_means(k=8, rounds=10, seed=3, dim=64),
     "op1_ngram_jaccard": f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
