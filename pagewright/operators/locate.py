@@ -1,96 +1,138 @@
-"""Where quoted text stands in a corpus, and how exactly: verbatim, punctuation aside, script aside, or not at all."""
+"""Where quoted text stands in a corpus, and how exactly: verbatim, punctuation aside, script aside, or not at all.
+
+The corpus is indexed once: pages are gathered to shards of about SHARD characters, each with the suffix array of its text
+without punctuation and in one script.  An index is a table (a row a shard) that can be kept and read again.  Segments are
+searched in blocks of bounded bytes: a block goes to all tasks, which look up all its segments in a shard together; what stands
+in a shard is known from its suffix array alone, whatever a segment's length, and only pages that hold a segment are looked at
+for punctuation and script.  No page and no position is shuffled.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import quotes as q
+from ..functions.script import Converter, bare, squeezed
+from ..storage import written
+from . import suffixes as sx
 
 # The bands, best first; a place in this list is a level.
 BANDS = VERBATIM, PUNCTUATION, SCRIPT, MISSING = "逐字", "去标点", "繁简", "未命中"
-#: Characters of a segment's anchor: as many as it has of these.  A short anchor would be that of too many pages.
-WIDTHS = 64, 40, 24, 16, 12, 8, 6, 5, 4, 3, 2, 1
-#: Slots (a bit each, 16 MB) of the filter that keeps most of the corpus's positions out of the join.
-SLOTS = 1 << 27
-
-_BASE, _powers = 0xD6E8FEB86659FD93, [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _grams(text: str, widths: list[int]) -> list[np.ndarray]:
-    """Hash of the window at each position, for each width."""
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-    if len(_powers[0]) <= len(code):
-        for i, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            x = np.full(2 * len(code) + 2, b, np.uint64)
-            x[0] = 1
-            _powers[i] = np.multiply.accumulate(x)
-    up, down = _powers
-    run = np.zeros(len(code) + 1, np.uint64)
-    np.cumsum(code * code * np.uint64(0x9E3779B97F4A7C15) * up[: len(code)], out=run[1:])
-    out = []
-    for w in widths:
-        n = max(len(code) - w + 1, 0)
-        h = (run[w : w + n] - run[:n]) * down[:n] + np.uint64(w)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out.append((h ^ (h >> np.uint64(32))).view(np.int64))
-    return out
-
-
-def _width(length: int) -> int:
-    return next(w for w in WIDTHS if w <= length)
-
-
-def _anchors(batches):
-    """Of each segment: the hash of its first characters, and how many they are."""
-    for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("n3")).to_pylist()
-        width = [_width(len(t)) for t in texts]
-        anchor = [int(_grams(t[:w], [w])[0][0]) for t, w in zip(texts, width)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(anchor, pa.int64()), pa.array(width, pa.int32())], [*batch.schema.names, "g", "w"])
-
-
-def _index(shared):
-    """Distinct hashes of each page's positions that the filter lets through."""
+#: Characters of a shard (a longer page is a shard of its own), bytes of a block of segments, matches laid out at once.
+SHARD, BLOCK_BYTES, MATCHES = 1 << 20, 32_000_000, 1 << 21
+_BETWEEN = "\0"  # no bare text holds it
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def _shards(table: Mapping[str, str] | None, size: int):
+    convert = Converter(table)
+
+    def row(keys, texts, flat):
+        joined = _BETWEEN.join(flat)
+        code = sx.codes(joined)
+        code[code == 1] = 0
+        order = sx.suffix_array(sx.keys(code))
+        keys = pa.concat_arrays(keys)
+        cells = [pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([texts], pa.list_(pa.string())), pa.array([joined]), pa.array([order.astype("<i4").tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(cells, ["keys", "texts", "flat", "places"])
 
     def run(batches):
-        widths, bits = shared.value
+        keys, texts, flat, held = [], [], [], 0
         for batch in batches:
             for i, text in enumerate(batch.column(1).to_pylist()):
-                for h in _grams(text, widths):
-                    slot = h & (SLOTS - 1)
-                    h = np.unique(h[(bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0])
-                    if len(h):
-                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(h), np.int32))), pa.array(h)], ["p", "g"])
+                keys.append(batch.column(0).slice(i, 1))
+                texts.append(text)
+                flat.append(bare(convert(text)))
+                held += len(flat[-1]) + 1
+                if held >= size:
+                    yield row(keys, texts, flat)
+                    keys, texts, flat, held = [], [], [], 0
+        if keys:
+            yield row(keys, texts, flat)
 
     return run
 
 
-def locate(segments: DataFrame, pages: DataFrame, key: str, segment: str, page_key: str, text: str) -> DataFrame:
-    """(key, page_key, level, band) for every page that holds a segment: level 0 verbatim but for spacing, 1 but for punctuation
-    as well, 2 but for the script as well.
+def index(pages: DataFrame, page_key: str, text: str, table: Mapping[str, str] | None = None, path: str | None = None, shard: int = SHARD) -> DataFrame:
+    """The suffix index of pages, at a path or in the shared folder: `spark.read.parquet` opens it again.  Null texts are left out.
 
-    A segment is looked up by its first characters in the positions of the pages, an equi-join whose candidates are then
-    searched.  A bitmap of the anchors, of fixed size, goes to the executors first, so that only positions that may be
-    an anchor's leave the scan; the texts that meet a candidate are all that is shuffled.  Blank and null segments
-    are nowhere.
+    table: phrases and characters of the other script (default: `quotes`).
     """
-    spark = pages.sparkSession
-    kind = lambda df, c: df.schema[c].dataType.simpleString()
-    s = segments.select(F.col(key).alias("k"), q.squeezed(F.col(segment)).alias("n1"), q.bare(F.col(segment)).alias("n2"), q.bare(q.simplified(F.col(segment))).alias("n3")).where("n3 <> ''")
-    s = s.mapInArrow(_anchors, f"k {kind(s, 'k')}, n1 string, n2 string, n3 string, g long, w int")
-    slot = F.col("g").bitwiseAND(F.lit(SLOTS - 1))
-    words = s.groupBy((slot / 32768).cast("int").alias("at")).agg(F.bitmap_construct_agg(slot % 32768).alias("bits"), F.collect_set("w").alias("w")).collect()  # 4 kB each, SLOTS / 32768 at most
-    bits, widths = np.zeros(SLOTS // 8, np.uint8), set()
-    for r in words:
-        bits[r.at * 4096 : (r.at + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
-        widths |= set(r.w)
-    shared = spark.sparkContext.broadcast((sorted(widths), bits))
-    p = pages.select(F.col(page_key).alias("p"), q.squeezed(F.col(text)).alias("t1"), q.bare(F.col(text)).alias("t2"), q.bare(q.simplified(F.col(text))).alias("t3"))
-    at = p.select("p", "t3").mapInArrow(_index(shared), f"p {kind(p, 'p')}, g long")
-    both = at.join(s, "g").join(p, "p").where(F.contains("t3", "n3"))
-    same = F.contains("t2", "n2")
-    level = F.when(same & F.contains("t1", "n1"), 0).when(same, 1).otherwise(2)
-    return both.select(F.col("k").alias(key), F.col("p").alias(page_key), level.alias("level")).distinct().withColumn("band", F.element_at(F.array(*map(F.lit, BANDS)), F.col("level") + 1))
+    p = pages.select(F.col(page_key).alias("key"), F.col(text).alias("text")).where("text is not null")
+    rows = p.mapInArrow(_shards(table, shard), f"keys array<{_kind(p, 'key')}>, texts array<string>, flat string, places binary")
+    if path is None:
+        return written(rows)
+    rows.write.parquet(path)
+    return pages.sparkSession.read.parquet(path)
+
+
+def _found(shared):
+    """(key, page, level) of the segments of a block in each shard."""
+
+    def run(batches):
+        block, (squeezed_, bare_), patterns = shared.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                flat = batch.column(2)[i].as_py()
+                code = sx.codes(flat)
+                code[code == 1] = 0
+                order = np.frombuffer(batch.column(3)[i].as_py(), "<i4")
+                lo, hi = sx.ranges(sx.keys(code), order, patterns)
+                hits = np.flatnonzero(lo < hi)
+                if not len(hits):
+                    continue
+                page_of = np.cumsum(code == 0)
+                keys, texts, seen = batch.column(0)[i].values, batch.column(1)[i].values, {}
+                many = np.cumsum(hi[hits] - lo[hits])
+                start = 0
+                while start < len(hits):
+                    stop = max(start + 1, int(np.searchsorted(many, (many[start - 1] if start else 0) + MATCHES)))
+                    some = hits[start:stop]
+                    n = hi[some] - lo[some]
+                    ranks = np.repeat(lo[some] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                    pairs = np.unique(np.repeat(some, n) * (len(keys) + 1) + page_of[order[ranks]])
+                    who, where = np.divmod(pairs, len(keys) + 1)
+                    level = np.full(len(who), 2, np.int32)
+                    for j, (s, p) in enumerate(zip(who.tolist(), where.tolist())):
+                        if p not in seen:
+                            t = texts[p].as_py()
+                            seen[p] = squeezed(t), bare(t)
+                        if bare_[s] in seen[p][1]:
+                            level[j] = 0 if squeezed_[s] in seen[p][0] else 1
+                    yield pa.RecordBatch.from_arrays([block.take(pa.array(who)), keys.take(pa.array(where)), pa.array(level)], ["k", "p", "level"])
+                    start = stop
+
+    return run
+
+
+def search(segments: DataFrame, index: DataFrame, key: str, segment: str, page_key: str, table: Mapping[str, str] | None = None) -> DataFrame:
+    """(key, page_key, level, band) for every page that holds a segment: level 0 verbatim but for spacing, 1 but for punctuation
+    as well, 2 but for the script as well.  Blank and null segments are nowhere; table: as for `index`."""
+    spark = index.sparkSession
+    s = written(segments.select(F.col(key).alias("k"), F.col(segment).alias("s")).where("s is not null").distinct())
+    blocks = max(1, -(-(s.agg(F.sum(4 * F.length("s") + 40)).first()[0] or 0) // BLOCK_BYTES))
+    convert = Converter(table)
+    page = index.schema["keys"].dataType.elementType.simpleString()
+    out = None
+    for b in range(blocks):
+        rows = s.where(F.pmod(F.xxhash64("s"), F.lit(blocks)) == b).toArrow()  # BLOCK_BYTES about
+        texts = rows.column("s").to_pylist()
+        patterns = sx.Patterns([bare(convert(t)) for t in texts])
+        keys = rows.column("k").combine_chunks()
+        shared = spark.sparkContext.broadcast((keys, ([squeezed(t) for t in texts], [bare(t) for t in texts]), patterns))
+        found = index.mapInArrow(_found(shared), f"k {_kind(s, 'k')}, p {page}, level int")
+        out = found if out is None else out.unionByName(found)
+    band = F.element_at(F.array(*map(F.lit, BANDS)), F.col("level") + 1)
+    return out.groupBy(F.col("k").alias(key), F.col("p").alias(page_key)).agg(F.min("level").alias("level")).withColumn("band", band)
+
+
+def locate(segments: DataFrame, pages: DataFrame, key: str, segment: str, page_key: str, text: str, table: Mapping[str, str] | None = None) -> DataFrame:
+    """`search` in an index made for it."""
+    return search(segments, index(pages, page_key, text, table), key, segment, page_key, table)
