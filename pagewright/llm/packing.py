@@ -8,7 +8,8 @@ or more are filled with cut documents from the emptiest bins, and the one bin th
 two, which need no padding.  So a sequence lacks fewer than `smallest` tokens, or none at a power of two.
 
 Encoding goes word by word, with a memory of words: the tokenizer drops white space and no piece spans it, so that the ids of a
-text are those of its words.  The tokenizer itself encodes every word that is not remembered.
+text are those of its words.  The tokenizer itself encodes every word that is not remembered.  (A tokenizer that keeps white space
+cannot be used here.)
 
 Defined results: null and empty texts are the end id alone; rows with null or repeated ids, and repeated rows, are documents
 of their own; very long texts are encoded whole; equal lengths are packed in the order of the rows; special tokens spelt in a text
@@ -17,19 +18,29 @@ are what the tokenizer makes of them; extra columns are ignored, whatever their
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GROUP_ROWS = 2_048
-#: Words that a Python worker remembers, and the bytes of the longest of them.
-WORDS, WORD_BYTES = 200_000, 48
+#: Words that a Python worker remembers (twice as many at most), and the bytes of the longest of them.
+WORDS, WORD_BYTES = 400_000, 48
 _PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Characters that stay as they are when composed, and whose lower case is one character.
+_LATIN = re.compile("[!-~À-ÿ]+")
+#: The letters that byte-level models have for bytes: themselves where they are printable, else the next from 256 on.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_LETTER = {b: chr(b) for b in _SEEN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SEEN)))}
 _made: dict = {}
+_words: dict = {}
 
 
 def tokenizer(path: str | None = None):
@@ -44,36 +55,82 @@ def tokenizer(path: str | None = None):
 
 
 class Words:
-    """Ids of texts (bytes in, 32-bit little-endian ids out), through those of their words."""
+    """Ids of texts (bytes in, 32-bit little-endian ids out), through those of their words.
+
+    Of the words, the last WORDS to 2 * WORDS different ones are remembered.  Other words are encoded together, with a special token
+    of the tokenizer between them, as what stands beside one has no part in a word's ids.  Words of Latin letters whose rules the
+    tokenizer states (lower case, a pattern for pieces, bytes as letters) go to its model piece by piece, which is quicker.
+    """
 
     def __init__(self, path: str | None = None):
-        self.tokenizer, self.known = tokenizer(path), {}
-
-    def __call__(self, text: bytes) -> bytes:
-        words = text.split()  # at ASCII white space
-        parts = list(map(self.known.get, words))
-        if None in parts:
-            new = list({w for w, p in zip(words, parts) if p is None})
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            ids = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, found)}
-            parts = [ids[w] if p is None else p for w, p in zip(words, parts)]
-            if len(self.known) + len(ids) > WORDS:
-                self.known = {}
-            self.known |= {w: x for w, x in ids.items() if len(w) <= WORD_BYTES}
-        return b"".join(parts)
+        self.tokenizer, self.known, self.before, self.pieces = tokenizer(path), {}, {}, {}
+        self.model = self.tokenizer.model
+        rules = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])]
+        cuts = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+        plain = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and rules["model"]["type"] == "BPE"
+        plain = plain and cuts[0]["invert"] and cuts[0]["behavior"] == "Removed" and not (cuts[1]["add_prefix_space"] or cuts[1]["use_regex"])
+        self.pattern = regex.compile(cuts[0]["pattern"]["Regex"]) if plain else None
+        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized]
+        self.between = min(special, default=None)
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        words = [t.split() for t in texts]  # at ASCII white space
+        found = [list(map(self.known.get, w)) for w in words]
+        new = {w for own, ids in zip(words, found) if None in ids for w, x in zip(own, ids) if x is None}
+        ids = {w: self.before[w] for w in new if w in self.before}
+        new.difference_update(ids)
+        ids |= self._encoded(list(new))
+        out = []
+        for own, parts in zip(words, found):
+            if None in parts:
+                parts = [ids[w] if x is None else x for w, x in zip(own, parts)]
+            out.append(b"".join(parts))
+        if len(self.known) + len(ids) > WORDS:
+            self.known, self.before = {}, self.known
+        self.known |= {w: x for w, x in ids.items() if len(w) <= WORD_BYTES}
+        return out
+
+    def _piece(self, piece: str) -> bytes:
+        if piece not in self.pieces:
+            if len(self.pieces) > WORDS:
+                self.pieces.clear()
+            self.pieces[piece] = array("I", [x.id for x in self.model.tokenize("".join(map(_LETTER.__getitem__, piece.encode())))]).tobytes()
+        return self.pieces[piece]
+
+    def _encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
+        out = {}
+        plain = []
+        for w in words:
+            if self.pattern and (t := w.decode()) and len(w) <= WORD_BYTES and _LATIN.fullmatch(t) and "<" not in t:
+                out[w] = b"".join(map(self._piece, self.pattern.findall(t.lower())))
+            elif self.between is None or len(w) > WORD_BYTES or b"<" in w:  # may spell a special token
+                out[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                plain.append(w)
+        for start in range(0, len(plain), 1_000):
+            some = plain[start : start + 1_000]
+            ids = np.array(self.tokenizer.encode(self.between[1].join(w.decode() for w in some), add_special_tokens=False).ids, "<u4")
+            cut = np.flatnonzero(ids == self.between[0])
+            flat = ids.tobytes()
+            out.update((w, flat[4 * a : 4 * b]) for w, a, b in zip(some, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True))
+        return out
 
 
 def _encoded(path: str | None, size: int, end: int):
     def run(batches):
         from pyspark import TaskContext
 
-        encode, row, last = Words(path), TaskContext.get().partitionId() << 40, int(end).to_bytes(4, "little")
+        if path not in _words:
+            _words[path] = Words(path)  # for all tasks of this worker
+        encode = _words[path]
+        row, last = TaskContext.get().partitionId() << 40, int(end).to_bytes(4, "little")
         for batch in batches:
             for first in range(0, batch.num_rows, 100):  # few tails at once
                 part = batch.slice(first, 100)
                 out = []
-                for text in part.column(1).cast(pa.binary()).to_pylist():
-                    ids = encode(text or b"") + last
+                for ids in encode([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]):
+                    ids += last
                     full = len(ids) // (4 * size)
                     out.append((len(ids) // 4, [zlib.crc32(ids[4 * size * i : 4 * size * (i + 1)]) for i in range(full)], ids[4 * size * full :], row))
                     row += 1

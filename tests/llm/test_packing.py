@@ -102,6 +102,7 @@ def test_words_are_forgotten_not_changed(monkeypatch):
     monkeypatch.setattr(packing, "WORDS", 10)
     encode = packing.Words()
     for i in range(60):
-        text = f"alpha{i} beta{i % 7} GAMMA don't {i}"
-        assert np.frombuffer(encode(text.encode()), "<u4").tolist() == packing.tokenizer().encode(text, add_special_tokens=False).ids
-        assert len(encode.known) <= 10
+        texts = [f"alpha{i} beta{i % 7} GAMMA don't {i}", "", f"a<|endoftext|>b beta{i % 3} <x> " + "long" * 30]
+        want = [packing.tokenizer().encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode([t.encode() for t in texts])] == want
+        assert len(encode.known) <= 20
