@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions.pages import is_table
 from ..functions.text import stripped
+from ..storage import written
+from .ordering import numbered, running_sum
 
 # Sizes in characters and in shares of the target, and the sections that are wanted.
 LEAST_PAGE, SHORT_PAGE, LONG_PAGE, LONG_PIECE = 40, 400, 1.7, 1.4
@@ -35,19 +36,22 @@ def pieces(text: Column, target: int) -> Column:
 def chunk(pages: DataFrame, wanted: str = SECTIONS, target: int = 650) -> DataFrame:
     """doc, seq (from 0 in each doc), section, page_start, page_end, text, chars, has_table.
 
-    pages: doc, page, section, text; ties on the page go by text.  What was gathered so far matters to short pages only:
+    pages: doc, page, section, text; ties on the page go by a hash of the text.  What was gathered so far matters to short pages only:
     a page of an unwanted section, a long one and one of SHORT_PAGE characters all end it.  So a document falls into stretches
-    of one such page and the short pages behind it, which are folded one by one, each over its own few rows.
+    of one such page and the short pages behind it, which are folded one by one, each over its own few rows.  Stretches and chunks
+    are numbered without their texts, in ranges, so that a document may have any share of the pages.
     """
     p = pages.select("doc", F.col("page").cast("long").alias("page"), F.coalesce("section", F.lit("")).alias("section"), F.coalesce("text", F.lit("")).alias("text"))
     size = F.length("text")
     kind = F.when(~F.col("section").rlike(wanted), "out").when(size < LEAST_PAGE, "skip").when(size > target * LONG_PAGE, "long").when(size >= SHORT_PAGE, "start").otherwise("short")
     p = p.withColumn("kind", kind).where("kind <> 'skip'")
-    p = p.withColumn("stretch", F.sum((F.col("kind") != "short").cast("int")).over(Window.partitionBy("doc").orderBy("page", "text").rowsBetween(Window.unboundedPreceding, 0)))
+    p = written(p.withColumn("digest", F.md5("text")).withColumn("row", F.monotonically_increasing_id()))
+    starts = p.select("row", "doc", "page", "digest", (F.col("kind") != "short").cast("int").alias("starts"))
+    p = p.join(running_sum(starts, ["doc"], ["page", "digest", "row"], "starts", "stretch").select("row", "stretch"), "row")
     whole = lambda text, ready: F.struct("section", F.col("page").alias("page_start"), F.col("page").alias("page_end"), text.alias("text"), ready.alias("open"))
     parts = F.when(F.col("kind") == "out", F.array().cast(f"array<{_CHUNK}>")).when(F.col("kind") == "long", F.transform(pieces(F.col("text"), target), lambda x: whole(x, F.lit(False))))
     parts = parts.otherwise(F.array(whole(F.col("text"), F.length("text") < target)))
-    groups = p.select("doc", "stretch", "page", "text", parts.alias("parts")).groupBy("doc", "stretch").agg(F.array_sort(F.collect_list(F.struct("page", "text", "parts"))).alias("rows"))
+    groups = p.select("doc", "stretch", "page", "digest", "row", parts.alias("parts")).groupBy("doc", "stretch").agg(F.array_sort(F.collect_list(F.struct("page", "digest", "row", "parts"))).alias("rows"))
 
     def step(out: Column, x: Column) -> Column:
         last = F.try_element_at(out, F.lit(-1))
@@ -57,20 +61,20 @@ def chunk(pages: DataFrame, wanted: str = SECTIONS, target: int = 650) -> DataFr
 
     folded = F.aggregate(F.flatten(F.transform("rows", lambda r: r["parts"])), F.array().cast(f"array<{_CHUNK}>"), step)
     out = groups.select("doc", "stretch", F.posexplode(folded).alias("pos", "x")).select("doc", "stretch", "pos", "x.*")
-    seq = F.row_number().over(Window.partitionBy("doc").orderBy("stretch", "pos")) - 1
-    out = out.withColumn("text", stripped(F.col("text"))).where("text <> ''").select("doc", seq.cast("long").alias("seq"), "section", "page_start", "page_end", "text")
+    out = written(out.withColumn("text", stripped(F.col("text"))).where("text <> ''"))
+    place = numbered(out.select("doc", "stretch", "pos"), "doc", "stretch", "pos")
+    place = written(place.select("doc", "stretch", "pos", "i"))
+    place = place.join(place.groupBy("doc").agg(F.min("i").alias("first")), "doc").select("doc", "stretch", "pos", (F.col("i") - F.col("first")).alias("seq"))
+    out = out.join(place, ["doc", "stretch", "pos"]).select("doc", "seq", "section", "page_start", "page_end", "text")
     return out.withColumn("chars", F.length("text").cast("long")).withColumn("has_table", is_table(F.col("text")))
 
 
 def with_ids(chunks: DataFrame) -> DataFrame:
-    """The chunks with chunk_id: document, first page, and a running number (from 0000) over all documents in their order.
-
-    Documents are counted first, so the only window over all of them has one row each.
-    """
-    per = chunks.groupBy("doc").agg(F.count(F.lit(1)).alias("many"))
-    before = F.coalesce(F.sum("many").over(Window.orderBy("doc").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = chunks.join(per.select("doc", before.alias("before")), "doc")
-    return out.withColumn("chunk_id", F.format_string("%s_p%d_%04d", "doc", "page_start", F.col("before") + F.col("seq"))).drop("before")
+    """The chunks with chunk_id: document, first page, and a running number (from 0000) over all documents in their order."""
+    chunks = written(chunks)
+    number = numbered(chunks.select("doc", "seq"), "doc", "seq").drop("n")
+    out = chunks.join(number, ["doc", "seq"]).select(*chunks.columns, "i")
+    return out.withColumn("chunk_id", F.format_string("%s_p%d_%04d", "doc", "page_start", "i")).drop("i")
 
 
 def question_ids(chunks: DataFrame, questions: str) -> DataFrame:

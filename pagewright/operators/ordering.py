@@ -6,27 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-#: Consecutive keys that are numbered together.
-STRETCH = 4096
+from ..storage import written
 
 
-def numbered(df: DataFrame, key: str) -> DataFrame:
-    """Adds `i`, the row's number (from 0) in the order of a whole-number key, and `n`, the number of rows.
+def _ranges(df: DataFrame, *order: str) -> DataFrame:
+    """The rows, written in ranges of the order (spark.sql.shuffle.partitions of them): `__p`, the range, which rises with it, and
+    `__r`, the place in the range (from 0).
 
-    Keys are numbered in stretches, and stretches are counted: the only window over everything has one row a
-    stretch.  Ties on the key are numbered in no particular order; null keys come first, as one stretch.
+    The table is written, as the bounds of ranges come from a sample and would differ if they were taken again.
     """
-    df = df.withColumn("__s", F.floor(F.col(key) / STRETCH))
-    per = df.groupBy("__s").agg(F.count(F.lit(1)).alias("__c"))
-    per = per.withColumn("__top", F.floor(F.col("__s") / STRETCH))
-    tops = per.groupBy("__top").agg(F.sum("__c").alias("__tc"))
-    over = Window.orderBy("__top")
-    tops = tops.select("__top", F.coalesce(F.sum("__tc").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__tb"), F.sum("__tc").over(Window.partitionBy()).alias("n"))
-    inner = Window.partitionBy("__top").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("__b", F.coalesce(F.sum("__c").over(inner), F.lit(0))).alias("p").join(tops.alias("t"), F.col("p.__top").eqNullSafe(F.col("t.__top")))
-    per = per.select(F.col("p.__s").alias("__ps"), (F.col("p.__b") + F.col("t.__tb")).alias("__before"), "n")
-    df = df.withColumn("__r", F.row_number().over(Window.partitionBy("__s").orderBy(key)))
-    return df.join(per, F.col("__s").eqNullSafe(F.col("__ps"))).withColumn("i", F.col("__before") + F.col("__r") - 1).drop("__s", "__ps", "__r", "__before")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # an id that rises within a partition counts its rows in the lower 33 bits
+    return written(ranged.withColumn("__p", F.spark_partition_id()).withColumn("__r", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+
+
+def numbered(df: DataFrame, key: str, *ties: str) -> DataFrame:
+    """Adds `i`, the row's number (from 0) in the order of a key of any type that has one, and `n`, the number of rows.
+
+    Rows of a key, which a hot key may have many of, are ordered by `ties`, and then by a hash of the row, so that they
+    need not be in one range; null keys come first.  Rows are counted by range, and the only window over everything has a row a range.
+    """
+    whole = F.xxhash64(*(F.col(c) for c in df.columns if df.schema[c].dataType.typeName() not in ("map", "variant")))
+    rows = _ranges(df.withColumn("__h", whole), key, *ties, "__h").drop("__h")
+    per = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(F.col("__p").alias("__q"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"), F.sum("__c").over(Window.partitionBy()).alias("n"))
+    out = rows.join(F.broadcast(per), F.col("__p") == F.col("__q"))  # a row a range
+    return out.withColumn("i", F.col("__before") + F.col("__r")).select(*df.columns, "i", "n")
 
 
 def stride_sample(df: DataFrame, key: str, k: int) -> DataFrame:
@@ -45,17 +52,45 @@ def rotated(df: DataFrame, key: str, value: str, by: int = 37, name: str = "rota
 
 
 def asof(left: DataFrame, right: DataFrame, on: list[str], at: str, value: str, seq: str, default: str) -> DataFrame:
-    """Left rows with the value of the last right row at or before them; of equals the largest `seq` wins.
+    """Left rows with the value of the last right row at or before them; of equals the largest `seq` wins.  Null keys are
+    a key; a null place comes before all others; a null value counts as none.
 
-    One shuffle on `on`: both sides in one ordered window, right rows first at equal places.
+    A prefix scan in segments: each (key, place) counts once, whatever rows it has; these are written in ranges of (key, place), so
+    that a hot key lies in many ranges.  Each range scans its own part of a key, and takes over what the ranges before
+    it end with: of a key one value a range.
+    """
+    keys = [f"__k{i}" for i in range(len(on))]
+    key = [F.col(c).alias(k) for c, k in zip(on, keys)]
+    last = F.max_by(F.col(value).cast("string"), F.struct(seq, F.col(value).cast("string")))
+    known = right.where(F.col(value).isNotNull()).groupBy(*key, F.col(at).alias("__at")).agg(last.alias("__v"))
+    asked = left.select(*key, F.col(at).alias("__at")).withColumn("__v", F.lit(None).cast("string"))
+    points = known.unionByName(asked).groupBy(*keys, "__at").agg(F.max("__v").alias("__v"))
+    rows = _ranges(points, *keys, "__at").drop("__r")
+    ends = rows.where("__v is not null").groupBy(*keys, "__p").agg(F.max_by("__v", F.struct("__at")).alias("__v"))
+    parts = rows.select(*keys, "__p").distinct().withColumn("__v", F.lit(None).cast("string")).unionByName(ends).groupBy(*keys, "__p").agg(F.max("__v").alias("__v"))
+    over = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    carried = parts.select(*(F.col(k).alias(f"{k}_") for k in keys), F.col("__p").alias("__q"), F.last("__v", ignorenulls=True).over(over).alias("__carried")).where("__carried is not null")
+    within = Window.partitionBy(*keys, "__p").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+    scanned = rows.withColumn("__v", F.last("__v", ignorenulls=True).over(within)).join(carried, [*same, F.col("__p") == F.col("__q")], "left")
+    scanned = scanned.select(*keys, "__at", F.coalesce("__v", "__carried").alias("__v")).where("__v is not null")
+    same = [left[c].eqNullSafe(F.col(k)) for c, k in zip(on, keys)]
+    return left.join(scanned, [*same, left[at].eqNullSafe(F.col("__at"))], "left").select(*left.columns, F.coalesce("__v", F.lit(default)).alias(value))
+
+
+def running_sum(df: DataFrame, on: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Adds the sum of a value over the rows of a key up to each row, in an order that tells the rows of a key apart.
+
+    As in `asof`, ranges of (key, order) are summed, and each takes over what those before it have of its first key.
     """
-    cols = left.columns
-    null = F.lit(None)
-    a = left.select(F.struct(*cols).alias("row"), *on, F.col(at).alias("__at"), F.lit(1).alias("__side"), null.cast("long").alias("__seq"), null.cast("string").alias("__v"))
-    b = right.select(F.lit(None).cast(a.schema["row"].dataType).alias("row"), *on, F.col(at).alias("__at"), F.lit(0).alias("__side"), F.col(seq).cast("long").alias("__seq"), F.col(value).cast("string").alias("__v"))
-    w = Window.partitionBy(*on).orderBy("__at", "__side", "__seq").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("__v", F.last("__v", ignorenulls=True).over(w))
-    return both.where("__side = 1").select("row.*", F.coalesce("__v", F.lit(default)).alias(value))
+    rows = _ranges(df, *on, *order)
+    parts = rows.groupBy(*on, "__p").agg(F.sum(value).alias("__s"))
+    over = Window.partitionBy(*on).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    carried = parts.select(*(F.col(c).alias(f"__{c}_") for c in on), F.col("__p").alias("__q"), F.coalesce(F.sum("__s").over(over), F.lit(0)).alias("__before"))
+    within = Window.partitionBy(*on, "__p").orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)
+    same = [rows[c].eqNullSafe(F.col(f"__{c}_")) for c in on]
+    out = rows.withColumn("__own", F.sum(value).over(within)).join(carried, [*same, F.col("__p") == F.col("__q")])
+    return out.select(*df.columns, (F.col("__before") + F.col("__own")).alias(name))
 
 
 def first_wins(df: DataFrame, text: Column, order: str) -> DataFrame:
@@ -109,6 +144,7 @@ def in_order(df: DataFrame, name: str, wanted: list[str]) -> DataFrame:
 
 
 def zipped(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Rows of two tables of one length side by side, by their place in the order of their keys."""
+    """Rows of two tables of one length side by side, by their place in the order of their keys (equal keys of one table in no
+    particular order)."""
     a, b = numbered(left, key).drop("n"), numbered(right, key).drop("n", key)
     return a.join(b, "i").drop("i")

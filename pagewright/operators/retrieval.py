@@ -1,8 +1,11 @@
-"""Retrieval: BM25 and vector top-k for a stated set of queries, and rank fusion.
-
-Queries are the small side: they travel to the executors in blocks whose weights are bounded in bytes, documents are scanned
-once a block and never shuffled; what leaves a task is its own top k of each query, so the last ranking sees at most k
-rows a query and task.  Terms are hashes of windows or words over flat arrays of characters, without a loop over tokens.
+"""Retrieval: BM25 over an inverted index, and rank fusion (vectors: `nearest`).
+
+The index is made once from one reading of the corpus, as a table that can be kept: a row a shard of documents, with the terms
+of each document, and for each term its documents in blocks of falling impact (what the term adds to a score before the
+query's weight), each block with its largest impact.  Queries go to all tasks in blocks of bounded bytes.  A shard scores a
+query block by block, those that may add most first, until what is left can bring no other document into the best k; the
+few documents that may be among these are then scored exactly.  So the result is that of scoring every document.  What leaves a
+task is its own top k of each query.  Terms are hashes of windows or words over flat arrays of characters, without a loop over tokens.
 """
 
 from __future__ import annotations
@@ -15,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..storage import written
+
 K1, B = 1.5, 0.75  # fixed values
-#: Cells (8 bytes each) of a block's query x term weights, and of a worker's document x term counts.
-CELLS = 4_000_000
-VECTOR_ROWS = 2_000
-#: Characters that are laid out at once.
-CHARS = 1_000_000
+#: Characters of a shard, documents of a block of postings, bytes of a block of queries.
+SHARD, BLOCK, QUERY_BYTES = 2_000_000, 64, 16_000_000
+#: Scores are compared to so many places, so that the order of additions decides nothing, and shown to so many.
+PLACES, SHOWN = 10, 6
 _WORD = re.compile(r"[^\W]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,169 +73,231 @@ def words(texts: list) -> tuple[np.ndarray, np.ndarray]:
 TERMS = {"bigram": bigrams, "word": words}
 
 
-def _parts(batches, column: int):
-    """Slices of batches of about CHARS characters, with their texts."""
-    for batch in batches:
-        texts, start, size = batch.column(column).to_pylist(), 0, 0
-        for i, t in enumerate(texts):
-            size += len(t or "")
-            if size >= CHARS or i == len(texts) - 1:
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-                start, size = i + 1, 0
+_FORWARD = "docs array<long>, sizes array<int>, first array<int>, terms array<long>, term array<int>, times array<int>"
+_INVERTED = "docs array<long>, first array<int>, terms array<long>, term array<int>, impact array<double>, blocks array<int>, rows array<int>, most array<double>"
+
+
+def _row(values: dict) -> pa.RecordBatch:
+    """One row of lists."""
+    columns = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) for v in values.values()]
+    return pa.RecordBatch.from_arrays(columns, list(values))
 
 
-def _counts(terms: str, texts: list, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the wanted terms: row, place in `wanted` and count; and each row's number of terms."""
-    h, row = TERMS[terms](texts)
-    size = np.bincount(row, minlength=len(texts))
-    at = np.searchsorted(wanted, h)
-    at[at == len(wanted)] = 0
-    same = wanted[at] == h if len(wanted) else np.zeros(len(h), bool)
-    both, f = np.unique(row[same] * max(len(wanted), 1) + at[same], return_counts=True)
-    return both // max(len(wanted), 1), both % max(len(wanted), 1), f, size
+def _cell(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
+    return np.asarray(batch.column(batch.schema.get_field_index(name))[row].values)
 
 
-def _statistics(terms: str, shared):
-    """Of a task's documents: rows that hold each wanted term (its hash), and under null the documents and their terms."""
+def _forward(terms: str):
+    """Shards: documents, their sizes, and for each its distinct terms and how often it has them."""
+
+    def row(docs: list, texts: list):
+        h, of = TERMS[terms](texts)
+        kinds, term = np.unique(h, return_inverse=True)
+        both, times = np.unique(of * max(len(kinds), 1) + term, return_counts=True)
+        doc, term = np.divmod(both, max(len(kinds), 1))
+        size = np.bincount(of, minlength=len(texts))
+        return _row({
+            "docs": np.array(docs, np.int64), "sizes": size.astype(np.int32), "first": np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32),
+            "terms": kinds, "term": term.astype(np.int32), "times": times.astype(np.int32),
+        })
 
     def run(batches):
-        wanted = shared.value
-        df, docs, total = np.zeros(len(wanted), np.int64), 0, 0
-        for _, texts in _parts(batches, 0):
-            _, at, _, size = _counts(terms, texts, wanted)
-            df += np.bincount(at, minlength=len(wanted))
-            docs, total = docs + len(texts), total + int(size.sum())
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array([*wanted[at].tolist(), None], pa.int64()), pa.array(np.r_[df[at], docs]), pa.array(np.r_[np.zeros(len(at), np.int64), total])], ["term", "n", "total"])
+        docs, held, size = [], [], 0
+        for batch in batches:
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                docs.append(d)
+                held.append(t)
+                size += len(t or "")
+                if size >= SHARD:
+                    yield row(docs, held)
+                    docs, held, size = [], [], 0
+        if docs:
+            yield row(docs, held)
 
     return run
 
 
-def _best(ids: list, doc: np.ndarray, scores: np.ndarray, k: int) -> list[tuple]:
-    """The k best documents of each query (a column of scores); of equals the larger id."""
-    out: list[tuple] = []
-    for j, i in enumerate(ids):
-        s = scores[:, j]
-        few = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
-        few = few[np.lexsort((-doc[few], -s[few]))[:k]]
-        out += [(i, d, v) for d, v in zip(doc[few].tolist(), s[few].tolist()) if v > -np.inf]
-    return out
-
+def _inverted(average: float):
+    """Adds to the shards the impacts, and each term's documents in blocks of falling impact."""
 
-def _score(terms: str, shared, k: int):
     def run(batches):
-        wanted, ids, weight, average = shared.value
-        best: list[tuple] = []
-        rows = max(1, CELLS // max(len(wanted), 1))
-        for part, texts in _parts(batches, 1):
-            doc = np.asarray(part.column(0).to_pylist(), np.int64)
-            for start in range(0, len(texts), rows):
-                some = texts[start : start + rows]
-                row, at, f, size = _counts(terms, some, wanted)
-                tf = np.zeros((len(some), len(wanted)))
-                tf[row, at] = f * (K1 + 1) / (f + K1 * (1 - B + B * size[row] / average))
-                best += _best(ids, doc[start : start + rows], np.round(tf @ weight, 6), k)
-            best = _top(best, k)
-        if best:
-            q, d, s = zip(*best)
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.float64())], ["query_id", "doc_id", "score"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                docs, size, first, kinds, term, f = (_cell(batch, n, i) for n in ("docs", "sizes", "first", "terms", "term", "times"))
+                doc = np.repeat(np.arange(len(docs), dtype=np.int32), np.diff(first))
+                impact = f * (K1 + 1) / (f + K1 * (1 - B + B * size[doc] / average))
+                order = np.lexsort((doc, -impact, term))
+                start = np.searchsorted(term[order], np.arange(len(kinds) + 1))
+                blocks = -(-np.diff(start) // BLOCK)  # of each term
+                head = np.repeat(start[:-1] - BLOCK * np.r_[0, np.cumsum(blocks)[:-1]], blocks) + BLOCK * np.arange(blocks.sum()) if len(kinds) else np.zeros(0, np.int64)
+                # rows: the postings in that order; a block is told by its first posting, of the term that starts there or before
+                yield _row({
+                    "docs": docs, "first": first, "terms": kinds, "term": term, "impact": impact, "blocks": np.r_[head, len(order)].astype(np.int32),
+                    "rows": order.astype(np.int32), "most": impact[order][head],
+                })
 
     return run
 
 
-def _top(rows: list[tuple], k: int) -> list[tuple]:
-    by: dict = {}
-    for r in rows:
-        by.setdefault(r[0], []).append(r)
-    return [r for group in by.values() for r in sorted(group, key=lambda r: (-r[2], -r[1]))[:k]]
+def _vocabulary(batches):
+    """Of each shard's terms the number of documents; under null the documents and terms of the shard."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            kinds, term, size = (_cell(batch, n, i) for n in ("terms", "term", "sizes"))
+            n = np.bincount(term, minlength=len(kinds))
+            columns = [pa.array([*kinds.tolist(), None], pa.int64()), pa.array(np.r_[n, len(size)]), pa.array(np.r_[np.zeros(len(n), np.int64), int(size.sum())])]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "n", "total"])
 
 
-def _ranked(found: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("doc_id"))
-    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+class Index:
+    """An inverted index: shards (a row each), term statistics, number of documents."""
 
+    def __init__(self, shards: DataFrame, terms: DataFrame, kind: str, size: int):
+        self.shards, self.terms, self.kind, self.size = shards, terms, kind, size
 
-def _blocks(queries: list, terms: str) -> list[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
-    """Ids, distinct terms, and each query's terms (row, hash) of stretches of queries within CELLS."""
-    out, start = [], 0
-    while start < len(queries):
-        n = len(queries) - start
-        while True:
-            part = queries[start : start + n]
-            h, row = TERMS[terms]([r.text for r in part])
-            kinds = np.unique(h)
-            if n == 1 or n * len(kinds) <= CELLS:
-                break
-            n = max(1, n // 2)
-        out.append(([r.query_id for r in part], kinds, row, h))
-        start += n
-    return out
 
+def index(docs: DataFrame, terms: str = "bigram", path: str | None = None) -> Index:
+    """The index of docs (doc_id, text), at a path (two tables; `open_index` reads it again) or in the shared folder.  Null texts
+    are empty; rows without an id are left out."""
+    corpus = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    forward = written(corpus.mapInArrow(_forward(terms), _FORWARD))
+    counted = forward.select("terms", "term", "sizes").mapInArrow(_vocabulary, "term long, n long, total long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    counted = written(counted)
+    every = counted.where("term is null").first()
+    size, total = (every.n, every.total) if every else (0, 0)
+    shards = forward.mapInArrow(_inverted(max(total / max(size, 1), 1e-9)), _INVERTED)
+    if path is None:
+        return Index(written(shards), counted, terms, size)
+    shards.write.parquet(f"{path}/shards")
+    counted.write.parquet(f"{path}/terms")
+    return open_index(docs.sparkSession, path, terms)
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int, terms: str = "bigram") -> DataFrame:
-    """query_id, doc_id, score (6 places), rank (from 1): the best k documents; of equal scores the larger id first.
 
-    queries: query_id, text: a list that the driver reads.  docs: doc_id, text.  A term counts as often as the query has it;
-    documents without any of a query's terms score 0 and may fill its k.
-    """
-    spark = docs.sparkSession
-    corpus = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    blocks = _blocks(queries.select("query_id", "text").orderBy("query_id").collect(), terms)
-    every = np.unique(np.concatenate([b[1] for b in blocks])) if blocks else np.zeros(0, np.int64)
-    counted = corpus.select("text").mapInArrow(_statistics(terms, spark.sparkContext.broadcast(every)), "term long, n long, total long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    stat = {r.term: r for r in counted.collect()}  # a row a query term
-    size, total = (stat[None].n, stat[None].total) if None in stat else (0, 0)
-    average = max(total / max(size, 1), 1e-9)
-    out = None
-    for ids, kinds, row, h in blocks:
-        df = np.array([stat[t].n if t in stat else 0 for t in kinds.tolist()], float)
-        idf = np.log(1 + (size - df + 0.5) / (df + 0.5))
-        weight = np.zeros((len(kinds), len(ids)))
-        np.add.at(weight, (np.searchsorted(kinds, h), row), 1)
-        shared = spark.sparkContext.broadcast((kinds, ids, weight * idf[:, None], average))
-        found = corpus.mapInArrow(_score(terms, shared, k), "query_id long, doc_id long, score double")
-        out = found if out is None else out.union(found)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, doc_id long, score double")
-    return _ranked(out, k)
+def open_index(spark, path: str, terms: str = "bigram") -> Index:
+    counted = spark.read.parquet(f"{path}/terms")
+    every = counted.where("term is null").first()
+    return Index(spark.read.parquet(f"{path}/shards"), counted, terms, every.n if every else 0)
 
 
-def _cosines(shared, k: int):
+def _query_terms(terms: str):
     def run(batches):
-        ids, q = shared.value
-        best: list[tuple] = []
         for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                part = batch.slice(start, 4096)
-                x = np.array(part.column(1).to_pylist(), float).reshape(part.num_rows, -1)
-                s = np.round((x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ q.T, 6)
-                doc = np.asarray(part.column(0).to_pylist(), np.int64)
-                for j, i in enumerate(ids):
-                    s[doc == i, j] = -np.inf  # a query isn't its own answer
-                best += _best(ids, doc, s, k)
-            best = _top(best, k)
-        if best:
-            a, d, s = zip(*best)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.float64())], ["query_id", "doc_id", "score"])
+            h, row = TERMS[terms](batch.column(1).to_pylist())
+            if len(h):
+                order = np.lexsort((h, row))
+                h, row = h[order], row[order]
+                new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[new])), pa.array(h[new]), pa.array(np.diff(np.r_[new, len(h)]))], ["query_id", "term", "times"])
 
     return run
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, doc_id, score (cosine, 6 places), rank: the nearest k other vectors.  Both: vec_id, embedding.  Null
-    vectors are left out."""
-    spark = vectors.sparkSession
-    base = vectors.where("embedding is not null").select(F.col("vec_id").cast("long"), "embedding")
-    q = queries.where("embedding is not null")
-    blocks = q.count() // VECTOR_ROWS + 1
+class Shard:
+    """A shard of the index, for searching."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int):
+        self.docs, self.first, self.terms, self.term, self.impact, self.blocks, self.rows, self.most = (_cell(batch, n, row) for n in ("docs", "first", "terms", "term", "impact", "blocks", "rows", "most"))
+        self.doc = np.repeat(np.arange(len(self.docs)), np.diff(self.first))
+        self.of = self.term[self.rows[self.blocks[:-1]]] if len(self.rows) else np.zeros(0, np.int32)  # term of each block
+        self.read = 0  # postings that were looked at
+
+    def best(self, terms: np.ndarray, weight: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Documents (by place) that may be among the k best, with exact scores.  terms: sorted; least: a score that the k-th
+        best reaches elsewhere."""
+        at = np.searchsorted(self.terms, terms)
+        here = np.flatnonzero(self.terms[np.minimum(at, len(self.terms) - 1)] == terms) if len(self.terms) else np.zeros(0, np.int64)
+        of, w = at[here], np.zeros(len(self.terms))
+        w[of] = weight[here]
+        a, b = np.searchsorted(self.of, of), np.searchsorted(self.of, of, "right")
+        n = b - a
+        block = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(of) else np.zeros(0, np.int64)
+        bound = w[self.of[block]] * self.most[block]
+        order = np.argsort(-bound, kind="stable")
+        block, bound = block[order], bound[order]
+        score = np.zeros(len(self.docs))
+        done, some = 0, max(16, len(block) // 8)
+        while True:
+            now = block[done : done + some]
+            size = self.blocks[now + 1] - self.blocks[now]
+            place = np.repeat(self.blocks[now] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(now) else np.zeros(0, np.int64)
+            self.read += len(place)
+            rows = self.rows[place]
+            score += np.bincount(self.doc[rows], w[self.term[rows]] * self.impact[rows], len(score))
+            done += len(now)
+            # what a document may still get: of each term the largest block that is left
+            _, first = np.unique(self.of[block[done:]], return_index=True)
+            rest = bound[done:][first].sum()
+            kth = max(least, np.partition(score, -k)[-k]) if len(score) >= k else least
+            may = np.flatnonzero(score + rest >= kth - 1e-9)
+            if done == len(block) or len(may) <= 4 * k:
+                break
+            some *= 2
+        if done == len(block) and len(may) > 4 * k:
+            # all is known but for rounding: of many equals the larger ids
+            near = np.round(score[may], PLACES)
+            may = may[np.lexsort((-self.docs[may], -near))[: 4 * k]]
+        size = self.first[may + 1] - self.first[may]
+        place = np.repeat(self.first[may] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        exact = np.bincount(np.repeat(np.arange(len(may)), size), w[self.term[place]] * self.impact[place], len(may))
+        return may, np.round(exact, PLACES)
+
+
+def _search(shared, k: int):
+    def run(batches):
+        ids, start, terms, weight = shared.value
+        best: list[list[tuple]] = [[] for _ in ids]
+        for batch in batches:
+            for row in range(batch.num_rows):
+                shard = Shard(batch, row)
+                for j in range(len(ids)):
+                    own = best[j]
+                    may, score = shard.best(terms[start[j] : start[j + 1]], weight[start[j] : start[j + 1]], k, own[-1][0] if len(own) == k else -np.inf)
+                    best[j] = sorted([*own, *zip(score.tolist(), shard.docs[may].tolist())], reverse=True)[:k]
+        rows = [(ids[j], d, s) for j, own in enumerate(best) for s, d in own]
+        if rows:
+            q, d, s = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.float64())], ["query_id", "doc_id", "score"])
+
+    return run
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The best k of each query, by score, then by the larger id; scores to SHOWN places."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("doc_id"))
+    found = found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return found.withColumn("score", F.round("score", SHOWN))
+
+
+def search(queries: DataFrame, index: Index, k: int) -> DataFrame:
+    """query_id, doc_id, score, rank (from 1): the best k documents; of equal scores the larger id first.
+
+    queries: query_id, text (of rows that share an id the terms add up).  A term counts as often as the query has it;
+    documents without any of a query's terms score 0 and may fill its k.
+    """
+    spark = index.shards.sparkSession
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("text").cast("string").alias("text")).where("query_id is not null")
+    asked = written(asked)
+    has = asked.mapInArrow(_query_terms(index.kind), "query_id long, term long, times long").groupBy("query_id", "term").agg(F.sum("times").alias("times"))
+    idf = F.log(1 + (F.lit(index.size) - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    has = has.join(index.terms.where("term is not null").select("term", "n"), "term").select("query_id", "term", (F.col("times") * idf).alias("weight"))
+    # a row a query: its terms and weights (none, if it has none that the corpus has)
+    lists = has.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("x"))
+    lists = written(asked.select("query_id").distinct().join(lists, "query_id", "left").select("query_id", F.coalesce(F.col("x.term"), F.array()).alias("terms"), F.coalesce(F.col("x.weight"), F.array()).alias("weights")))
+    blocks = max(1, -(-(lists.agg(F.sum(16 * F.size("terms") + 32)).first()[0] or 0) // QUERY_BYTES))
     out = None
     for b in range(blocks):
-        rows = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).select("vec_id", "embedding").collect()
-        x = np.array([r.embedding for r in rows], float).reshape(len(rows), -1)
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        found = base.mapInArrow(_cosines(spark.sparkContext.broadcast(([r.vec_id for r in rows], x)), k), "query_id long, doc_id long, score double")
+        rows = lists.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()  # QUERY_BYTES about
+        start = np.r_[0, np.cumsum(np.asarray(rows.column("terms").combine_chunks().value_lengths()).astype(np.int64))]
+        flat = [np.asarray(rows.column(c).combine_chunks().flatten()) for c in ("terms", "weights")]
+        shared = spark.sparkContext.broadcast((rows.column("query_id").to_pylist(), start, flat[0].astype(np.int64), flat[1].astype(float)))
+        found = index.shards.mapInArrow(_search(shared, k), "query_id long, doc_id long, score double")
         out = found if out is None else out.union(found)
-    return _ranked(out, k)
+    return ranked(out, k)
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int, terms: str = "bigram") -> DataFrame:
+    """`search` in an index made for it; docs: doc_id, text."""
+    return search(queries, index(docs, terms), k)
 
 
 def fused(rankings: list[DataFrame], k: int, c: int = 60) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import pages as pg
 from ..functions import quotes as q
 from ..operators import locate as loc
+from ..operators import nearest
 from ..operators import ordering as o
 from ..operators import records as rec
 from ..operators import retrieval as r
@@ -118,7 +119,7 @@ def bm25_words_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
-    return r.vector_topk(v.where("vec_id % 20 = 0"), v, 10)
+    return nearest.vector_topk(v.where("vec_id % 20 = 0"), v, 10)
 
 
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
@@ -193,8 +194,8 @@ WITH {_CORPUS}, {sql.bm25('b', 'bigram', 8, 'corpus')},
 c AS (SELECT query_id, substring(string_agg(concat('【', source, '_2025年报 第 ', b.doc_id % 50 + 1, ' 页】', chr(10), text), chr(10) || chr(10) ORDER BY rank), 1, 6000) AS t FROM b JOIN corpus d ON d.doc_id = b.doc_id GROUP BY query_id)
 SELECT query_id, length(t) AS chars, md5(t) AS digest FROM c""",
     "vector_topk": """
-WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS rank FROM p) SELECT query_id, doc_id, score, rank FROM k WHERE rank <= 10""",
+WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 10) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS rank FROM p) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM k WHERE rank <= 10""",
 }
 
 QUERIES = {

@@ -151,5 +151,5 @@ def bm25(name: str, terms: str, k: int, docs: str) -> str:
 {name}_d AS (SELECT w, count(*) AS df FROM {name}_f GROUP BY w),
 {name}_p AS (SELECT query_id, f.doc_id, sum(c * ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * size / a))) AS score
   FROM {name}_q q JOIN {name}_f f ON f.w = q.w JOIN {name}_d x ON x.w = q.w, {name}_s GROUP BY query_id, f.doc_id),
-{name} AS (SELECT query_id, doc_id, score, rank FROM (SELECT item_id AS query_id, d.doc_id, round(coalesce(score, 0), 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(coalesce(score, 0), 6) DESC, d.doc_id DESC) AS rank
+{name} AS (SELECT query_id, doc_id, score, rank FROM (SELECT item_id AS query_id, d.doc_id, round(coalesce(score, 0), 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(coalesce(score, 0), 10) DESC, d.doc_id DESC) AS rank
   FROM benchmark b CROSS JOIN {docs} d LEFT JOIN {name}_p p ON p.query_id = item_id AND p.doc_id = d.doc_id) WHERE rank <= {k})"""
