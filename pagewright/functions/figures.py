@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import DIGIT, SPACE, let, matches, narrow
+from .text import DIGIT, SPACE, let, matches, narrow, rounded
 
 # Patterns, units with their scale in yuan, characters of either script.
 NUMBER = rf"{DIGIT}+(?:,{DIGIT}{{3}})*(?:\.{DIGIT}+)?"
@@ -39,7 +39,7 @@ def key_figures(text: Column) -> Column:
     text = F.translate(F.coalesce(text, F.lit("")), TRADITIONAL, SIMPLIFIED)
     both = F.zip_with(matches(text, FIGURE, 1), matches(text, FIGURE, 2), lambda n, u: F.struct(F.translate(narrow(n), ",", "").try_cast("double").alias("n"), u.alias("u")))
     scale = lambda u: F.element_at(F.create_map(*(F.lit(x) for kv in SCALE.items() for x in kv)), u)
-    value = lambda x: F.when(x["u"] == "%", F.bround(x["n"], 2)).otherwise(x["n"] * scale(x["u"]))
+    value = lambda x: F.when(x["u"] == "%", rounded(x["n"], 2)).otherwise(x["n"] * scale(x["u"]))
     both = F.filter(both, lambda x: x["n"].isNotNull())
     return F.array_distinct(F.transform(both, lambda x: F.struct(F.when(x["u"] == "%", "pct").otherwise("yuan").alias("kind"), value(x).alias("value"))))
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import DIGIT, SPACE, given, lines, stripped
 
@@ -50,19 +54,29 @@ def html_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"(?i)</(p|div|li|tr|h[1-6]|title)\s*>|<br\s*/?>", "\n"), r"<[^>]*>", " ")
 
 
-def json_text(text: Column) -> Column:
-    """A string as JSON, in quotes."""
-    inside = F.to_json(F.array(given(text)))
-    return F.substring(inside, F.lit(2), F.length(inside) - 2)
+@F.arrow_udf(StringType())
+def _canonical(column: pa.Array) -> pa.Array:
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True)
+        except ValueError:
+            return None
+
+    return pa.array([one(t) for t in column.to_pylist()], pa.string())
+
+
+def canonical(value: Column) -> Column:
+    """A value of any nesting (JSON text, or a VARIANT as `to_json` renders it) as JSON with sorted keys at every level, blanks behind
+    commas and colons, characters as they are, and escapes and numbers as the usual Python serialiser writes them; null where
+    the text is no JSON.  Of a repeated key the last value counts."""
+    return _canonical(value)
 
 
 def payload(model: str, system: Column, user: Column, temperature: Column) -> Column:
-    """A chat request as JSON with sorted keys, and blanks behind commas and colons."""
-    message = lambda role, x: F.concat(F.lit('{"content": '), json_text(x), F.lit(f', "role": "{role}"}}'))
-    return F.concat(
-        F.lit('{"messages": ['), message("system", system), F.lit(", "), message("user", user),
-        F.lit(f'], "model": "{model}", "response_format": {{"type": "json_object"}}, "temperature": '), temperature.cast("string"), F.lit("}"),
-    )
+    """A chat request in canonical JSON."""
+    message = lambda role, x: F.struct(F.lit(role).alias("role"), given(x).alias("content"))
+    kind = F.struct(F.lit("json_object").alias("type")).alias("response_format")
+    return canonical(F.to_json(F.struct(F.lit(model).alias("model"), F.array(message("system", system), message("user", user)).alias("messages"), temperature.alias("temperature"), kind)))
 
 
 def cache_key(request: Column) -> Column:

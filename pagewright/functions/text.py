@@ -40,3 +40,26 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of a value that is computed once a row, however often and within whatever lambda the body names it."""
     return F.transform(F.array(value), body)[0]
+
+
+def rounded(x: Column, places: int) -> Column:
+    """A double rounded to some places (up to 6), as its exact binary value says; half to even.
+
+    The product with a power of ten and its rounding error are taken together, so that 2.675, which lies below that, gives
+    2.67.  Sizes from 10^9 on are returned as they are, for want of digits behind those places.
+    """
+    ten = 10.0**places
+
+    def parts(x: Column) -> Column:
+        # the upper 26 bits of x, then the error of the product
+        wide = x * F.lit(134217729.0)
+        high = wide - (wide - x)
+        product = x * F.lit(ten)
+        return F.struct(x.alias("x"), product.alias("p"), ((high * F.lit(ten) - product) + (x - high) * F.lit(ten)).alias("e"), F.floor(product).cast("double").alias("f"))
+
+    def close(v: Column) -> Column:
+        over = (v["p"] - v["f"] - F.lit(0.5)) + v["e"]
+        up = F.when(over > 0, F.lit(1.0)).when(over < 0, F.lit(0.0)).otherwise(F.pmod(v["f"], F.lit(2.0)))
+        return F.when(F.abs(v["x"]) >= 1e9, v["x"]).otherwise((v["f"] + up) / F.lit(ten))
+
+    return let(let(x, parts), close)

@@ -30,7 +30,7 @@ def split(records: DataFrame, reviews: DataFrame, test_docs: list[str]) -> DataF
     reviews: qa_id, line, action, note (of an id's the last counts).  In this order: reviewed ones go, leading questions of the test pool go, and of questions
     that are equal but for punctuation the first stays, over both pools.
     """
-    why = o.latest(reviews.select(F.trim("qa_id").alias("qa_id"), "line", review_verdict(F.col("action"), F.col("note")).alias("review")).where("review is not null and qa_id <> ''"), ["qa_id"], "line").drop("line")
+    why = o.latest(reviews.select(stripped(given(F.col("qa_id"))).alias("qa_id"), "line", review_verdict(F.col("action"), F.col("note")).alias("review")).where("review is not null and qa_id <> ''"), ["qa_id"], "line").drop("line")
     r = records.join(why, "qa_id", "left").withColumn("pool", F.when(F.col("doc").isin(*test_docs), "test").otherwise("train"))
     r = r.withColumn("leading", fg.is_leading(F.col("question"), F.col("answer"))).withColumn("half_refusal", q.is_half_refusal(F.col("answer")))
     r = r.withColumn("early", F.coalesce("review", F.when((F.col("pool") == "test") & F.col("leading"), LEADING_REASON)))
@@ -42,6 +42,14 @@ def split(records: DataFrame, reviews: DataFrame, test_docs: list[str]) -> DataF
     return r.drop("review", "early", "digest", "first")
 
 
+def backfilled(records: DataFrame, reviews: DataFrame, key: str, **columns: str) -> DataFrame:
+    """The records with columns overwritten by what a review says: column=review column.  A blank one (white space of any
+    script), and a record without a review, leave it as it is."""
+    said = reviews.select(F.col(key).alias("__key"), *(F.nullif(stripped(F.col(v)), F.lit("")).alias(f"__{c}") for c, v in columns.items()))
+    out = records.join(said, F.col(key) == F.col("__key"), "left")
+    return out.select(*(F.coalesce(f"__{c}", c).alias(c) if c in columns else c for c in records.columns))
+
+
 def accepts(candidate: str, question: str, answer: str) -> Column:
     """Whether another wording is one: not empty, not the same, and not leading where the question wasn't."""
     c, asked = stripped(given(F.col(candidate))), F.col(question)

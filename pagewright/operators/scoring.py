@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import figures as fg
 from ..functions import quotes as q
-from ..functions.text import let
+from ..functions.text import let, rounded
 from ..storage import written
 from . import locate as loc
 
@@ -23,7 +23,7 @@ def numeric_score(prediction: Column, reference: Column, question: Column) -> Co
     def score(x: Column) -> Column:
         n, h, e = (F.size(x[c]).cast("long") for c in ("ref", "hit", "echo"))
         missing = F.array_join(F.array_sort(F.transform(F.array_except(x["ref"], x["hit"]), fg.figure_text)), "、")
-        parts = F.struct(n.alias("n"), h.alias("hit"), e.alias("echo"), (h - e).alias("net"), F.bround(h / n, 3).alias("ratio"), F.bround((h - e) / n, 3).alias("net_ratio"), missing.alias("missing"))
+        parts = F.struct(n.alias("n"), h.alias("hit"), e.alias("echo"), (h - e).alias("net"), rounded(h / n, 3).alias("ratio"), rounded((h - e) / n, 3).alias("net_ratio"), missing.alias("missing"))
         return F.when(n > 0, parts)
 
     # each step is computed once a row

@@ -25,7 +25,7 @@ SELECT concat('q', doc_id) AS qa_id, doc_id AS seq, concat(source, '_2025年报'
   concat('是 ', 10000 + doc_id % 40, ' 元，', CASE WHEN doc_id % 8 = 0 THEN '其余材料未涉及' ELSE '如上' END) AS answer
 FROM documents"""
 _REVIEWS = """
-SELECT concat(' q', doc_id, ' ') AS qa_id, doc_id AS line, CASE WHEN quality = 0 THEN ' 删除' WHEN toxic = 1 THEN '保留' END AS action,
+SELECT concat(CASE doc_id % 2 WHEN 0 THEN ' q' ELSE '　q' END, doc_id, CASE doc_id % 3 WHEN 0 THEN ' ' ELSE ' 　' END) AS qa_id, doc_id AS line, CASE WHEN quality = 0 THEN ' 删除' WHEN toxic = 1 THEN '保留' END AS action,
   CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN '与别条重复　' ELSE '好' END AS note FROM labels"""
 TEST_DOCS = ["src0_2025年报", "src1_2025年报", "src2_2025年报"]
 #: Other wordings: the same, a leading one, one that may be empty.
@@ -103,7 +103,7 @@ def _cache(rows: DataFrame) -> DataFrame:
 
 def _recorded(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").where("text is not null")
-    r = r.withColumn("text", F.concat(F.col("doc_id").cast("string"), F.lit(" "), "text"))
+    r = r.withColumn("text", F.concat(F.col("doc_id").cast("string"), F.lit(" "), "text", F.lit("\x1b")))
     r = r.withColumn("question", F.concat(F.lit("问"), F.col("doc_id").cast("string"))).withColumn("answer", F.concat(F.lit("答"), F.col("doc_id").cast("string")))
     return _requests(r)
 
@@ -145,7 +145,7 @@ def zip_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _RECS = f"""r0 AS ({_RECORDS}), v0 AS ({_REVIEWS}),
-v AS (SELECT trim(qa_id) AS qa_id, line, {sql.strip("coalesce(action, '')")} AS action, {sql.strip("coalesce(note, '')")} AS note FROM v0),
+v AS (SELECT trim(qa_id, ' 　') AS qa_id, line, {sql.strip("coalesce(action, '')")} AS action, {sql.strip("coalesce(note, '')")} AS note FROM v0),
 w AS (SELECT qa_id, CASE WHEN action IN ('删除', '改写') THEN concat('人工复核：', action, '（', CASE WHEN note = '' THEN '无备注' ELSE note END, '）') ELSE concat('人工复核备注：', note) END AS review
   FROM v WHERE action IN ('删除', '改写') OR regexp_matches(note, '删除|删掉|不宜作测试|重复|改写')),
 l AS (SELECT r0.*, review, doc IN ({', '.join(map(sql.lit, TEST_DOCS))}) AS is_test, {sql.leading('question', 'answer')} AS gives, regexp_replace(question, '[^\\p{{L}}\\p{{N}}_]', '', 'g') AS k FROM r0 LEFT JOIN w ON w.qa_id = r0.qa_id),
@@ -173,8 +173,24 @@ z0 AS (SELECT doc, i, unnest(emit) AS c, generate_subscripts(emit, 1) AS j FROM
 z AS (SELECT doc, i, j, c, {sql.strip('c.t')} AS t FROM z0),
 ck AS (SELECT doc, c.section, c.s, c.e, t, row_number() OVER (PARTITION BY doc ORDER BY i, j) - 1 AS seq, row_number() OVER (ORDER BY doc, i, j) - 1 AS g FROM z WHERE t <> ''),
 ci AS (SELECT *, concat(doc, '_p', s, '_', format('{{:04d}}', g)) AS chunk_id FROM ck)"""
-_SENT = f"""r AS (SELECT l.doc_id, concat(l.doc_id, ' ', text) AS text FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE text IS NOT NULL),
-k AS (SELECT doc_id, substring(sha256(concat('{{"messages": [{{"content": ', to_json({sql.lit(_SYSTEM)}), ', "role": "system"}}, {{"content": ', to_json(concat('答：', text)), ', "role": "user"}}], "model": "m", "response_format": {{"type": "json_object"}}, "temperature": 0.3}}')), 1, 32) AS key FROM r)"""
+
+
+def _key(kind: str, temperature: float) -> str:
+    """The key of a request: the hash of its sorted JSON, which has escapes in lower case."""
+    said = lambda x: f"replace(to_json({x}), '\\u001B', '\\u001b')"
+    return f"""substring(sha256(concat('{{"messages": [{{"content": ', {said(sql.lit(_SYSTEM))}, ', "role": "system"}}, {{"content": ', {said(f"concat('{kind}：', text)")},
+    ', "role": "user"}}], "model": "m", "response_format": {{"type": "json_object"}}, "temperature": {temperature}}}')), 1, 32)"""
+
+
+_SENT = f"""r AS (SELECT l.doc_id, concat(l.doc_id, ' ', text, chr(27)) AS text FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE text IS NOT NULL),
+k AS (SELECT doc_id, {_key('问', 0.7)} AS q, {_key('答', 0.3)} AS a, {_key('查', 0.0)} AS c FROM r)"""
+_REPLIES = f"""{_SENT},
+said AS (
+  SELECT q AS key, concat('{{"questions": ["别的", " 问', doc_id, '"]}}') AS j, doc_id FROM k UNION ALL
+  SELECT a, concat('{{"answer": "', CASE WHEN doc_id % 4 = 1 THEN '别的' ELSE concat('答', doc_id) END, '"}}'), doc_id FROM k UNION ALL
+  SELECT c, concat('{{"grounded": 2, "simplified": ', doc_id % 6 = 5, '}}'), doc_id FROM k),
+kept AS (SELECT key, CASE WHEN doc_id % 2 = 0 THEN concat('```json', chr(10), j, chr(10), '```') ELSE j END AS content FROM said WHERE doc_id % 7 <> 3),
+cache AS (SELECT key, regexp_replace(content, '^```(json)?\\s*|\\s*```$', '', 'g')::JSON AS j FROM kept)"""
 
 ORACLE_SQL = {
     "chunk_pages": f"WITH RECURSIVE {_FOLD} SELECT chunk_id, doc, seq, section, s AS page_start, e AS page_end, length(t) AS chars, md5(t) AS digest FROM ci",
@@ -197,10 +213,14 @@ FROM sp WHERE reason = '' AND contains(doc, '1')""",
     "review_columns": f"""
 SELECT l.doc_id, ((l.doc_id % 3 = 1)::INT + ({sql.strip("coalesce(source, '')")} <> '')::INT + ({sql.strip("coalesce(text, '')")} <> '')::INT)::INT AS filled,
   CASE WHEN quality = 1 THEN '是' ELSE '否' END AS "合格", length(text) >= 2000 AS cut FROM labels l JOIN documents d ON d.doc_id = l.doc_id""",
-    "cache_replay": """
-WITH x AS (SELECT l.doc_id, l.doc_id % 7 <> 3 AS have FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE text IS NOT NULL)
-SELECT doc_id AS qa_id, have AS questions_ok, have AND doc_id % 4 <> 1 AS answer_ok, have AND doc_id % 6 <> 5 AS checks_ok, have AND doc_id % 4 <> 1 AND doc_id % 6 <> 5 AS all_ok FROM x""",
-    "cache_read": f"WITH {_SENT} SELECT key, doc_id % 7 <> 3 AS cached FROM k",
+    "cache_replay": f"""
+WITH {_REPLIES},
+x AS (
+  SELECT doc_id, coalesce(trim(y.j->>'$.questions[1]') = concat('问', doc_id), false) AS questions_ok, coalesce(trim(z.j->>'$.answer') = concat('答', doc_id), false) AS answer_ok,
+    coalesce(w.j->>'$.grounded' = '2' AND w.j->>'$.simplified' = 'false', false) AS checks_ok
+  FROM k LEFT JOIN cache y ON y.key = k.q LEFT JOIN cache z ON z.key = k.a LEFT JOIN cache w ON w.key = k.c)
+SELECT doc_id AS qa_id, *  EXCLUDE (doc_id), questions_ok AND answer_ok AND checks_ok AS all_ok FROM x""",
+    "cache_read": f"WITH {_REPLIES} SELECT k.a AS key, cache.key IS NOT NULL AS cached FROM k LEFT JOIN cache ON cache.key = k.a",
     "report_list": """
 WITH x AS (SELECT *, page_id AS n, regexp_replace(url, '^https?://[^/]*', '') AS path FROM pages),
 y AS (SELECT *, CASE WHEN n % 4 = 0 THEN '' ELSE concat('年报 ', 1990 + n % 40) END AS title, CASE WHEN n % 3 = 0 AND path <> '' THEN path WHEN n % 5 > 0 THEN url ELSE '' END AS link FROM x)

@@ -10,7 +10,9 @@ from ..functions import figures as fg
 from ..functions import pages as pg
 from ..functions import quotes as q
 from ..operators import ordering as o
+from ..operators import records as rec
 from ..operators.degenerate import most_repeated
+from ..storage import written
 from . import sql
 from .tables import GRID_SQL, grid, table
 
@@ -18,8 +20,11 @@ TOTAL = "合计"
 
 
 def _summarised(p: DataFrame) -> DataFrame:
-    """Per doc, and in total: pages, chars, blank ones, and the first eight of these.  p: doc, page, text."""
-    p = p.withColumn("chars", F.length("text")).withColumn("blank", pg.is_near_blank(F.col("text")))
+    """Per doc, and in total: pages, chars, blank ones, and the first eight of these.  p: doc, page, text.
+
+    The texts are read once: what is kept of them is written, a narrow row a page.
+    """
+    p = written(p.select("doc", "page", F.length("text").alias("chars"), pg.is_near_blank(F.col("text")).alias("blank")))
     per = p.rollup("doc").agg(F.count(F.lit(1)).alias("pages"), F.sum("chars").alias("chars"), F.count_if("blank").alias("blank"), F.grouping("doc").alias("total"))
     # eight of each document at most leave a task, and eight of these make the total
     few = p.where("blank").select("doc", "page").withColumn("r", F.row_number().over(Window.partitionBy("doc").orderBy("page"))).where("r <= 8")
@@ -118,12 +123,15 @@ def stride_sample(spark: SparkSession, d: str) -> DataFrame:
     return o.stride_sample(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", 60)
 
 
+_VERDICT = "CASE WHEN quality = 0 THEN concat(' bad', toxic, '　') WHEN toxic = 1 THEN '  ' WHEN doc_id % 5 = 0 THEN '　' END"
+
+
 def review_backfill(spark: SparkSession, d: str) -> DataFrame:
     """Source, overwritten by a review's non-blank one; and whether the reviews agree."""
     docs = table(spark, d, "documents").select("doc_id", "source")
-    review = table(spark, d, "labels").selectExpr("doc_id", "CASE WHEN quality = 0 THEN concat(' bad', toxic) WHEN toxic = 1 THEN '  ' END AS verdict", "quality = 1 - toxic AS agree")
-    j = docs.join(review, "doc_id", "left")
-    return j.select("doc_id", F.coalesce(F.nullif(F.trim("verdict"), F.lit("")), "source").alias("source"), F.coalesce("agree", F.lit(False)).alias("agree"))
+    review = table(spark, d, "labels").selectExpr("doc_id", f"{_VERDICT} AS verdict", "quality = 1 - toxic AS agree")
+    filled = rec.backfilled(docs, review, "doc_id", source="verdict")
+    return filled.join(review.select("doc_id", "agree"), "doc_id", "left").select("doc_id", "source", F.coalesce("agree", F.lit(False)).alias("agree"))
 
 
 def agreement(spark: SparkSession, d: str) -> DataFrame:
@@ -200,9 +208,9 @@ SELECT doc_id, k.quality FROM k JOIN f ON f.quality = k.quality ORDER BY i > q,
     "stride_sample": """
 WITH k AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents)
 SELECT doc_id, lang FROM k WHERE n <= 60 OR i IN (SELECT j * (SELECT count(*) FROM documents) // 60 FROM range(60) t(j))""",
-    "review_backfill": """
-SELECT d.doc_id, coalesce(nullif(trim(CASE WHEN quality = 0 THEN concat(' bad', toxic) WHEN toxic = 1 THEN '  ' END), ''), source) AS source,
-  coalesce(quality = 1 - toxic, false) AS agree FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
+    "review_backfill": f"""
+WITH l AS (SELECT doc_id, quality, toxic, trim({_VERDICT}, ' 　') AS verdict FROM labels)
+SELECT d.doc_id, coalesce(nullif(verdict, ''), source) AS source, coalesce(quality = 1 - toxic, false) AS agree FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id""",
     "agreement": """
 SELECT source, count(*) AS n, round(avg((quality = 1 - toxic)::INT), 6) AS rate FROM labels l JOIN documents d ON d.doc_id = l.doc_id GROUP BY source""",
     "asof_section": """

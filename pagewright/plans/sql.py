@@ -72,7 +72,7 @@ def figures(x: str) -> str:
     t = f"translate(coalesce({x}, ''), '{fg.TRADITIONAL}', '{fg.SIMPLIFIED}')"
     value = f"TRY_CAST(replace({narrow('x[1]')}, ',', '') AS DOUBLE)"
     scale = " ".join(f"WHEN '{u}' THEN {s!r}" for u, s in fg.SCALE.items())
-    one = f"{{'k': CASE WHEN x[2] = '%' THEN 'pct' ELSE 'yuan' END, 'v': CASE WHEN x[2] = '%' THEN round_even({value}, 2) ELSE {value} * CASE x[2] {scale} END END}}"
+    one = f"{{'k': CASE WHEN x[2] = '%' THEN 'pct' ELSE 'yuan' END, 'v': CASE WHEN x[2] = '%' THEN format('{{:.2f}}', {value})::DOUBLE ELSE {value} * CASE x[2] {scale} END END}}"
     return f"list_distinct(list_transform(list_zip({every(t, fg.FIGURE, 1)}, {every(t, fg.FIGURE, 2)}), lambda x: {one}))"
 
 
@@ -84,7 +84,7 @@ def matched(ref: str, pred: str) -> str:
 NUM = f"""f AS (SELECT qa_id, {figures(unmarked('answer'))} AS rs, {figures(unmarked('prediction'))} AS ps, {figures(unmarked('question'))} AS asked FROM grid),
 h AS (SELECT qa_id, rs, asked, {matched('rs', 'ps')} AS hs FROM f),
 e AS (SELECT qa_id, rs, hs, {matched('hs', 'asked')} AS es FROM h),
-num AS (SELECT qa_id, len(rs) AS n, len(hs) AS hit, len(es) AS echo, len(hs) - len(es) AS net, round_even(len(hs) / len(rs)::DOUBLE, 3) AS ratio, round_even((len(hs) - len(es)) / len(rs)::DOUBLE, 3) AS net_ratio,
+num AS (SELECT qa_id, len(rs) AS n, len(hs) AS hit, len(es) AS echo, len(hs) - len(es) AS net, format('{{:.3f}}', len(hs) / len(rs)::DOUBLE)::DOUBLE AS ratio, format('{{:.3f}}', (len(hs) - len(es)) / len(rs)::DOUBLE)::DOUBLE AS net_ratio,
   array_to_string(list_sort(list_transform(list_filter(rs, lambda x: NOT list_contains(hs, x)), lambda x: CASE WHEN x.k = 'pct' THEN concat(format('{{:g}}', x.v), '%') ELSE concat(format('{{:,}}', x.v::BIGINT), ' 元') END)), '、') AS missing
   FROM e WHERE len(rs) > 0)"""
 

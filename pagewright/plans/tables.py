@@ -12,7 +12,7 @@ GRID = """
 SELECT g.*, CASE doc_id % 7
     WHEN 0 THEN answer
     WHEN 1 THEN concat('收入 ', n_chars * 7 + 5000, ' 千元。「', replace(lead, ' ', '， '), '」【依据：《', doc, '》第 ', page + 1, ' 页】')
-    WHEN 2 THEN concat('占 ', doc_id % 97, '.52%，「zz', lead, 'zz」。依据：', doc, ' 第　', page, ' 页')
+    WHEN 2 THEN concat('占 ', doc_id % 97, '.545%，「zz', lead, 'zz」。依据：', doc, ' 第　', page, ' 页')
     WHEN 3 THEN ''
     WHEN 4 THEN '材料未涉及相关内容「材料未涉及」'
     WHEN 5 THEN concat('「　本页营业额为 ', n_chars, ' 万元，资产负债已审计', chr(10), '」【依据：《', doc, '》第 ', page - 1, '～', page, ' 页】')
@@ -21,7 +21,7 @@ SELECT g.*, CASE doc_id % 7
 FROM (
   SELECT b.*,
     concat('去年收入 ', n_chars * 7, ' 千元，占 ', doc_id % 90, '.25%，员工 ', doc_id + 10000, ' 人，今年如何？') AS question,
-    concat('收入为 ', n_chars * 7 + 5000, ' 千元，占 ', doc_id % 97, '.5%，员工 ', doc_id + doc_id % 2 + 10000, ' 人。「', lead, '」【依据：《', doc, '》第 ', page, ' 页】') AS answer
+    concat('收入为 ', n_chars * 7 + 5000, ' 千元，占 ', doc_id % 97, '.535%，员工 ', doc_id + doc_id % 2 + 10000, ' 人。「', lead, '」【依据：《', doc, '》第 ', page, ' 页】') AS answer
   FROM (
     SELECT concat('q', doc_id) AS qa_id, doc_id, n_chars, concat(source, '_2025年报') AS doc, doc_id % 50 + 1 AS page,
       concat('cell', doc_id % 4) AS cell, concat('arm', doc_id % 3) AS label,

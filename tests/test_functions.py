@@ -190,3 +190,38 @@ def test_records(spark):
     pred = spark.createDataFrame([("q", "c", " \u3000"), ("r", "c", "p"), ("s", "c", "p"), ("q", "d", "p")], "qa_id string, cell string, prediction string")
     got = {r.qa_id: (r.answer, r.asked, r.silent) for r in records.join_predictions(pred, old, "line").collect()}
     assert got == {"q": ("b", "换", True), "r": ("a", "问", False)}
+
+
+@pytest.mark.parametrize("x,places,want", [(2.675, 2, 2.67), (1.005, 2, 1.0), (0.125, 2, 0.12), (0.375, 2, 0.38), (12.345, 2, 12.35), (-2.675, 2, -2.67), (2.5, 0, 2.0), (0.0625, 3, 0.062), (1e12, 2, 1e12)])
+def test_rounding_is_that_of_the_binary_value(value, x, places, want):
+    assert value(tx.rounded(F.lit(x), places)) == want == round(x, places)
+
+
+def test_percentages_round_the_double(value):
+    assert [tuple(f) for f in value(fg.key_figures(F.lit("2.675% 12.345％ 0.125%")))] == [("pct", 2.67), ("pct", 0.12)]
+
+
+@pytest.mark.parametrize("v", [{"b": {"z": 1, "a": [1.0, 1e300, -0.5, 12345678901234567890]}, "a": None, "é": "\x1b\x7f \"\\/\n\x0b"}, [], "x", 0.1, {"k": {"k": {}}}])
+def test_canonical_is_sorted_json(value, v):
+    text = json.dumps(v)
+    assert value(pg.canonical(F.lit(text))) == json.dumps(v, ensure_ascii=False, sort_keys=True)
+
+
+def test_canonical_of_variants_and_of_no_json(value):
+    assert value(pg.canonical(F.to_json(F.parse_json(F.lit('{"b": [1, {"d": 2.5, "c": true}], "a": "\\u001B"}'))))) == '{"a": "\\u001b", "b": [1, {"c": true, "d": 2.5}]}'
+    assert value(pg.canonical(F.lit("{no"))) is None and value(pg.canonical(F.lit(None).cast("string"))) is None
+
+
+def test_payload_is_what_the_serialiser_writes(value):
+    system, user = "系\x1b统\"", "问\\u001B\n"
+    want = {"model": "m", "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}], "temperature": 0.7, "response_format": {"type": "json_object"}}
+    assert value(pg.payload("m", F.lit(system), F.lit(user), F.lit(0.7))) == json.dumps(want, ensure_ascii=False, sort_keys=True)
+
+
+def test_reviews_strip_white_space_of_any_script(spark):
+    recs = spark.createDataFrame([("1", 1, "d", "甲", "x"), ("2", 2, "d", "乙", "y")], "qa_id string, seq int, doc string, question string, answer string")
+    reviews = spark.createDataFrame([("　1　", 1, "删除", None)], "qa_id string, line int, action string, note string")
+    assert {r.qa_id: r.kept for r in records.split(recs, reviews, []).collect()} == {"1": False, "2": True}
+    base = spark.createDataFrame([(1, "a", "p"), (2, "b", "q"), (3, "c", "r")], "id int, x string, y string")
+    said = spark.createDataFrame([(1, "　", "k"), (2, " new　", None)], "id int, v string, w string")
+    assert sorted(map(tuple, records.backfilled(base, said, "id", x="v", y="w").collect())) == [(1, "a", "k"), (2, "new", "q"), (3, "c", "r")]
