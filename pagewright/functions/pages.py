@@ -74,9 +74,9 @@ def canonical(value: Column) -> Column:
 
 def payload(model: str, system: Column, user: Column, temperature: Column) -> Column:
     """A chat request in canonical JSON."""
-    message = lambda role, x: F.struct(F.lit(role).alias("role"), given(x).alias("content"))
-    kind = F.struct(F.lit("json_object").alias("type")).alias("response_format")
-    return canonical(F.to_json(F.struct(F.lit(model).alias("model"), F.array(message("system", system), message("user", user)).alias("messages"), temperature.alias("temperature"), kind)))
+    named = lambda **x: F.named_struct(*(y for k, v in x.items() for y in (F.lit(k), v)))
+    messages = F.array(named(role=F.lit("system"), content=given(system)), named(role=F.lit("user"), content=given(user)))
+    return canonical(F.to_json(named(model=F.lit(model), messages=messages, temperature=temperature, response_format=named(type=F.lit("json_object")))))
 
 
 def cache_key(request: Column) -> Column:
