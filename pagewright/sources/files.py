@@ -5,12 +5,17 @@ from __future__ import annotations
 import csv
 import io
 import json
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import running_sum
+from ..storage import written
+from .staged import StagedTable
+
 PAGES = "doc string, year string, doc_type string, page int, chars int, text string"
 MANIFEST = "year string, doc_type string, date string, title_cn string, url string, file string"
 # Encodings to try, in order; what a PDF file begins with and has at least.
@@ -38,29 +43,50 @@ def read_contents(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("doc", F.posexplode("marks").alias("pos", "mark")).select("doc", "pos", "mark.*")
 
 
-def _rows(names: list[str], encoding: str):
-    """The rows of whole files, as strings; cells that a line lacks are null."""
+def _parsed(names: list[str], encoding: str):
+    """Records (their lines, in order) as cells; cells that a record lacks are null, empty ones as well."""
 
     def run(batches):
         for batch in batches:
-            for content in batch.column(0):
-                reader = csv.reader(io.StringIO(content.as_py().decode(encoding), newline=""))
-                next(reader, None)
-                rows = [(r + [None] * len(names))[: len(names)] for r in reader if r]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] or None for r in rows], pa.string()) for i in range(len(names))], names)
+            texts = ["\n".join(p.decode(encoding).removeprefix(BOM) for p in r) for r in batch.column(0).to_pylist()]
+            rows = [next(csv.reader(io.StringIO(t, newline="")), []) for t in texts]
+            rows = [(r + [None] * len(names))[: len(names)] for r in rows if r]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] or None for r in rows], pa.string()) for i in range(len(names))], names)
 
     return run
 
 
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of CSV files: file, number (from 0 in each file), lines (binary, in order).
+
+    Files are read in ranges, as lines of bytes: a line end, quote or comma is no part of a longer character in UTF-8 nor in GB
+    18030.  Whether a line begins a record follows from the quotes before it: a running sum over ranges of lines, in which a
+    range needs of those before it their number of quotes alone.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.col("value").cast("binary").alias("value"),
+    )
+    lines = written(lines.withColumn("quotes", F.length("value") - F.length(F.translate(F.decode("value", "ISO-8859-1"), '"', ""))))
+    order = ["block", "line"]
+    narrow = running_sum(lines.select("file", *order, "quotes"), ["file"], order, "quotes", "upto")
+    starts = narrow.withColumn("starts", ((F.col("upto") - F.col("quotes")) % 2 == 0).cast("int"))
+    number = running_sum(starts.select("file", *order, "starts"), ["file"], order, "starts", "number").select("file", *order, "number")
+    whole = lines.join(number, ["file", *order])
+    return whole.groupBy("file", (F.col("number") - 1).alias("number")).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, "value"))), lambda x: x["value"]).alias("lines"))
+
+
 def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """A CSV with a header, quoted line ends and a possible byte order mark; and the encoding that fits its bytes."""
-    raw = spark.read.format("binaryFile").load(path)
-    if raw.select(F.every(F.is_valid_utf8(F.col("content").cast("string"))).alias("ok")).first().ok is not False:
-        df = spark.read.csv(path, header=True, multiLine=True, encoding=ENCODINGS[0], escape='"')
-        return df.toDF(*(c.removeprefix(BOM) for c in df.columns)), ENCODINGS[0]
-    head = raw.select(F.substring("content", 1, 1 << 16).alias("x")).first().x.decode(ENCODINGS[1], "ignore")
-    names = next(csv.reader(io.StringIO(head, newline="")))
-    return raw.select("content").mapInArrow(_rows(names, ENCODINGS[1]), ", ".join(f"`{n}` string" for n in names)), ENCODINGS[1]
+    """CSV files with a header each (the same), quoted line ends and a possible byte order mark, as strings in the order of the
+    files; and the encoding that fits their bytes."""
+    records = csv_records(spark, path)
+    records = written(records)
+    utf8 = records.select(F.every(F.forall("lines", lambda x: F.is_valid_utf8(x.cast("string")))).alias("ok")).first().ok is not False
+    encoding = ENCODINGS[0] if utf8 else ENCODINGS[1]
+    head = records.where("number = 0").select("lines").first()
+    if head is None:
+        raise ValueError(f"no header in {path}")
+    names = next(csv.reader(io.StringIO("\n".join(bytes(x).decode(encoding) for x in head.lines).removeprefix(BOM), newline="")))
+    return records.where("number > 0").orderBy("file", "number").select("lines").mapInArrow(_parsed(names, encoding), ", ".join(f"`{n}` string" for n in names)), encoding
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -112,6 +138,18 @@ def export_json(df: DataFrame, path: str, *by: str) -> None:
     write_file(df.sparkSession, path, json.dumps(out, ensure_ascii=False, indent=2))
 
 
+def stock_ids(replies: DataFrame, codes: DataFrame) -> DataFrame:
+    """code, stock_id: the first entry of stored search replies (column `reply`: JSON, or JSON within a call of a function) for each
+    code, leading zeros aside; codes that no reply has are left out.  codes: code."""
+    inner = F.regexp_extract("reply", r"(?s)\((\{.*\})\)", 1)
+    kind = "array<struct<code:string,stockId:string>>"
+    body = F.when(inner != "", inner).otherwise(F.col("reply"))
+    rows = replies.select(F.monotonically_increasing_id().alias("r"), F.posexplode(F.from_json(F.get_json_object(body, "$.stockInfo"), kind)).alias("at", "x"))
+    bare = lambda c: F.regexp_replace(c, "^0+", "")
+    found = rows.groupBy(bare(F.col("x.code")).alias("bare")).agg(F.min_by("x.stockId", F.struct("r", "at")).alias("stock_id"))
+    return codes.join(found, bare(codes["code"]) == found["bare"]).select("code", "stock_id")
+
+
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     """path, length and whether it is a whole PDF file, of binary files."""
     f = spark.read.format("binaryFile").load(path)
@@ -124,13 +162,13 @@ def missing(wanted: DataFrame, done: DataFrame, *key: str) -> DataFrame:
 
 
 def resumed(wanted: DataFrame, path: str, key: str, compute: Callable[[DataFrame], DataFrame], parts: int = 1) -> DataFrame:
-    """A table of computed rows at a path (Parquet), filled part by part with what it lacks: a run that was stopped goes on
-    where it ended."""
-    spark = wanted.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    """A table of computed rows at a path, filled part by part (rows by a hash of their key) with what it lacks: a run that was
+    stopped goes on where it ended.  Each part is committed as a whole (see `staged`), so that no row is lost or twice there."""
+    table = StagedTable(wanted.sparkSession, path)
+    made = uuid.uuid4().hex
     for i in range(parts):
         some = wanted.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i)
-        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-            some = missing(some, spark.read.parquet(path), key)
-        compute(some).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+        if (done := table.read()) is not None:
+            some = missing(some, done, key)
+        table.commit(compute(some), f"{made}-{i}")
+    return table.read()
