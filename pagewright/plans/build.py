@@ -13,10 +13,12 @@ from ..operators import records as rec
 from . import sql
 from .tables import query, table
 
-#: Pages of the documents' sources: a passage of each text, at a place and of a length that differ by document.
+#: Pages of the documents' sources: a passage of each text, at a place and of a length that differ by document; of every
+#: fourth its whole text, a paragraph a line.
 _PAGED = """
 SELECT concat(source, '_2025年报') AS doc, doc_id AS page, CASE doc_id % 7 WHEN 0 THEN '其他' ELSE concat('管理層討論', doc_id % 3) END AS section,
-  regexp_replace(substring(text, 1 + CAST(doc_id * 37 % greatest(n_chars - 1500, 1) AS INT), 20 + CAST(doc_id * 131 % 1500 AS INT)), '[^A-Za-z]+', ' '{g}) AS text
+  CASE WHEN doc_id % 4 = 0 THEN replace(text, chr(10), concat(chr(10), chr(10))) ELSE
+    regexp_replace(substring(text, 1 + CAST(doc_id * 37 % greatest(n_chars - 1500, 1) AS INT), 20 + CAST(doc_id * 131 % 1500 AS INT)), '[^A-Za-z]+', ' '{g}) END AS text
 FROM documents WHERE text IS NOT NULL"""
 #: Records: questions some of which are equal but for punctuation, or hold the answer's number.
 _RECORDS = """
@@ -153,6 +155,9 @@ n AS (SELECT *, coalesce(review, CASE WHEN is_test AND gives THEN '{rec.LEADING_
 s AS (SELECT n.*, min(CASE WHEN early IS NULL THEN seq END) OVER (PARTITION BY k) AS first FROM n),
 sp AS (SELECT qa_id, seq, question, answer, CASE WHEN is_test THEN 'test' ELSE 'train' END AS pool, gives, regexp_matches(answer, '{'|'.join(q.HALF_REFUSALS)}') AS half_refusal, doc,
   coalesce(early, CASE WHEN seq > first THEN concat('与 q', first, ' 重复') END, '') AS reason FROM s)"""
+_PARAGRAPHS = f"list_filter(list_transform(string_split(one.t, chr(10) || chr(10)), lambda t: {sql.strip('t')}), lambda t: t <> '')"
+_PIECES = f"""CASE WHEN len({_PARAGRAPHS}) = 0 THEN [] ELSE list_reduce(list_transform({_PARAGRAPHS}, lambda t: [t]),
+  lambda a, b: CASE WHEN length(a[len(a)]) + length(b[1]) <= 650 * 1.4::DOUBLE THEN list_append(a[1:len(a) - 1], concat(a[len(a)], chr(10), b[1])) ELSE list_append(a, b[1]) END) END"""
 _FOLD = f"""p0 AS ({_PAGED.replace('{g}', ", 'g'")}),
 p AS (SELECT *, length(text) AS n, row_number() OVER (PARTITION BY doc ORDER BY page, text) AS i FROM p0),
 f AS (
@@ -162,7 +167,8 @@ f AS (
     CASE WHEN kind = 'skip' THEN h WHEN kind IN ('out', 'long') THEN NULL WHEN length(one.t) >= 650 THEN NULL ELSE one END,
     CASE WHEN kind = 'skip' THEN [] WHEN kind = 'merge' THEN CASE WHEN length(one.t) >= 650 THEN [one] ELSE [] END
       WHEN kind = 'out' THEN CASE WHEN h IS NULL THEN [] ELSE [h] END
-      WHEN kind = 'long' OR length(one.t) >= 650 THEN CASE WHEN h IS NULL THEN [one] ELSE [h, one] END
+      WHEN kind = 'long' THEN list_concat(CASE WHEN h IS NULL THEN [] ELSE [h] END, list_transform({_PIECES}, lambda t: {{'section': one.section, 's': one.s, 'e': one.e, 't': t}}))
+      WHEN length(one.t) >= 650 THEN CASE WHEN h IS NULL THEN [one] ELSE [h, one] END
       WHEN h IS NULL THEN [] ELSE [h] END
   FROM (
     SELECT doc, i, h, kind, CASE WHEN kind = 'merge' THEN {{'section': h.section, 's': least(h.s, page), 'e': greatest(h.e, page), 't': {sql.strip("concat(h.t, chr(10), text)")}}}

@@ -93,6 +93,30 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path, header=True, quoteAll=True, escape='"')
 
 
+def _encoded(names: list[str], encoding: str):
+    """The rows as CSV in an encoding, a header before those of each task."""
+
+    def run(batches):
+        def lines(rows):
+            for r in rows:
+                out = io.StringIO(newline="")
+                csv.writer(out, quoting=csv.QUOTE_ALL, lineterminator="").writerow(["" if x is None else x for x in r])
+                yield out.getvalue().encode(encoding)
+
+        yield pa.RecordBatch.from_arrays([pa.array(lines([names]), pa.binary())], ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(lines(zip(*(c.to_pylist() for c in batch.columns))), pa.binary())], ["value"])
+
+    return run
+
+
+def write_csv_as(df: DataFrame, path: str, encoding: str) -> None:
+    """CSV files in an encoding that Spark does not write, each with a header; all columns as text."""
+    text = df.select(*(F.col(c).cast("string") for c in df.columns))
+    rows = text.mapInArrow(_encoded(df.columns, encoding), "value binary")
+    rows.select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path)  # the bytes as they are
+
+
 def _exported(df: DataFrame) -> list:
     rows = df.limit(EXPORT_ROWS + 1).collect()
     if len(rows) > EXPORT_ROWS:
