@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 import pyarrow as pa
@@ -12,18 +13,18 @@ from .quotes import PUNCTUATION, SIMPLIFIED, TRADITIONAL
 from .text import SPACES
 
 CHARACTERS = {t: s for t, s in zip(TRADITIONAL, SIMPLIFIED) if t != s}
-_NO_SPACE = dict.fromkeys(SPACES)
-_NO_MARKS = dict.fromkeys(map(ord, PUNCTUATION))
+_SPACE = re.compile("[" + re.escape("".join(map(chr, SPACES))) + "]+")
+_MARKS = re.compile("[" + re.escape(PUNCTUATION) + "]+")
 
 
 def squeezed(text: str) -> str:
     """Without white space, of any script."""
-    return text.translate(_NO_SPACE)
+    return _SPACE.sub("", text)
 
 
 def bare(text: str) -> str:
     """Without punctuation and spacing."""
-    return text.translate(_NO_MARKS)
+    return _MARKS.sub("", text)
 
 
 class Converter:
@@ -45,10 +46,10 @@ class Converter:
                 at[""] = to  # no character is empty
 
     def __call__(self, text: str) -> str:
-        if self.single is not None:
-            return text.translate(self.single)
         if self.trie.keys().isdisjoint(text):
             return text
+        if self.single is not None:
+            return text.translate(self.single)
         out, at, kept = [], 0, 0
         while at < len(text):
             node, end, best = self.trie.get(text[at]), at + 1, None

@@ -276,7 +276,6 @@ def search(queries: DataFrame, index: Index, k: int) -> DataFrame:
     """
     spark = index.shards.sparkSession
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("text").cast("string").alias("text")).where("query_id is not null")
-    asked = written(asked)
     has = asked.mapInArrow(_query_terms(index.kind), "query_id long, term long, times long").groupBy("query_id", "term").agg(F.sum("times").alias("times"))
     idf = F.log(1 + (F.lit(index.size) - F.col("n") + 0.5) / (F.col("n") + 0.5))
     has = has.join(index.terms.where("term is not null").select("term", "n"), "term").select("query_id", "term", (F.col("times") * idf).alias("weight"))
