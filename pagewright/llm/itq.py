@@ -86,8 +86,8 @@ class Code:
 
 def fit(sample: np.ndarray, width: int, angle: float, seed: int = 7, most: int = 1024) -> tuple[Code, int, float, float]:
     """A code for unit vectors of one dimension, its number of tables, and how many bits of the sketches of vectors at that
-    angle differ: mean and deviation.  Measured on pairs made from the sample; `most` bounds the tables where
-    vectors are so alike that centring leaves no direction to tell them apart by."""
+    angle differ: mean and deviation.  Measured on pairs made from the sample.  Where vectors are so alike that `most` tables
+    would still lose more than MISS, keys are made shorter (see the code's width): of 8 bits, even random ones meet often enough."""
     rng = np.random.default_rng(seed)
     mean = sample.mean(0)
     x = sample[:2_000]
@@ -106,6 +106,8 @@ def fit(sample: np.ndarray, width: int, angle: float, seed: int = 7, most: int =
         missed &= (apart.reshape(len(x), add, width).sum(2) > 1).all(1)
         tables += add
         add = max(1, tables // 2)
+    if missed.mean() > MISS and width > 8:
+        return fit(sample, max(8, width - 8), angle, seed, most)
     return Code(mean, np.concatenate(parts, 1), width), tables, float(off.mean()), float(off.std())
 
 
@@ -206,10 +208,15 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id
     for r in bounded(classes.select("rep", "v"), ["rep"], SAMPLE, n).select("v").toLocalIterator():
         sample.setdefault(len(r.v), []).append(r.v)
     codes, tables, mean, deviation = {}, tables_for(width, theta), SKETCH * theta / np.pi, np.sqrt(SKETCH * theta / np.pi)
-    for d, x in sample.items():
-        if len(x) >= max(d, 64):
-            code, some, m, s = fit(_matrix(pa.array(x, pa.list_(pa.float64())), d), width, theta)
-            codes[d], tables, mean, deviation = code, max(tables, some), max(mean, m), max(deviation, s)
+    fits, enough = {}, {d: _matrix(pa.array(x, pa.list_(pa.float64())), d) for d, x in sample.items() if len(x) >= max(d, 64)}
+    for _ in range(5):  # at most from 40 bits to 8: all dimensions have keys of the shortest width
+        fits = {d: fits[d] if d in fits and fits[d][0].width == width else fit(x, width, theta) for d, x in enough.items()}
+        shortest = min((f[0].width for f in fits.values()), default=width)
+        if shortest == width:
+            break
+        width, tables = shortest, tables_for(shortest, theta)
+    for d, (code, some, m, s) in fits.items():
+        codes[d], tables, mean, deviation = code, max(tables, some), max(mean, m), max(deviation, s)
     for d, code in codes.items():  # as many tables for each dimension
         lacks = SKETCH + tables * width - code.project.shape[1]
         if lacks > 0:

@@ -172,9 +172,11 @@ def identify(rows: DataFrame, model: dict[str, tuple], keys: list[str], text: st
     out = out.select("key", "n", "stated", F.transform(_share("e"), lambda x: F.round(x, 9)).alias("p"))
     place = F.array_position("p", F.array_max("p")).cast("int")
     language = F.element_at(F.array(*map(F.lit, [*names, "und"])), place)
-    out = out.select("key.*", language.alias("language"), F.array_max("p").alias("confidence"), "n", "stated")
+    out = out.select("key", language.alias("language"), F.array_max("p").alias("confidence"), "n", "stated")
     accepted = (F.col("language") != "und") & (F.col("confidence") >= least) & ((F.col("n") > 0) | F.col("stated"))
-    return out.select(*keys, "language", "confidence", accepted.alias("accepted"))
+    results = ("language", "confidence", "accepted")
+    own = [F.col("key")[k].alias(f"key_{k}" if k in results else k) for k in keys]
+    return out.select(*own, "language", "confidence", accepted.alias("accepted"))
 
 
 def _share(values: str) -> Column:

@@ -186,10 +186,12 @@ def _verify(k: int, percent: int):
 
 
 def _one(last, side, key, batch, column, i, k):
-    if last.get(side, (None,))[0] != key:
+    """The set of a row's text; that of the row before, if it is the same text (an id may have several)."""
+    text = batch.column(column)[i].as_buffer()
+    if side not in last or last[side][0] != key or not last[side][1].equals(text):
         raw, off = fp.flat(batch.column(column).slice(i, 1))
-        last[side] = (key, next(fp.shingle_sets(fp.Words(raw, off), k)))
-    return last[side][1]
+        last[side] = (key, text, next(fp.shingle_sets(fp.Words(raw, off), k)))
+    return last[side][2]
 
 
 def verified(pairs: DataFrame, texts: DataFrame, sigs: DataFrame, k: int, percent: int) -> DataFrame:

@@ -70,6 +70,20 @@ def test_ngram_join_edges(spark):
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 2, 0), (1, 2, 1), (1, 2, 1)]
 
 
+def test_ngram_join_of_ids_with_several_texts(spark):
+    """Every id has two unrelated texts, each with a near copy under an id of its own: no link is lost."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(25):
+        for j in range(2):
+            base = words(rng, 60, 4000)
+            other = [*base[:-1], "changed"]
+            rows += [(i, " ".join(base), "", "", 0, ""), (1000 + 2 * i + j, " ".join(other), "", "", 0, "")]
+    rng.shuffle(rows)
+    got = ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    assert all(r.component_id == (r.doc_id if r.doc_id < 1000 else (r.doc_id - 1000) // 2) for r in got) and len(got) == 100
+
+
 def test_signature_never_rejects_a_link():
     rng = np.random.default_rng(1)
     for n in (1, 5, 40, 700):
@@ -209,16 +223,15 @@ def _cosines(x):
     return y @ y.T
 
 
-@pytest.mark.parametrize("width", [8, 24, 32, 40])
-@pytest.mark.parametrize("offset", [0.0, 1.0])
+@pytest.mark.parametrize("width,offset", [(w, o) for o in (0.0, 1.0) for w in (8, 24, 32, 40)] + [(w, o) for o in (2.06, 3.04) for w in (24, 32, 40)])
 def test_embedding_recall_at_any_width(width, offset):
-    """Pairs at exactly the threshold, of vectors around zero and around a common direction (norm of their mean: 0.7)."""
+    """Pairs at exactly the threshold, of vectors around zero and around a common direction (norm of their mean: 0.7, 0.9, 0.95)."""
     rng = np.random.default_rng(5)
     theta = np.arccos(0.95)
     x = rng.standard_normal((6_000, 32)) + offset * np.sqrt(32) * np.eye(32)[0]
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    code, tables, _, _ = itq.fit(x[3_000:], width, theta)
-    assert tables >= itq.tables_for(width, theta)
+    code, tables, _, _ = itq.fit(x[3_000:], width, theta, most=1024 if offset < 2 else 128)  # few tables: shorter keys
+    assert tables >= itq.tables_for(code.width, theta)
     u = rng.standard_normal((3_000, 32))
     u -= (u * x[:3_000]).sum(1, keepdims=True) * x[:3_000]
     y = np.cos(theta) * x[:3_000] + np.sin(theta) * u / np.linalg.norm(u, axis=1, keepdims=True)
@@ -390,6 +403,8 @@ def test_language_id(spark):
     assert found[901].language == "de" and not found[901].accepted and found[903].language == "de"
     assert not found[902].accepted and not found[904].accepted
     assert langid.identify(spark.createDataFrame([], "doc_id long, text string"), model, ["doc_id"]).count() == 0
+    clash = spark.createDataFrame([(i, text("en", 40), "k", "z") for i in range(3)], "n long, text string, language string, p string")
+    assert [(r.n, r.key_language, r.language) for r in langid.identify(clash, model, ["n", "language"]).orderBy("n").collect()] == [(i, "k", "en") for i in range(3)]
     assert langid.fit(docs.limit(0)) == {}
     assert {r.language for r in langid.identify(docs, {}, ["doc_id"]).collect()} == {"und"}
 
