@@ -8,13 +8,12 @@ a class the word's add-one share of the class's training tokens; every class kee
 Outputs and words of a group are scored by the product of their vector with the sum of the contexts' vectors, each weighted
 per dimension and position, plus a bias, and normalised exactly, by batched matrix products over the distinct contexts.
 
-Training reads every training text once: ROUNDS rounds take a share of the texts each, by a hash, and every STRIDE-th minibatch of
-them.  Each task follows the gradient over its own texts, from common parameters, against
+Training learns from every token of every training text once: ROUNDS rounds take a share of the texts each, by a hash.  Each task follows the gradient over its own texts, from common parameters, against
 noise from the counted frequencies (outputs: shared by a minibatch; words: of the same group); the parameters are then
 averaged, weighted by tokens; the step sizes (sums of squared gradients) go on with them.
 
-Counts of all words are exact and are gathered from all texts.  Vocabulary words are counted in the scan.  For all others texts
-are dealt to chunks by a hash of id and text; a chunk's distinct words with their counts are grouped by word, and only those
+Counts of all words are exact and are gathered from all texts.  The vocabulary is chosen by the exact counts of all training
+words, a row for each distinct word of a chunk, added up by word.  For the counts of all other words in scoring, texts are dealt to chunks by a hash of id and text; a chunk's distinct words with their counts are grouped by word, and only those
 whose total differs from the chunk's own count go back to the chunk.  So a word costs one row a chunk, no group is
 that of a frequent word, no table of all words is held whole anywhere, and what is broadcast is the model.  Its size is
 fixed by the parameters `vocabulary` and `dim`; what it learns from, and all counts, grow with the corpus.
@@ -39,9 +38,7 @@ from .shared import freed, written
 
 VOCABULARY, DIM = 8_192, 16
 SHORT, GROUPS, MIN_COUNT, CLASSES = 64, 96, 20, 16
-NOISE, INNER_NOISE, BATCH, ROUNDS, STRIDE, RATE = 24, 4, 2048, 2, 2, 0.1
-#: One text in so many serves to choose the vocabulary; its words are then counted in all texts.
-CHOICE = 4
+NOISE, INNER_NOISE, BATCH, ROUNDS, RATE = 24, 4, 4096, 2, 0.2
 CHUNK_BYTES = 3_000_000
 #: Parameters that are averaged in one row.
 BLOCK = 4096
@@ -146,25 +143,23 @@ def _log_sum(s: np.ndarray) -> np.ndarray:
 
 
 def _descend(model: Model, params: list, seen: list, token, one, two, inner, rng) -> None:
-    """Noise-contrastive steps (AdaGrad) over the tokens, in place."""
+    """Noise-contrastive steps (AdaGrad) over the tokens, in place; of the large tables only the rows that a minibatch has."""
     r, q, b, c, q2, b2 = params
     chance = np.log(NOISE * model.freq).astype(np.float32)
     sums = np.cumsum(model.freq)
     edges = model.edges - model.short
     low, high = model.inner[edges[:-1]], model.inner[edges[1:]]
     share = np.log(INNER_NOISE * model.share).astype(np.float32)
-    for i in range(int(rng.integers(STRIDE)) * BATCH % max(len(token), 1), len(token), BATCH * STRIDE):
+    for i in range(0, len(token), BATCH):
         t, x, y, k = token[i : i + BATCH], one[i : i + BATCH], two[i : i + BATCH], inner[i : i + BATCH]
         m = np.minimum(np.searchsorted(sums, rng.random(NOISE)), len(q) - 1)
         rx, ry = r[x], r[y]
         h = rx * c[0] + ry * c[1]
         qt, qm = q[t], q[m]
-        g = -1 / (1 + np.exp(np.clip((h * qt).sum(1) + b[t] - chance[t], -30, 30)))  # true word: sigmoid - 1
-        e = 1 / (1 + np.exp(-np.clip(h @ qm.T + b[m] - chance[m], -30, 30)))
+        g = -1 / (1 + np.exp(np.clip(np.einsum("nd,nd->n", h, qt) + b[t] - chance[t], -30, 30)))  # true word: sigmoid - 1
+        e = 1 / (1 + np.exp(-np.clip(h @ qm.T + (b[m] - chance[m]), -30, 30)))
         dh = g[:, None] * qt + e @ qm
-        dq = _rows(np.r_[t, m], np.concatenate([g[:, None] * h, e.T @ h]), len(q))
-        db = np.bincount(t, g, len(b)) + np.bincount(m, e.sum(0), len(b))
-        steps = [None, dq, db, None, None, None]
+        steps = [(q, seen[1], np.r_[t, m], np.concatenate([g[:, None] * h, e.T @ h])), (b, seen[2], np.r_[t, m], np.r_[g, e.sum(0)])]
         at = np.flatnonzero(k >= 0)
         if len(at):  # the word itself first, then noise of its group
             group = t[at] - model.short - 1
@@ -172,25 +167,31 @@ def _descend(model: Model, params: list, seen: list, token, one, two, inner, rng
             noise = np.clip(np.searchsorted(model.inner, u.ravel(), "right") - 1, 0, len(q2) - 1).reshape(u.shape)
             kinds = np.concatenate([k[at, None], noise], 1)
             vectors, ha = q2[kinds], h[at]
-            d = 1 / (1 + np.exp(-np.clip(np.einsum("nd,nkd->nk", ha, vectors) + b2[kinds] - share[kinds], -30, 30)))
+            d = 1 / (1 + np.exp(-np.clip(np.einsum("nd,nkd->nk", ha, vectors) + (b2[kinds] - share[kinds]), -30, 30)))
             d[:, 0] -= 1
             dh[at] += np.einsum("nk,nkd->nd", d, vectors)
             flat = kinds.ravel()
-            steps[4] = _rows(flat, (d[:, :, None] * ha[:, None, :]).reshape(-1, ha.shape[1]), len(q2))
-            steps[5] = np.bincount(flat, d.ravel(), len(b2))
-        steps[0] = _rows(np.r_[x, y], np.concatenate([dh * c[0], dh * c[1]]), len(r))
-        steps[3] = np.stack([(dh * rx).sum(0), (dh * ry).sum(0)])
-        for p, s, d in zip(params, seen, steps):
-            if d is not None:
-                d = (d / len(t)).astype(np.float32)
-                s += d * d
-                p -= RATE * d / (np.sqrt(s) + np.float32(1e-6))
-
-
-def _rows(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows of `values` by their place."""
+            steps += [(q2, seen[4], flat, (d[:, :, None] * ha[:, None, :]).reshape(-1, ha.shape[1])), (b2, seen[5], flat, d.ravel())]
+        steps.append((r, seen[0], np.r_[x, y], np.concatenate([dh * c[0], dh * c[1]])))
+        steps.append((c, seen[3], np.arange(2), np.stack([np.einsum("nd,nd->d", dh, rx), np.einsum("nd,nd->d", dh, ry)])))
+        for p, s, rows, values in steps:
+            there, d = _rows(rows, values, len(p))
+            d = (d / len(t)).astype(np.float32)
+            s_ = s[there] + d * d
+            s[there] = s_
+            p[there] -= RATE * d / (np.sqrt(s_) + np.float32(1e-6))
+
+
+def _rows(at: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places that occur, and the sums of the rows of `values` there."""
+    there = np.flatnonzero(np.bincount(at, minlength=n))
+    number = np.empty(n, np.int64)
+    number[there] = np.arange(len(there))
+    at = number[at]
+    if values.ndim == 1:
+        return there, np.bincount(at, values, len(there))
     d = values.shape[1]
-    return np.bincount((at[:, None] * d + np.arange(d)).ravel(), values.ravel(), n * d).reshape(n, d)
+    return there, np.bincount((at[:, None] * d + np.arange(d)).ravel(), values.ravel(), len(there) * d).reshape(-1, d)
 
 
 def _train(shared, seed: int, salts: int):
@@ -224,32 +225,13 @@ def _mean(table: pa.Table) -> pa.Table:
     return pa.table([table.column("i").slice(0, 1), table.column("salt").slice(0, 1), pa.array([int(n.sum())]), pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())], names=["i", "salt", "n", "x"])
 
 
-def _common(batches):
-    """Words that a chunk of training texts has twice or more, with their count there."""
+def _words(batches):
+    """Distinct words of each chunk of training texts, with their class and their count there."""
     for batch in batches:
         for _, raw, off in fp.chunks(batch, "text", CHUNK_BYTES):
             w = fp.Words(raw, off)
             word, at, n = np.unique(w.hash, return_index=True, return_counts=True)
-            keep = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array(word[keep].view(np.int64)), pa.array(_classes(w, raw)[at][keep]), pa.array(n[keep].astype(np.int64))], ["word", "cls", "n"])
-
-
-def _exact(shared):
-    """A task's counts: of each vocabulary word by rank, and behind them of all other words by class."""
-
-    def run(batches):
-        model = shared.value
-        v = len(model.words)
-        n = np.zeros(v + CLASSES, np.int64)
-        for batch in batches:
-            for _, raw, off in fp.chunks(batch, "text"):
-                w = fp.Words(raw, off)
-                rank = model.known(w.hash)
-                n += np.bincount(np.where(rank >= 0, rank, v + _classes(w, raw)), minlength=v + CLASSES)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["i", "n"])
-
-    return run
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(_classes(w, raw)[at]), pa.array(n.astype(np.int64))], ["word", "cls", "n"])
 
 
 def _parsed(model: Model, table: pa.Table) -> list[tuple]:
@@ -341,20 +323,22 @@ def _scores(shared, total: int, kinds: int, ends: int, inside: np.ndarray, disti
 def fit(train: DataFrame, n_bytes: int, ends: int, vocabulary: int = VOCABULARY, dim: int = DIM) -> tuple[Model, np.ndarray]:
     """The model of texts (column text), and the training tokens outside of its vocabulary by class."""
     spark = train.sparkSession
-    part = F.pmod(F.xxhash64("text"), F.lit(ROUNDS * CHOICE))
-    some = train.where(part % CHOICE == 0).mapInArrow(_common, "word long, cls short, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * CHOICE >= MIN_COUNT)
-    top = some.orderBy(F.desc("n"), "word").limit(vocabulary).collect()  # a row a word of the vocabulary
+    part = F.pmod(F.xxhash64("text"), F.lit(ROUNDS))
+    seen = Observation()
+    counted = train.mapInArrow(_words, "word long, cls short, n long").groupBy("word").agg(F.sum("n").alias("n"), F.min("cls").alias("cls"))
+    counted = counted.observe(seen, *(F.sum(F.when(F.col("cls") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(CLASSES)))
+    top = counted.where(F.col("n") >= MIN_COUNT).orderBy(F.desc("n"), "word").limit(vocabulary).collect()  # a row a word of the vocabulary
+    got = seen.get
     words = np.array([r.word for r in top], np.int64).view(fp.U)
+    count = np.array([r.n for r in top], np.int64)
+    rest = np.array([got.get(f"c{i}") or 0 for i in range(CLASSES)], np.int64)
+    np.subtract.at(rest, np.array([r.cls for r in top], np.int64), count)
     order = np.argsort(words)
-    model = Model(words[order], order, np.array([r.n for r in top], np.int64), ends, np.zeros(CLASSES), dim)
-    n = np.zeros(len(words) + CLASSES, np.int64)
-    for r in train.mapInArrow(_exact(spark.sparkContext.broadcast(model)), "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
-        n[r.i] = r.n
-    model = Model(words[order], order, n[: len(words)], ends, n[len(words) :], dim)
+    model = Model(words[order], order, count, ends, rest, dim)
     salts = max(1, int(np.sqrt(n_bytes / 32_000_000)))  # so that no mean is taken over many tasks at once
     kind = "i int, salt int, n long, x binary"
     for i in range(ROUNDS):
-        own = train.where(F.floor(part / CHOICE) == i).mapInArrow(_train(spark.sparkContext.broadcast(model), i, salts), kind)
+        own = train.where(part == i).mapInArrow(_train(spark.sparkContext.broadcast(model), i, salts), kind)
         some = own.groupBy("i", "salt").applyInArrow(_mean, kind)
         rows = (some.groupBy("i").applyInArrow(_mean, kind) if salts > 1 else some).select("i", "x").collect()
         if not rows:
@@ -364,7 +348,7 @@ def fit(train: DataFrame, n_bytes: int, ends: int, vocabulary: int = VOCABULARY,
             new.append(flat[at : at + p.size].reshape(p.shape).copy())
             at += p.size
         model.params, model.seen = new[: len(model.params)], new[len(model.params) :] or model.seen
-    return model, n[len(words) :]
+    return model, rest
 
 
 def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, dim: int = DIM) -> DataFrame:

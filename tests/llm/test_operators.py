@@ -163,6 +163,35 @@ def test_lm_counts_and_normalisation(spark):
     assert len(untrained) == len(docs) and all(math.isfinite(r.score) and r.n_known == 0 for r in untrained)
 
 
+def test_lm_vocabulary_of_one_text(spark):
+    """Copies of a single text, which all fall to one round: their words are the vocabulary."""
+    for seed in range(3):
+        text = " ".join(words(random.Random(seed), 30))
+        docs = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string")
+        model, rest = logbilinear.fit(docs.select("text"), 10_000, 40)
+        assert len(model.words) == len(set(text.split())) and rest.sum() == 0 and sorted(model.count.tolist()) == sorted(40 * n for n in Counter(text.split()).values())
+
+
+def test_lm_score_is_brute_force():
+    """Each token's probability by plain loops over all outputs, and over its group, of a small model."""
+    rng = np.random.default_rng(4)
+    size = 200
+    m = logbilinear.Model(np.arange(size, dtype=np.uint64), np.arange(size), np.arange(size, 0, -1), 3.0, np.ones(logbilinear.CLASSES))
+    m.params = [(p + rng.standard_normal(p.shape)).astype(np.float32) for p in m.params]
+    r, q, b, c, q2, b2 = (p.astype(float) for p in m.params)
+    rank = rng.integers(-1, size, 300)
+    one, two = rng.integers(0, len(r), 300), rng.integers(0, len(r), 300)
+    token = np.where(rank >= 0, m.output[rank], m.first_class + 2)
+    inner = np.where(rank >= m.short, rank - m.short, -1)
+    for got, t, x, y, k in zip(m.log10(token, one, two, inner), token, one, two, inner):
+        h = r[x] * c[0] + r[y] * c[1]
+        want = math.log10(math.exp(h @ q[t] + b[t]) / sum(math.exp(h @ q[o] + b[o]) for o in range(len(q))))
+        if k >= 0:
+            own = [j for j in range(size - m.short) if m.output[j + m.short] == t]
+            want += math.log10(math.exp(h @ q2[k] + b2[k]) / sum(math.exp(h @ q2[j] + b2[j]) for j in own))
+        assert got == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
 @pytest.mark.parametrize("size", [0, 9, 700, 1500])
 def test_lm_probabilities_sum_to_one(size):
     """Over all outputs, and over the words of each group, after any context."""
