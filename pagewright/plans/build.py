@@ -125,8 +125,8 @@ def cache_read(spark: SparkSession, d: str) -> DataFrame:
     return found.select("key", F.lit(True).alias("cached")).unionByName(missing.select("key", F.lit(False).alias("cached")))
 
 
-def report_list(spark: SparkSession, d: str) -> DataFrame:
-    """Report links of search replies, JSON within JSON, a reply per ten pages."""
+def search_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Search replies, JSON within JSON, one for ten pages: column reply."""
     null = F.lit(None).cast("string")
     p = table(spark, d, "pages").withColumn("n", F.col("page_id"))
     title = F.when(F.col("n") % 4 == 0, null).otherwise(F.concat(F.lit("年报 "), (F.lit(1990) + F.col("n") % 40).cast("string")))
@@ -136,8 +136,12 @@ def report_list(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("n") % 3 == 0, path).when(F.col("n") % 3 == 1, "").otherwise(null).alias("FILE_LINK"),
         F.when(F.col("n") % 5 > 0, F.struct(F.col("url").alias("fileLink"))).alias("FILE_INFO"),
     )
-    replies = p.groupBy(F.floor(F.col("n") / 10).alias("b")).agg(F.to_json(F.collect_list(row)).alias("rows")).select(F.to_json(F.struct(F.col("rows").alias("result"))).alias("reply"))
-    return rec.listed_reports(replies, "年报", "https://b.example")
+    return p.groupBy(F.floor(F.col("n") / 10).alias("b")).agg(F.to_json(F.collect_list(row)).alias("rows")).select(F.to_json(F.struct(F.col("rows").alias("result"))).alias("reply"))
+
+
+def report_list(spark: SparkSession, d: str) -> DataFrame:
+    """Report links of search replies."""
+    return rec.listed_reports(search_replies(spark, d), "年报", "https://b.example")
 
 
 def zip_verdicts(spark: SparkSession, d: str) -> DataFrame:

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import pages as pg
 from ..functions import script as sc
+from ..functions import tokens as tk
 from ..sources import files
+from ..sources.replies import read_replies
 from ..storage import shared_dir
-from . import sql
+from . import build, sql
 from .tables import PAGES_SQL, pages, table
 
 
@@ -67,6 +69,21 @@ def stock_lookup(spark: SparkSession, d: str) -> DataFrame:
     return files.stock_ids(replies, p.where("page_id % 2 = 0").select(F.col("page_id").cast("string").alias("code")))
 
 
+def saved_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Report links of stored replies, a file each, through the data source."""
+    path = _path(spark, "replies")
+    build.search_replies(spark, d).write.option("maxRecordsPerFile", 1).text(path)
+    return read_replies(spark, path).select("year", "date", "title_cn", "url")
+
+
+def cut_by_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Which documents, as prompts, reach 512 tokens."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return table(spark, d, "documents").select("doc_id", tk.is_cut(F.col("text"), path, 512).alias("cut"))
+
+
 def _convert(x: str) -> str:
     for a, b in _PHRASES.items():
         x = f"replace({x}, {sql.lit(a)}, {sql.lit(b)})"
@@ -81,7 +98,8 @@ ORACLE_SQL = {
 WITH x AS (SELECT doc_id, list_concat(list_transform(range(doc_id % 40 + 1), lambda i: -100), range(doc_id % 9, doc_id % 9 + n_chars % 90 + 1)) AS l FROM documents)
 SELECT doc_id, array_to_string(l[:64], ',') AS labels FROM x""",
     "script_convert": f"WITH {PAGES_SQL} SELECT doc, page, md5({_convert('text')}) AS digest FROM pages_",
+    "saved_reports": build.ORACLE_SQL["report_list"].replace("'年报' AS doc_type, ", "").replace("CASE WHEN starts_with(link, '/') THEN concat('https://b.example', link) ELSE link END", "link"),
     "stock_lookup": "SELECT page_id::VARCHAR AS code, md5(url) AS stock_id FROM pages WHERE page_id % 2 = 0 AND page_id > 0",
 }
 
-QUERIES = {f.__name__: f for f in (csv_foreign, json_lines, resume_table, label_mask, script_convert, stock_lookup)}
+QUERIES = {f.__name__: f for f in (csv_foreign, json_lines, resume_table, label_mask, script_convert, stock_lookup, saved_reports, cut_by_tokens)}

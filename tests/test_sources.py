@@ -5,6 +5,9 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from pagewright.functions import tokens
 from pagewright.sources import files, staged
 from pagewright.sources.staged import StagedTable
 
@@ -129,3 +132,13 @@ def test_stock_ids(spark):
     codes = spark.createDataFrame([("700",), ("00005",), ("12",)], "code string")
     found = files.stock_ids(spark.createDataFrame([(r,) for r in replies], "reply string").coalesce(1), codes)
     assert {r.code: r.stock_id for r in found.collect()} == {"700": "7", "00005": "x)"}
+
+
+def test_cut_by_tokens(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["one two three", "", None, "wörd " * 40, "x" * 500]
+    t = tokens.tokenizer(path)
+    found = spark.createDataFrame([(x,) for x in texts], "t string").select("t", tokens.token_count(F.col("t"), path).alias("n"), tokens.is_cut(F.col("t"), path, 40).alias("cut")).collect()
+    assert all(r.n == len(t.encode(r.t or "", add_special_tokens=False).ids) and r.cut == (r.n >= 40) for r in found) and {r.cut for r in found} == {True, False}
