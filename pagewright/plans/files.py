@@ -76,6 +76,38 @@ def saved_reports(spark: SparkSession, d: str) -> DataFrame:
     return read_replies(spark, path).select("year", "date", "title_cn", "url")
 
 
+def contents_read(spark: SparkSession, d: str) -> DataFrame:
+    """Bookmarks of pages, a JSON object for ten pages, three bookmarks a page at most."""
+    path = _path(spark, "contents")
+    p = table(spark, d, "pages")
+    mark = lambda i: F.struct(F.lit(1).alias("level"), F.concat(F.lit("第"), i.cast("string"), F.lit("节 \""), "url").alias("title"), (F.col("page_id") + i).cast("int").alias("page"))
+    marks = F.transform(F.sequence(F.lit(0), (F.col("page_id") % 3).cast("int")), mark)
+    files_ = p.groupBy(F.floor(F.col("page_id") / 10)).agg(F.map_from_entries(F.collect_list(F.struct(F.col("page_id").cast("string"), marks))).alias("x"))
+    files_.select(F.to_json("x")).write.option("maxRecordsPerFile", 1).text(path)
+    return files.read_contents(spark, path)
+
+
+def pdf_check(spark: SparkSession, d: str) -> DataFrame:
+    """Which stored files, of ten pages each, are whole PDF files by their first bytes and size."""
+    path = _path(spark, "pdf")
+    p = table(spark, d, "pages")
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "html"))), lambda x: x["html"]), "")
+    made = p.groupBy(F.floor(F.col("page_id") / 10).alias("b")).agg(content.alias("x"))
+    text = F.when(F.col("b") % 3 == 0, F.concat(F.lit("%PDF-1.7 "), "x")).when(F.col("b") % 3 == 1, F.concat(F.lit("%PDF"), F.substring("x", 1, 500))).otherwise(F.col("x"))
+    made.select(text).write.option("maxRecordsPerFile", 1).text(path)
+    return files.pdf_files(spark, path).select("length", "valid")
+
+
+def summary_export(spark: SparkSession, d: str) -> DataFrame:
+    """A summary by language and half of the sources, exported as one nested JSON object and read back."""
+    path = _path(spark, "summary") + ".json"
+    half = F.when(F.substring(F.md5("source"), 1, 1) < "8", "h0").otherwise("h1")
+    s = table(spark, d, "documents").groupBy("lang", half.alias("half")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    files.export_json(s, path, "lang", "half")
+    back = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,map<string,struct<n:long,chars:long>>>")).alias("lang", "x"))
+    return back.select("lang", F.explode("x").alias("half", "y")).select("lang", "half", "y.n", "y.chars")
+
+
 def cut_by_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Which documents, as prompts, reach 512 tokens."""
     import public_tokenizers
@@ -99,7 +131,15 @@ WITH x AS (SELECT doc_id, list_concat(list_transform(range(doc_id % 40 + 1), lam
 SELECT doc_id, array_to_string(l[:64], ',') AS labels FROM x""",
     "script_convert": f"WITH {PAGES_SQL} SELECT doc, page, md5({_convert('text')}) AS digest FROM pages_",
     "saved_reports": build.ORACLE_SQL["report_list"].replace("'年报' AS doc_type, ", "").replace("CASE WHEN starts_with(link, '/') THEN concat('https://b.example', link) ELSE link END", "link"),
+    "contents_read": """
+SELECT page_id::VARCHAR AS doc, i::INT AS pos, 1::INT AS level, concat('第', i, '节 "', url) AS title, (page_id + i)::INT AS page FROM (SELECT *, unnest(range(page_id % 3 + 1)) AS i FROM pages)""",
+    "pdf_check": """
+WITH x AS (SELECT page_id // 10 AS b, string_agg(html, '' ORDER BY page_id) AS x FROM pages GROUP BY 1),
+f AS (SELECT CASE b % 3 WHEN 0 THEN concat('%PDF-1.7 ', x) WHEN 1 THEN concat('%PDF', substring(x, 1, 500)) ELSE x END AS x FROM x)
+SELECT strlen(x) + 1 AS length, starts_with(x, '%PDF') AND strlen(x) + 1 > 1024 AS valid FROM f""",
+    "summary_export": """
+SELECT lang, CASE WHEN substring(md5(source), 1, 1) < '8' THEN 'h0' ELSE 'h1' END AS half, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1, 2""",
     "stock_lookup": "SELECT page_id::VARCHAR AS code, md5(url) AS stock_id FROM pages WHERE page_id % 2 = 0 AND page_id > 0",
 }
 
-QUERIES = {f.__name__: f for f in (csv_foreign, json_lines, resume_table, label_mask, script_convert, stock_lookup, saved_reports, cut_by_tokens)}
+QUERIES = {f.__name__: f for f in (csv_foreign, json_lines, resume_table, label_mask, script_convert, stock_lookup, saved_reports, contents_read, pdf_check, summary_export, cut_by_tokens)}

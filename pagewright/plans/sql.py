@@ -8,6 +8,18 @@ from ..functions import quotes as q
 from ..functions import text as tx
 
 
+# The rules that the SQL checks are written out here, and not taken from the engine's columns.
+_GAP = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*"
+NUMBER = r"\p{Nd}+(?:,\p{Nd}{3})*(?:\.\p{Nd}+)?"
+TELLING = r"\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)?%?"
+FIGURE = rf"(\p{{Nd}}[\p{{Nd}},]*(?:\.\p{{Nd}}+)?){_GAP}(百万元|亿元|万元|千元|元|%)"
+PAGES = rf"第{_GAP}(\p{{Nd}}{{1,4}}){_GAP}(?:[-–~～至]{_GAP}(\p{{Nd}}{{1,4}}){_GAP})?页"
+BARE = rf"依据[:：]{_GAP}([^。；\n]{{1,90}})"
+BLOCK, TITLE, QUOTE = "【([^】]{0,300})】", "《([^》]{1,80})》", "「([^」]{0,600})」"
+LOOSE_TITLE = "([一-鿿A-Za-z0-9_]{2,40}?(?:年报|中报))"
+ELLIPSIS = r"…+|\.{3,}|·{3,}|。{3,}|\*{3,}"
+
+
 def lit(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -51,12 +63,12 @@ def clean(x: str) -> str:
 
 def numbers(x: str) -> str:
     plain = f"replace({narrow('x')}, ',', '')"
-    found = f"list_transform({every(x, fg.NUMBER)}, lambda x: CASE WHEN contains({plain}, '.') THEN regexp_replace({plain}, '\\.?0*$', '') ELSE {plain} END)"
+    found = f"list_transform({every(x, NUMBER)}, lambda x: CASE WHEN contains({plain}, '.') THEN regexp_replace({plain}, '\\.?0*$', '') ELSE {plain} END)"
     return f"list_sort(list_distinct(list_filter({found}, lambda x: length(replace(x, '.', '')) >= 3)))"
 
 
 def big(x: str) -> str:
-    found = f"list_transform({every(x, fg.TELLING)}, lambda x: replace(x, ',', ''))"
+    found = f"list_transform({every(x, TELLING)}, lambda x: replace(x, ',', ''))"
     return f"list_sort(list_distinct(list_filter({found}, lambda x: (suffix(x, '%') AND length(x) >= 4) OR regexp_full_match(x, {lit(tx.DIGIT + '{5,}')}))))"
 
 
@@ -73,7 +85,7 @@ def figures(x: str) -> str:
     value = f"TRY_CAST(replace({narrow('x[1]')}, ',', '') AS DOUBLE)"
     scale = " ".join(f"WHEN '{u}' THEN {s!r}" for u, s in fg.SCALE.items())
     one = f"{{'k': CASE WHEN x[2] = '%' THEN 'pct' ELSE 'yuan' END, 'v': CASE WHEN x[2] = '%' THEN format('{{:.2f}}', {value})::DOUBLE ELSE {value} * CASE x[2] {scale} END END}}"
-    return f"list_distinct(list_transform(list_zip({every(t, fg.FIGURE, 1)}, {every(t, fg.FIGURE, 2)}), lambda x: {one}))"
+    return f"list_distinct(list_transform(list_zip({every(t, FIGURE, 1)}, {every(t, FIGURE, 2)}), lambda x: {one}))"
 
 
 def matched(ref: str, pred: str) -> str:
@@ -91,12 +103,12 @@ num AS (SELECT qa_id, len(rs) AS n, len(hs) AS hit, len(es) AS echo, len(hs) - l
 
 def citations(rows: str, key: str, answer: str) -> str:
     """cite: key, cites, raw, docs, pages of a table's answers."""
-    found = f"list_concat({every(answer, q.BLOCK, 1)}, {every(f'regexp_replace({answer}, {lit(q.BLOCK)}, {lit(chr(32))}, {lit(chr(103))})', q.BARE, 1)})"
+    found = f"list_concat({every(answer, BLOCK, 1)}, {every(f'regexp_replace({answer}, {lit(BLOCK)}, {lit(chr(32))}, {lit(chr(103))})', BARE, 1)})"
     number = lambda x: f"TRY_CAST({narrow(x)} AS INT)"
     return f"""raw AS (SELECT {key}, unnest({found}) AS c, generate_subscripts({found}, 1) AS i FROM {rows}),
 part AS (
-  SELECT {key}, i, {strip('c')} AS raw, CASE WHEN regexp_matches(c, {lit(q.TITLE)}) THEN {every('c', q.TITLE, 1)} ELSE {every('c', q.LOOSE_TITLE, 1)} END AS docs,
-    list_transform(list_zip({every('c', q.PAGES, 1)}, {every('c', q.PAGES, 2)}), lambda x: {{'lo': {number('x[1]')}, 'hi': {number("CASE WHEN coalesce(x[2], '') = '' THEN x[1] ELSE x[2] END")}}}) AS pages FROM raw),
+  SELECT {key}, i, {strip('c')} AS raw, CASE WHEN regexp_matches(c, {lit(TITLE)}) THEN {every('c', TITLE, 1)} ELSE {every('c', LOOSE_TITLE, 1)} END AS docs,
+    list_transform(list_zip({every('c', PAGES, 1)}, {every('c', PAGES, 2)}), lambda x: {{'lo': {number('x[1]')}, 'hi': {number("CASE WHEN coalesce(x[2], '') = '' THEN x[1] ELSE x[2] END")}}}) AS pages FROM raw),
 cite AS (
   SELECT g.{key}, count(i) AS cites, coalesce(substring(string_agg(raw, '；' ORDER BY i) FILTER (i IS NOT NULL), 1, 120), '') AS raw,
     coalesce(flatten(list(docs ORDER BY i) FILTER (i IS NOT NULL)), []) AS docs, coalesce(flatten(list(pages ORDER BY i) FILTER (i IS NOT NULL)), []) AS pages
@@ -108,13 +120,13 @@ _SAID = "[" + ", ".join(map(lit, q.REFUSALS)) + "]"
 
 def quotes(x: str) -> str:
     refuses = f"{bare('x')} <> '' AND len(list_filter({_SAID}, lambda r: contains({bare('x')}, r) OR contains(r, {bare('x')}))) > 0"
-    return f"list_filter(list_transform({every(x, q.QUOTE, 1)}, lambda x: {strip('x')}), lambda x: x <> '' AND NOT ({refuses}))"
+    return f"list_filter(list_transform({every(x, QUOTE, 1)}, lambda x: {strip('x')}), lambda x: x <> '' AND NOT ({refuses}))"
 
 
 def verdicts(rows: str, key: str, answer: str, pages: str) -> str:
     """v: key, pos, worst, first of each quotation; pl: its places (key, pos, doc, page)."""
     return f"""quo AS (SELECT {key}, unnest(qs) AS quote, generate_subscripts(qs, 1) AS pos FROM (SELECT {key}, {quotes(answer)} AS qs FROM {rows})),
-seg0 AS (SELECT {key}, pos, unnest(ss) AS seg, generate_subscripts(ss, 1) AS s FROM (SELECT {key}, pos, list_filter(list_transform(string_split_regex(quote, {lit(q.ELLIPSIS)}), lambda x: {strip('x')}), lambda x: length({bare('x')}) >= 6) AS ss FROM quo)),
+seg0 AS (SELECT {key}, pos, unnest(ss) AS seg, generate_subscripts(ss, 1) AS s FROM (SELECT {key}, pos, list_filter(list_transform(string_split_regex(quote, {lit(ELLIPSIS)}), lambda x: {strip('x')}), lambda x: length({bare('x')}) >= 6) AS ss FROM quo)),
 pg AS (SELECT doc, page, {squeeze('text')} AS t1, {bare('text')} AS t2, {bare(simple('text'))} AS t3 FROM {pages}),
 sg AS (SELECT DISTINCT seg, {squeeze('seg')} AS n1, {bare('seg')} AS n2, {bare(simple('seg'))} AS n3 FROM seg0),
 hit0 AS (SELECT seg, doc, page, CASE WHEN contains(t2, n2) AND contains(t1, n1) THEN 0 WHEN contains(t2, n2) THEN 1 ELSE 2 END AS level FROM sg JOIN pg ON contains(t3, n3)),
