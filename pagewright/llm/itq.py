@@ -106,6 +106,9 @@ def fit(sample: np.ndarray, width: int, angle: float, seed: int = 7, most: int =
         missed &= (apart.reshape(len(x), add, width).sum(2) > 1).all(1)
         tables += add
         add = max(1, tables // 2)
+        # tables miss alike at best: where so many would not do, no more are learned at this width
+        if width > 8 and (missed.all() or missed.mean() > MISS and tables * np.log(MISS) / np.log(missed.mean()) > most):
+            break
     if missed.mean() > MISS and width > 8:
         return fit(sample, max(8, width - 8), angle, seed, most)
     return Code(mean, np.concatenate(parts, 1), width), tables, float(off.mean()), float(off.std())

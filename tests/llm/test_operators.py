@@ -259,7 +259,7 @@ def test_embedding_recall_at_any_width(width, offset):
     theta = np.arccos(0.95)
     x = rng.standard_normal((6_000, 32)) + offset * np.sqrt(32) * np.eye(32)[0]
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    code, tables, _, _ = itq.fit(x[3_000:], width, theta, most=1024 if offset < 2 else 128)  # few tables: shorter keys
+    code, tables, _, _ = itq.fit(x[3_000:], width, theta, most=1024 if offset < 1 else 160)  # few tables: shorter keys
     assert tables >= itq.tables_for(code.width, theta)
     u = rng.standard_normal((3_000, 32))
     u -= (u * x[:3_000]).sum(1, keepdims=True) * x[:3_000]
