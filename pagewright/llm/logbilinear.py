@@ -329,6 +329,8 @@ def fit(train: DataFrame, n_bytes: int, ends: int, vocabulary: int = VOCABULARY,
     counted = counted.observe(seen, *(F.sum(F.when(F.col("cls") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(CLASSES)))
     top = counted.where(F.col("n") >= MIN_COUNT).orderBy(F.desc("n"), "word").limit(vocabulary).collect()  # a row a word of the vocabulary
     got = seen.get
+    del counted
+    freed(spark)
     words = np.array([r.word for r in top], np.int64).view(fp.U)
     count = np.array([r.n for r in top], np.int64)
     rest = np.array([got.get(f"c{i}") or 0 for i in range(CLASSES)], np.int64)
