@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.script import Converter, bare, squeezed
-from ..storage import written
+from ..storage import write_wide, written
 from . import suffixes as sx
 
 # The bands, best first; a place in this list is a level.
@@ -68,8 +68,8 @@ def index(pages: DataFrame, page_key: str, text: str, table: Mapping[str, str] |
     p = pages.select(F.col(page_key).alias("key"), F.col(text).alias("text")).where("text is not null")
     rows = p.mapInArrow(_shards(table, shard), f"keys array<{_kind(p, 'key')}>, texts array<string>, flat string, places binary")
     if path is None:
-        return written(rows)
-    rows.write.parquet(path)
+        return written(rows, wide=True)
+    write_wide(rows, path)
     return pages.sparkSession.read.parquet(path)
 
 
