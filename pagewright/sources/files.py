@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import slices
 from ..operators.ordering import running_sum
 from ..storage import written
 from .staged import StagedTable
@@ -43,13 +44,21 @@ def read_contents(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("doc", F.posexplode("marks").alias("pos", "mark")).select("doc", "pos", "mark.*")
 
 
+def _parts(batches):
+    """The batches in slices of bounded bytes."""
+    for batch in batches:
+        for a, b in slices(*batch.columns):
+            yield batch.slice(a, b - a)
+
+
 def _parsed(names: list[str], encoding: str):
     """Records (their lines, in order) as cells; cells that a record lacks are null, empty ones as well."""
 
     def run(batches):
-        for batch in batches:
-            texts = ["\n".join(p.decode(encoding).removeprefix(BOM) for p in r) for r in batch.column(0).to_pylist()]
-            rows = [next(csv.reader(io.StringIO(t, newline="")), []) for t in texts]
+        csv.field_size_limit((1 << 31) - 1)  # 131,072 characters by default
+        for part in _parts(batches):
+            texts = ("\n".join(p.decode(encoding).removeprefix(BOM) for p in r) for r in part.column(0).to_pylist())
+            rows = (next(csv.reader(io.StringIO(t, newline="")), []) for t in texts)
             rows = [(r + [None] * len(names))[: len(names)] for r in rows if r]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] or None for r in rows], pa.string()) for i in range(len(names))], names)
 
@@ -104,8 +113,8 @@ def _encoded(names: list[str], encoding: str):
                 yield out.getvalue().encode(encoding)
 
         yield pa.RecordBatch.from_arrays([pa.array(lines([names]), pa.binary())], ["value"])
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(lines(zip(*(c.to_pylist() for c in batch.columns))), pa.binary())], ["value"])
+        for part in _parts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(lines(zip(*(c.to_pylist() for c in part.columns))), pa.binary())], ["value"])
 
     return run
 
