@@ -1,10 +1,11 @@
 """Where quoted text stands in a corpus, and how exactly: verbatim, punctuation aside, script aside, or not at all.
 
-The corpus is indexed once: pages are gathered to shards of about SHARD characters, each with the suffix array of its text
-without punctuation and in one script.  An index is a table (a row a shard) that can be kept and read again.  Segments are
-searched in blocks of bounded bytes: a block goes to all tasks, which look up all its segments in a shard together; what stands
-in a shard is known from its suffix array alone, whatever a segment's length, and only pages that hold a segment are looked at
-for punctuation and script.  No page and no position is shuffled.
+`locate` reads the pages once: the windows of a page that may be segments, told by a bitmap of all segments, leave the task as text
+and are joined with the segments.  A corpus that is asked often can be indexed: its pages are gathered to shards of about SHARD
+characters, each with the suffix array of its text without punctuation and in one script.  An index is a table (a row a shard)
+that can be kept and read again.  `search` looks up segments in it in blocks of bounded bytes: a block goes to all tasks, which look
+up all its segments in a shard together; only pages that hold a segment are looked at for punctuation and script.  No page and
+no position is shuffled.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import mapped
 from ..functions.script import Converter, bare, squeezed
-from ..storage import write_wide, written
+from ..storage import bounded_batches, write_wide, written
 from . import suffixes as sx
+from . import windows as win
 
 # The bands, best first; a place in this list is a level.
 BANDS = VERBATIM, PUNCTUATION, SCRIPT, MISSING = "逐字", "去标点", "繁简", "未命中"
@@ -116,6 +119,7 @@ def search(segments: DataFrame, index: DataFrame, key: str, segment: str, page_k
     """(key, page_key, level, band) for every page that holds a segment: level 0 verbatim but for spacing, 1 but for punctuation
     as well, 2 but for the script as well.  Blank and null segments are nowhere; table: as for `index`."""
     spark = index.sparkSession
+    bounded_batches(spark)  # a shard has megabytes
     s = written(segments.select(F.col(key).alias("k"), F.col(segment).alias("s")).where("s is not null").distinct())
     blocks = max(1, -(-(s.agg(F.sum(4 * F.length("s") + 40)).first()[0] or 0) // BLOCK_BYTES))
     convert = Converter(table)
@@ -129,10 +133,65 @@ def search(segments: DataFrame, index: DataFrame, key: str, segment: str, page_k
         shared = spark.sparkContext.broadcast((keys, ([squeezed(t) for t in texts], [bare(t) for t in texts]), patterns))
         found = index.mapInArrow(_found(shared), f"k {_kind(s, 'k')}, p {page}, level int")
         out = found if out is None else out.unionByName(found)
-    band = F.element_at(F.array(*map(F.lit, BANDS)), F.col("level") + 1)
-    return out.groupBy(F.col("k").alias(key), F.col("p").alias(page_key)).agg(F.min("level").alias("level")).withColumn("band", band)
+    return _best(out, key, page_key)
+
+
+def _normal(convert: Converter):
+    """Adds to segments (k, s) what they are without spacing, without punctuation, and that in one script."""
+
+    def run(batches):
+        for batch in batches:
+            s = batch.column(1)
+            more = [mapped(s, f, pa.string()) for f in (squeezed, bare, lambda t: bare(convert(t)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *more], ["k", "squeezed", "bare", "flat"])
+
+    return run
+
+
+def _windows(shared, convert: Converter):
+    """(page, row, kind, window): windows of the pages, in each of the three forms (kind), that may be segments."""
+
+    def run(batches):
+        known = shared.value
+        for batch in batches:
+            for a, texts in win.pieces(batch.column(2)):
+                hits = known.windows([bare(convert(t)) for t in texts])
+                # a page without a segment in one script has none in its own either; of most pages both forms are one
+                some = sorted({i for i, _ in hits})
+                own = {i: bare(texts[i]) for i in some}
+                other = [i for i in some if own[i] != bare(convert(texts[i]))]
+                apart = set(other)
+                rows = [(i, 2, w) for i, w in hits] + [(i, 1, w) for i, w in hits if i not in apart]
+                rows += [(other[i], 1, w) for i, w in known.windows([own[i] for i in other])]
+                rows += [(some[i], 0, w) for i, w in known.windows([squeezed(texts[i]) for i in some])]
+                if rows:
+                    at, kind, window = zip(*rows)
+                    at = pa.array([a + i for i in at], pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(kind, pa.int32()), pa.array(window, pa.string())], ["p", "row", "kind", "w"])
+
+    return run
 
 
 def locate(segments: DataFrame, pages: DataFrame, key: str, segment: str, page_key: str, text: str, table: Mapping[str, str] | None = None) -> DataFrame:
-    """`search` in an index made for it."""
-    return search(segments, index(pages, page_key, text, table), key, segment, page_key, table)
+    """What `search` gives in an index of the pages, from one reading of them: without an index, and for any number of segments."""
+    spark, convert = pages.sparkSession, Converter(table)
+    bounded_batches(spark)
+    s = segments.select(F.col(key).alias("k"), F.col(segment).alias("s")).where("s is not null").distinct()
+    s = written(s.mapInArrow(_normal(convert), f"k {_kind(s, 'k')}, squeezed string, bare string, flat string").where("flat <> ''"))
+    forms = s.select(F.explode(F.array("squeezed", "bare", "flat")).alias("w")).where("w <> ''").distinct()
+    shared = spark.sparkContext.broadcast(win.patterns(forms))
+    p = pages.select(F.col(page_key).alias("p"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("t")).where("t is not null")
+    found = written(p.mapInArrow(_windows(shared, convert), f"p {_kind(p, 'p')}, row long, kind int, w string"))
+    shared.destroy()
+    form = lambda kind, name: found.where(F.col("kind") == kind).select(F.col("row").alias(f"{name}_row"), F.col("w").alias(f"{name}_w"))
+    at = found.where("kind = 2").join(s, F.col("w") == F.col("flat")).select("k", "p", "row", "squeezed", "bare")
+    at = at.join(form(1, "bare"), (F.col("row") == F.col("bare_row")) & (F.col("bare") == F.col("bare_w")), "left")
+    at = at.join(form(0, "squeezed"), (F.col("row") == F.col("squeezed_row")) & (F.col("squeezed") == F.col("squeezed_w")), "left")
+    # a segment of which nothing is left but for its script stands bare on every page
+    level = F.when(F.col("bare_row").isNull() & (F.col("bare") != ""), 2).when(F.col("squeezed_row").isNull(), 1).otherwise(0)
+    return _best(at.withColumn("level", level), key, page_key)
+
+
+def _best(out: DataFrame, key: str, page_key: str) -> DataFrame:
+    band = F.element_at(F.array(*map(F.lit, BANDS)), F.col("level") + 1)
+    return out.groupBy(F.col("k").alias(key), F.col("p").alias(page_key)).agg(F.min("level").alias("level")).withColumn("band", band)
