@@ -7,11 +7,7 @@ import gc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import dropped, spread, written  # noqa: F401 (operators take them from here)
-
-#: Bytes that may be broadcast; beyond it the same join is shuffled.
-BROADCAST_BYTES = 16_000_000
-
+from ..storage import BROADCAST_BYTES, dropped, small, spread, written  # noqa: F401 (operators take them from here)
 
 #: Rows that a Python worker gets at once: each may be a long text.
 BATCH_ROWS = 1_000
@@ -29,18 +25,6 @@ def freed(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def small(df: DataFrame) -> DataFrame:
-    """`df` (already written) with a broadcast hint if its rows, counted, are within the bound in bytes, else unchanged."""
-    return F.broadcast(df) if df.count() * _width(df) <= BROADCAST_BYTES else df
-
-
-def _width(df: DataFrame) -> int:
-    """Bytes of a row: 40 a value, the longest array's 16 an element."""
-    lists = [F.size(f.name) for f in df.schema.fields if f.dataType.typeName() == "array"]
-    longest = max((x or 0 for x in df.agg(*(F.max(x) for x in lists)).first()), default=0) if lists else 0
-    return 40 * len(df.columns) + 16 * longest * len(lists)
-
-
 def whole_number(df: DataFrame, key: str) -> None:
     """Raises a TypeError unless the column holds whole numbers, as components are named by the smallest."""
     if df.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
