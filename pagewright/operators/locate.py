@@ -1,7 +1,8 @@
 """Where quoted text stands in a corpus, and how exactly: verbatim, punctuation aside, script aside, or not at all.
 
 `locate` reads the pages once: the windows of a page that may be segments, told by a bitmap of all segments, leave the task as text
-and are joined with the segments.  A corpus that is asked often can be indexed: its pages are gathered to shards of about SHARD
+and are joined with the segments.  `standing` answers what scores ask, the best level of each segment and whether it stands on certain pages:
+what leaves a task is each window once, not once a page that has it.  A corpus that is asked often can be indexed: its pages are gathered to shards of about SHARD
 characters, each with the suffix array of its text without punctuation and in one script.  An index is a table (a row a shard)
 that can be kept and read again.  `search` looks up segments in it in blocks of bounded bytes: a block goes to all tasks, which look
 up all its segments in a shard together; only pages that hold a segment are looked at for punctuation and script.  No page and
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.batches import mapped
-from ..functions.script import Converter, bare, squeezed
+from ..functions.script import Converter, Forms, bare, squeezed
 from ..storage import bounded_batches, write_wide, written
 from . import suffixes as sx
 from . import windows as win
@@ -27,6 +28,8 @@ from . import windows as win
 BANDS = VERBATIM, PUNCTUATION, SCRIPT, MISSING = "逐字", "去标点", "繁简", "未命中"
 #: Characters of a shard (a longer page is a shard of its own), bytes of a block of segments, matches laid out at once.
 SHARD, BLOCK_BYTES, MATCHES = 1 << 20, 32_000_000, 1 << 21
+#: Windows of a form that a task remembers, so as to send them once.
+SEEN = 100_000
 _BETWEEN = "\0"  # no bare text holds it
 
 
@@ -137,17 +140,28 @@ def search(segments: DataFrame, index: DataFrame, key: str, segment: str, page_k
 
 
 def _normal(convert: Converter):
-    """Adds to segments (k, s) what they are without spacing, without punctuation, and that in one script."""
+    """Adds to segments (k, s) what they are without spacing, without punctuation, and that in one script; and whether they are
+    regular: each of these forms gives those behind it."""
+
+    def regular(t):
+        a, b, c = squeezed(t), bare(t), bare(convert(t))
+        return b != "" and bare(a) == b and bare(convert(a)) == c and bare(convert(b)) == c
 
     def run(batches):
         for batch in batches:
             s = batch.column(1)
             more = [mapped(s, f, pa.string()) for f in (squeezed, bare, lambda t: bare(convert(t)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *more], ["k", "squeezed", "bare", "flat"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *more, mapped(s, regular, pa.bool_())], ["k", "squeezed", "bare", "flat", "regular"])
 
     return run
 
 
+def _forms(segments: DataFrame, convert: Converter) -> DataFrame:
+    """Of segments (k, s) their forms, without those of which nothing is left."""
+    rows = segments.where("s is not null").distinct()
+    return written(rows.mapInArrow(_normal(convert), f"k {_kind(rows, 'k')}, squeezed string, bare string, flat string, regular boolean").where("flat <> ''"))
+
+
 def _windows(shared, convert: Converter):
     """(page, row, kind, window): windows of the pages, in each of the three forms (kind), that may be segments."""
 
@@ -176,8 +190,7 @@ def locate(segments: DataFrame, pages: DataFrame, key: str, segment: str, page_k
     """What `search` gives in an index of the pages, from one reading of them: without an index, and for any number of segments."""
     spark, convert = pages.sparkSession, Converter(table)
     bounded_batches(spark)
-    s = segments.select(F.col(key).alias("k"), F.col(segment).alias("s")).where("s is not null").distinct()
-    s = written(s.mapInArrow(_normal(convert), f"k {_kind(s, 'k')}, squeezed string, bare string, flat string").where("flat <> ''"))
+    s = _forms(segments.select(F.col(key).alias("k"), F.col(segment).alias("s")), convert)
     forms = s.select(F.explode(F.array("squeezed", "bare", "flat")).alias("w")).where("w <> ''").distinct()
     shared = spark.sparkContext.broadcast(win.patterns(forms))
     p = pages.select(F.col(page_key).alias("p"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("t")).where("t is not null")
@@ -187,11 +200,104 @@ def locate(segments: DataFrame, pages: DataFrame, key: str, segment: str, page_k
     at = found.where("kind = 2").join(s, F.col("w") == F.col("flat")).select("k", "p", "row", "squeezed", "bare")
     at = at.join(form(1, "bare"), (F.col("row") == F.col("bare_row")) & (F.col("bare") == F.col("bare_w")), "left")
     at = at.join(form(0, "squeezed"), (F.col("row") == F.col("squeezed_row")) & (F.col("squeezed") == F.col("squeezed_w")), "left")
-    # a segment of which nothing is left but for its script stands bare on every page
-    level = F.when(F.col("bare_row").isNull() & (F.col("bare") != ""), 2).when(F.col("squeezed_row").isNull(), 1).otherwise(0)
+    # a form of which nothing is left stands on every page
+    level = F.when(F.col("bare_row").isNull() & (F.col("bare") != ""), 2).when(F.col("squeezed_row").isNull() & (F.col("squeezed") != ""), 1).otherwise(0)
     return _best(at.withColumn("level", level), key, page_key)
 
 
+def _apart(own: str, flat: str, most: int) -> str:
+    """The part of a page with all windows of up to `most` characters that differ between its forms, place for place."""
+    differ = np.flatnonzero(np.frombuffer(own.encode("utf-32-le", "surrogatepass"), np.uint32) != np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32))
+    return own[max(int(differ[0]) - most + 1, 0) : int(differ[-1]) + most]
+
+
+def _hits(shared, convert: Converter):
+    """(place, kind, window): windows of the pages, in each of the three forms (kind), that may be regular segments and stand on a page
+    with the forms behind them.  Each is sent once without a place, and with its page's place if it may be asked for there; what a
+    task has sent it sends again only when it has forgotten it."""
+
+    def run(batches):
+        known, asked = shared.value
+        forms, longest = Forms(convert), known.longest
+        seen, told = ([set() for _ in BANDS] for _ in range(2))
+        for batch in batches:
+            place = np.asarray(batch.column(1))
+            for a, texts in win.pieces(batch.column(2)):
+                spaced, own, flat = forms(texts)
+                hits = known.hashed(flat)
+                # a page without a segment in one script has none in its own either
+                some = sorted({i for i, _ in hits})
+                other = [i for i in some if own[i] != flat[i]]
+                apart = set(other)
+                rows = [(i, 2, w, h) for (i, w), h in hits.items()]
+                if forms.aligned:  # windows that are alike in both forms are found already
+                    rows += [(i, 1, w, h) for (i, w), h in hits.items() if i not in apart or w in own[i]]
+                    parts = [_apart(own[i], flat[i], longest) for i in other]
+                else:
+                    rows += [(i, 1, w, h) for (i, w), h in hits.items() if i not in apart]
+                    parts = [own[i] for i in other]
+                rows += [(other[i], 1, w, h) for (i, w), h in known.hashed(parts).items()]
+                rows += [(some[i], 0, w, h) for (i, w), h in known.hashed([spaced[i] for i in some]).items()]
+                if not rows:
+                    continue
+                at, _, _, h = zip(*rows)
+                where = place[a + np.array(at)]
+                near = np.zeros(len(rows), bool)
+                near[asked.has(win.pair(np.array(h, np.uint64), where))] = True
+                out = []
+                for (i, kind, w, _), x, here in zip(rows, where.tolist(), near.tolist()):
+                    new, here = w not in seen[kind], here and (x, w) not in told[kind]
+                    if not (new or here):
+                        continue
+                    if kind < 2 and bare(convert(w)) not in flat[i] or kind == 0 and not ((b := bare(w)) and b in own[i]):
+                        continue
+                    if new:
+                        seen[kind].add(w)
+                        out.append((None, kind, w))
+                    if here:
+                        told[kind].add((x, w))
+                        out.append((a + i, kind, w))
+                for held in (*seen, *told):
+                    if len(held) > SEEN:
+                        held.clear()
+                if out:
+                    at, kind, window = zip(*out)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(kind, pa.int32()), pa.array(window, pa.string())], ["p", "kind", "w"])
+
+    return run
+
+
+def standing(segments: DataFrame, pages: DataFrame, asked: DataFrame, segment: str, place: str, text: str, table: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(segment, level) on the best page of each segment that some page holds; and (segment, place, level) of what is asked, if the
+    place has a page that holds the segment, on the best of these.
+
+    asked: segments and places (of the type of the pages'; several pages may share one).  Rows do not grow with the number of pages
+    that hold a segment.  Segments that are not regular (`_normal`), few in any text, are looked up by `locate` and so page by page.
+    """
+    spark, convert = pages.sparkSession, Converter(table)
+    bounded_batches(spark)
+    s = _forms(segments.select(F.col(segment).alias("k"), F.col(segment).alias("s")), convert)
+    forms = s.where("regular").select("k", F.posexplode(F.array("squeezed", "bare", "flat")).alias("kind", "w"))
+    wanted = written(asked.select(F.col(segment).alias("k"), F.col(place).alias("p")).where("k is not null and p is not null").distinct())
+    known = win.patterns(forms.select("w").distinct())
+    pairs = win.pairs(wanted.join(forms, "k").select("w", F.xxhash64("p").alias("h")))
+    shared = spark.sparkContext.broadcast((known, pairs))
+    p = pages.select(F.col(place).alias("p"), F.xxhash64(place).alias("h"), F.col(text).alias("t")).where("t is not null")
+    found = written(p.mapInArrow(_hits(shared, convert), f"p {_kind(p, 'p')}, kind int, w string").distinct())
+    shared.destroy()
+    best = found.where("p is null").join(forms, ["kind", "w"]).select("k", F.col("kind").alias("level"))
+    there = found.where("p is not null").join(wanted.join(forms, "k"), ["p", "kind", "w"]).select("k", "p", F.col("kind").alias("level"))
+    odd = s.where("not regular")
+    if not odd.isEmpty():
+        apart = written(locate(odd.select("k"), pages.select(F.col(place).alias("p"), F.col(text).alias("t")), "k", "k", "p", "t", table))
+        best = best.unionByName(apart.select("k", "level"))
+        there = there.unionByName(apart.join(wanted, ["k", "p"]).select("k", "p", "level"))
+    return (
+        written(best.groupBy(F.col("k").alias(segment)).agg(F.min("level").alias("level"))),
+        written(there.groupBy(F.col("k").alias(segment), F.col("p").alias(place)).agg(F.min("level").alias("level"))),
+    )
+
+
 def _best(out: DataFrame, key: str, page_key: str) -> DataFrame:
     band = F.element_at(F.array(*map(F.lit, BANDS)), F.col("level") + 1)
     return out.groupBy(F.col("k").alias(key), F.col("p").alias(page_key)).agg(F.min("level").alias("level")).withColumn("band", band)

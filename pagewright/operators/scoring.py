@@ -31,35 +31,35 @@ def numeric_score(prediction: Column, reference: Column, question: Column) -> Co
     return let(let(with_hit, lambda x: F.struct(x["ref"].alias("ref"), x["hit"].alias("hit"), fg.match_figures(x["hit"], x["asked"]).alias("echo"))), score)
 
 
-def verdicts(answers: DataFrame, pages: DataFrame, key: str, answer: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Per quotation with a segment: key, at (its place), level (of its worst segment) and first (its first segment); the
-    segments themselves (key, at, segment); and where these stand (segment, doc, page).  pages: doc, page, text."""
+def verdicts(answers: DataFrame, pages: DataFrame, key: str, answer: str, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per quotation with a segment: key, at (its place), level (of its worst segment) and first (its first segment); and which
+    quotations have a segment where it is asked for: key, at, name.  pages: doc, page, text; asked: key, name, doc, page."""
     said = answers.select(key, F.posexplode(q.quotes(F.col(answer))).alias("at", "quote"))
     parts = written(said.select(key, "at", F.posexplode(q.segments(F.col("quote"))).alias("s", "segment")))
-    wanted = parts.select("segment").distinct().withColumn("sid", F.col("segment"))
-    found = written(loc.locate(wanted, pages.select(F.struct("doc", "page").alias("place"), "text"), "sid", "segment", "place", "text"))
-    best = found.groupBy("sid").agg(F.min("level").alias("best"))
+    place = F.struct("doc", F.col("page").cast("long").alias("page")).alias("place")
+    at = written(parts.select(key, "at", "segment").join(asked.where("doc is not null"), key).select(key, "at", "segment", "name", place))
+    found, there = loc.standing(parts.select("segment").distinct(), pages.select(place, "text"), at, "segment", "place", "text")
+    best = found.withColumnRenamed("level", "best")
     level = F.coalesce("best", F.lit(loc.BANDS.index(loc.MISSING)))
-    per = parts.join(best, parts["segment"] == best["sid"], "left").groupBy(key, "at").agg(F.max(level).alias("level"), F.min(F.struct("s", "segment"))["segment"].alias("first"))
-    places = found.join(best, "sid").where("level <= 1 or best = 2").select(F.col("sid").alias("segment"), "place.doc", "place.page")
-    return per, parts.select(key, "at", "segment"), places
+    per = parts.join(best, "segment", "left").groupBy(key, "at").agg(F.max(level).alias("level"), F.min(F.struct("s", "segment"))["segment"].alias("first"))
+    there = there.join(best, "segment").where("level <= 1 or best = 2").select("segment", "place")
+    return per, at.join(there, ["segment", "place"], "left_semi").select(key, "at", "name").distinct()
 
 
 def _quotation_counts(answers: DataFrame, pages: DataFrame, key: str, answer: str, ranges: dict[str, Column]) -> DataFrame:
     """Per answer with quotations: its key as `__k`, their counts by band, first_missing, and for each named array<struct<lo, hi>> of
     pages how many quotations stand there, in the answer's own `doc`."""
-    per, parts, places = verdicts(answers.select(key, answer), pages, key, answer)
+    asked = None
+    for name, spans in ranges.items():
+        rows = answers.select(key, "doc", F.explode(spans).alias("x")).where("x.hi >= x.lo")
+        rows = rows.select(key, F.lit(name).alias("name"), "doc", F.explode(F.sequence(F.col("x.lo").cast("long"), F.col("x.hi").cast("long"))).alias("page")).distinct()
+        asked = rows if asked is None else asked.unionByName(rows)
+    per, there = verdicts(answers.select(key, answer), pages, key, answer, asked)
     out = per.groupBy(F.col(key).alias("__k")).agg(
         F.count(F.lit(1)).alias("quotes"), F.count_if(F.col("level") <= 1).alias("exact"), F.count_if(F.col("level") == 2).alias("script"), F.count_if(F.col("level") == 3).alias("missing"),
         F.substring(F.min(F.when(F.col("level") == 3, F.struct("at", "first")))["first"], 1, EXAMPLE_CHARS).alias("first_missing"),
     )
-    for name, spans in ranges.items():
-        # an equi-join on segment, document and page: no segment's places are gathered
-        asked = answers.select(F.col(key).alias("__k"), F.col("doc").alias("__d"), F.explode(spans).alias("__x")).where("__x.hi >= __x.lo").select("__k", "__d", F.explode(F.sequence(F.col("__x.lo").cast("long"), F.col("__x.hi").cast("long"))).alias("__p")).distinct()
-        at = parts.join(asked, F.col(key) == F.col("__k")).select("__k", "at", "segment", "__d", "__p")
-        hit = at.join(places.withColumnRenamed("segment", "sid"), (F.col("segment") == F.col("sid")) & (F.col("__d") == F.col("doc")) & (F.col("__p") == F.col("page")), "left_semi")
-        out = out.join(hit.select("__k", "at").distinct().groupBy("__k").agg(F.count(F.lit(1)).alias(name)), "__k", "left")
-    return out
+    return out.join(there.groupBy(F.col(key).alias("__k")).agg(*(F.count_if(F.col("name") == n).alias(n) for n in ranges)), "__k", "left")
 
 
 def _counted(a: DataFrame, per: DataFrame, key: str, names: list[str]) -> DataFrame:

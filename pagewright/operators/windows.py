@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.batches import slices
 
-#: Bits of the bitmap a pattern, and bits of the largest one; characters looked at together, places tried at once.
-BITS, MOST_BITS, CHARS, TRIED = 64, 1 << 29, 1 << 16, 1 << 18
+#: Bits of the bitmap a pattern, and bits of the largest one; of a bitmap of pairs; characters looked at together, places tried at once.
+BITS, MOST_BITS, PAIR_BITS, CHARS, TRIED = 64, 1 << 29, 16, 1 << 16, 1 << 18
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -89,6 +89,28 @@ def _bits(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h & most).view(np.int64), ((h >> np.uint64(32)) & most).view(np.int64)
 
 
+def pair(h: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Hash of a text with this hash (of its ends) and of something else."""
+    return _mix(h * _A + other.view(np.uint64))
+
+
+def _masks(bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return bit >> 6, (np.uint64(1) << (bit & 63).view(np.uint64)).view(np.int64)
+
+
+def _paired(bits: int):
+    """(word, mask) of the bits of each pair of a text and the hash of something else."""
+
+    def run(batches):
+        for batch in batches:
+            other = np.asarray(batch.column(1))
+            for a, texts in pieces(batch.column(0)):
+                both = pair(_hashes(texts)[:, 1], other[a : a + len(texts)])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, _masks(np.concatenate(_bits(both, bits))))], ["word", "mask"])
+
+    return run
+
+
 def _marked(bits: int):
     """(word, mask) of the bits of each pattern; (-length, 0) of the lengths there are."""
 
@@ -98,24 +120,20 @@ def _marked(bits: int):
                 h = _hashes(texts)
                 bit = np.concatenate([x for y in h.T for x in _bits(y, bits)])
                 lengths = np.unique([len(t) for t in texts])
-                word = np.r_[bit >> 6, -lengths]
-                mask = np.r_[(np.uint64(1) << (bit & 63).view(np.uint64)).view(np.int64), np.zeros(len(lengths), np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask)], ["word", "mask"])
+                word, mask = _masks(bit)
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[word, -lengths]), pa.array(np.r_[mask, np.zeros(len(lengths), np.int64)])], ["word", "mask"])
 
     return run
 
 
-class Patterns:
-    """Bitmap and lengths of patterns."""
+class Bitmap:
+    """Bits of hashes: all of a set are in it, and few others."""
 
-    def __init__(self, words: np.ndarray, lengths: list[int]):
+    def __init__(self, words: np.ndarray):
         self.words, self.bits = words, 64 * len(words)
-        self.lengths: dict[int, list[int]] = {}
-        for n in lengths:
-            self.lengths.setdefault(n.bit_length() - 1, []).append(n)
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        """Places of the hashes that may be a pattern's."""
+        """Places of the hashes that may be of the set."""
         first, second = _bits(h, self.bits)
         at = np.flatnonzero(self._set(first))
         return at[self._set(second[at])]
@@ -123,10 +141,25 @@ class Patterns:
     def _set(self, bit: np.ndarray) -> np.ndarray:
         return (self.words[bit >> 6] >> (bit & 63).view(np.uint64) & np.uint64(1)).astype(bool)
 
+
+class Patterns(Bitmap):
+    """Bitmap and lengths of patterns."""
+
+    def __init__(self, words: np.ndarray, lengths: list[int]):
+        super().__init__(words)
+        self.lengths: dict[int, list[int]] = {}
+        for n in lengths:
+            self.lengths.setdefault(n.bit_length() - 1, []).append(n)
+        self.longest = max(lengths, default=0)
+
     def windows(self, texts: list[str]) -> list[tuple[int, str]]:
         """(place of the text, window) of the windows that may be patterns: all that are, and few others."""
+        return list(self.hashed(texts))
+
+    def hashed(self, texts: list[str]) -> dict[tuple[int, str], int]:
+        """`windows` with their hashes (of their ends)."""
         code, start = _codes(texts)
-        found: dict[tuple[int, str], None] = {}
+        found: dict[tuple[int, str], int] = {}
         for j, h in _levels(code):
             if j > max(self.lengths, default=-1):
                 break
@@ -146,16 +179,31 @@ class Patterns:
                     at, r, n, both = at[hit], r[hit], n[hit], both[hit]
                     order = np.lexsort((both, r))
                     new = order[np.r_[True, (r[order][1:] != r[order][:-1]) | (both[order][1:] != both[order][:-1])]]
-                    found |= {(k, texts[k][p : p + m]): None for k, p, m in zip(r[new].tolist(), (at[new] - start[r[new]]).tolist(), n[new].tolist())}
-        return list(found)
+                    found |= {(k, texts[k][p : p + m]): x for k, p, m, x in zip(r[new].tolist(), (at[new] - start[r[new]]).tolist(), n[new].tolist(), both[new].tolist())}
+        return found
 
 
-def patterns(texts: DataFrame) -> Patterns:
-    """The bitmap of the column of texts, none of them null; its size depends on their number, up to MOST_BITS."""
-    many = texts.count()
-    bits = min(MOST_BITS, 1 << max(12, (BITS * many).bit_length()))
-    marked = texts.mapInArrow(_marked(bits), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    word, mask = (np.asarray(marked.column(c).combine_chunks()) for c in ("word", "mask"))
+def _gathered(marked: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a bitmap, and what else was marked."""
+    rows = marked.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    word, mask = (np.asarray(rows.column(c).combine_chunks()) for c in ("word", "mask"))
     words = np.zeros(bits // 64, np.uint64)
     words[word[word >= 0]] = mask[word >= 0].view(np.uint64)
-    return Patterns(words, sorted((-word[word < 0]).tolist()))
+    return words, word[word < 0]
+
+
+def _size(many: int, each: int) -> int:
+    return min(MOST_BITS, 1 << max(12, (each * many).bit_length()))
+
+
+def patterns(texts: DataFrame) -> Patterns:
+    """The bitmap of the column of texts, none of them null; its size depends on their number, up to MOST_BITS."""
+    bits = _size(texts.count(), BITS)
+    words, others = _gathered(texts.mapInArrow(_marked(bits), "word long, mask long"), bits)
+    return Patterns(words, sorted((-others).tolist()))
+
+
+def pairs(of: DataFrame) -> Bitmap:
+    """The bitmap of pairs of a text and a long, neither null; its size depends on their number, up to MOST_BITS."""
+    bits = _size(of.count(), PAIR_BITS)
+    return Bitmap(_gathered(of.mapInArrow(_paired(bits), "word long, mask long"), bits)[0])

@@ -6,6 +6,7 @@ import pytest
 
 from pagewright.functions import script as sc
 from pagewright.operators import locate as loc
+from pagewright.operators import scoring
 from pagewright.operators import windows as win
 
 
@@ -55,3 +56,49 @@ def test_batches_are_bounded(spark):
     loc.locate(spark.createDataFrame([(1, "xx")], "id long, s string"), pages, "id", "s", "page", "t")
     most = pages.mapInArrow(lambda batches: (b.select(["page"]) for b in batches if b.nbytes > 6_000_000), "page long").count()
     assert most == 0
+
+
+@pytest.mark.parametrize("table", [None, {"營": "营", "業": "业"}, {"營": "营", "營業額": "营业总额", "業": "业", "；": "x"}, {"業": "；"}])
+@pytest.mark.parametrize("seen", [loc.SEEN, 2])
+def test_standing_is_brute_force(spark, monkeypatch, table, seen):
+    monkeypatch.setattr(loc, "SEEN", seen)
+    rng = random.Random(5)
+    alphabet = ["營業額", "營", "業", "营业总额", "a", "b", "，", " ", "。", "　", "\xa0", "\n", "\0", "；", "\U0001f600"]
+    pages = [(i % 20, "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 40)))) for i in range(80)] + [(5, None), (6, ""), (None, "ab，a"), (3, "營業額 a,b"), (7, "a" * 2000)]
+    segments = {None, "", " ，。", "a" * 1000, "a" * 2001, "；", "a\xa0b", "營 業額"}
+    for _ in range(150):
+        text = rng.choice(pages)[1] or "x"
+        start = rng.randrange(len(text) or 1)
+        part = text[start : start + rng.randrange(1, 12)]
+        segments.add(rng.choice([part, part.replace("，", ""), sc.Converter(table)(part), part + "b", part.replace(" ", "  ")]))
+    asked = {(s, p) for s in segments for p in rng.sample(range(25), 6)}
+    best, there = loc.standing(
+        spark.createDataFrame([(s,) for s in segments], "s string"), spark.createDataFrame(pages, "p long, t string").repartition(3), spark.createDataFrame(list(asked), "s string, p long"), "s", "p", "t", table
+    )
+    convert, want, places = sc.Converter(table), {}, {}
+    for s in segments:
+        for p, t in pages:
+            if s and t and sc.bare(convert(s)) and sc.bare(convert(s)) in sc.bare(convert(t)):
+                level = 2 if sc.bare(s) not in sc.bare(t) else 1 if sc.squeezed(s) not in sc.squeezed(t) else 0
+                want[s] = min(level, want.get(s, 2))
+                if (s, p) in asked:
+                    places[s, p] = min(level, places.get((s, p), 2))
+    assert {r.s: r.level for r in best.collect()} == want and len(want) > 60
+    assert {(r.s, r.p): r.level for r in there.collect()} == places and len(places) > 100
+
+
+def test_scores_do_not_list_the_pages_of_a_quotation(spark, monkeypatch):
+    """Before, a row for each page that holds a quotation's segment, and each form of it, was written and joined."""
+    rows, keep = [], loc.written
+
+    def counted(df, *args):
+        out = keep(df, *args)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(loc, "written", counted)
+    pages = spark.createDataFrame([("d", i, f"x{i}，revenue of the year") for i in range(400)], "doc string, page int, text string").repartition(2)
+    answers = spark.createDataFrame([("q1", "d", 7, "「revenue of the year」【依据：《d》第 7 页】"), ("q2", "e", 7, "「revenue  of the year」")], "qa_id string, doc string, page int, prediction string")
+    found = {r.qa_id: r for r in scoring.citation_score(answers, pages).collect()}
+    assert (found["q1"].exact, found["q1"].on_cited, found["q1"].on_source) == (1, 1, 1) and (found["q2"].exact, found["q2"].on_source) == (1, 0)
+    assert max(rows) < 40
