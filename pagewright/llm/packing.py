@@ -71,39 +71,43 @@ class Words:
         plain = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and rules["model"]["type"] == "BPE"
         plain = plain and cuts[0]["invert"] and cuts[0]["behavior"] == "Removed" and not (cuts[1]["add_prefix_space"] or cuts[1]["use_regex"])
         self.pattern = regex.compile(cuts[0]["pattern"]["Regex"]) if plain else None
+        # whether letters alone are one piece: no rule before that for letters begins with one
+        self.runs = plain and bool(re.match(r"(?:'[a-z]+\|)*\[\\p\{L\}\]\+\|", cuts[0]["pattern"]["Regex"]))
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized]
         self.between = min(special, default=None)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]  # at ASCII white space
-        found = [list(map(self.known.get, w)) for w in words]
-        new = {w for own, ids in zip(words, found) if None in ids for w, x in zip(own, ids) if x is None}
+        every = set().union(*words)
+        new = every.difference(self.known)
         ids = {w: self.before[w] for w in new if w in self.before}
-        new.difference_update(ids)
-        ids |= self._encoded(list(new))
-        out = []
-        for own, parts in zip(words, found):
-            if None in parts:
-                parts = [ids[w] if x is None else x for w, x in zip(own, parts)]
-            out.append(b"".join(parts))
+        ids |= self._encoded(list(new.difference(ids)) if ids else list(new))
         if len(self.known) + len(ids) > WORDS:
+            ids |= {w: self.known[w] for w in every.difference(ids)}
             self.known, self.before = {}, self.known
-        self.known |= {w: x for w, x in ids.items() if len(w) <= WORD_BYTES}
+        self.known |= ids
+        out = [b"".join(map(self.known.__getitem__, own)) for own in words]
+        for w in ids:
+            if len(w) > WORD_BYTES:
+                del self.known[w]
         return out
 
     def _piece(self, piece: str) -> bytes:
-        if piece not in self.pieces:
-            if len(self.pieces) > WORDS:
-                self.pieces.clear()
-            self.pieces[piece] = array("I", [x.id for x in self.model.tokenize("".join(map(_LETTER.__getitem__, piece.encode())))]).tobytes()
-        return self.pieces[piece]
+        if len(self.pieces) > WORDS:
+            self.pieces.clear()
+        letters = piece if piece.isascii() else "".join(map(_LETTER.__getitem__, piece.encode()))  # those seen are themselves
+        ids = self.pieces[piece] = array("I", [x.id for x in self.model.tokenize(letters)]).tobytes()
+        return ids
 
     def _encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out = {}
+        out, known = {}, self.pieces.get
         plain = []
         for w in words:
-            if self.pattern and (t := w.decode()) and len(w) <= WORD_BYTES and _LATIN.fullmatch(t) and "<" not in t:
-                out[w] = b"".join(map(self._piece, self.pattern.findall(t.lower())))
+            if self.runs and w.isalpha() and len(w) <= WORD_BYTES:  # ASCII letters
+                t = w.lower().decode()
+                out[w] = known(t) or self._piece(t)
+            elif self.pattern and len(w) <= WORD_BYTES and b"<" not in w and ((t := w.decode()).isprintable() if w.isascii() else _LATIN.fullmatch(t := w.decode())):
+                out[w] = b"".join([known(x) or self._piece(x) for x in self.pattern.findall(t.lower())])
             elif self.between is None or len(w) > WORD_BYTES or b"<" in w:  # may spell a special token
                 out[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
             else:

@@ -106,3 +106,21 @@ def test_words_are_forgotten_not_changed(monkeypatch):
         want = [packing.tokenizer().encode(t, add_special_tokens=False).ids for t in texts]
         assert [np.frombuffer(x, "<u4").tolist() for x in encode([t.encode() for t in texts])] == want
         assert len(encode.known) <= 20
+
+
+def test_words_are_looked_up_and_cut_once(monkeypatch):
+    """Before, each word of a text was looked up twice, and words of letters alone went through the pattern for pieces."""
+    encode = packing.Words()
+    texts = ["Alpha beta café I'LL it's", "alpha ÀÉÎ x\x1by \x7f a1b 'tis Alpha"]
+    want = [packing.tokenizer().encode(t, add_special_tokens=False).ids for t in texts]
+
+    class Pattern:
+        cut: list = []
+
+        def findall(self, text, keep=encode.pattern):
+            self.cut.append(text)
+            return keep.findall(text)
+
+    encode.pattern = Pattern()
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode([t.encode() for t in texts])] == want
+    assert sorted(Pattern.cut) == sorted(["café", "i'll", "it's", "àéî", "a1b", "'tis"])
