@@ -153,3 +153,14 @@ def test_few_vectors_are_compared():
             some, _ = nearest.within(x[own], away[own, p], x[j], away[j, p], reach)
             compared += some.stop - some.start
     assert compared < 0.1 * 20 * 4000
+
+
+def test_blocks_of_queries_are_not_broadcast(spark):
+    """Before, the blocks were taken to have the bytes of the queries, and went through the driver: a query goes to many pivots."""
+    rng = np.random.default_rng(4)
+    vectors = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+    found = nearest.vector_topk(vectors.where("vec_id % 20 = 0"), vectors, 5)
+    assert found.count() == 75
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [pivot#" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
