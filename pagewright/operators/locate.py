@@ -29,7 +29,7 @@ BANDS = VERBATIM, PUNCTUATION, SCRIPT, MISSING = "逐字", "去标点", "繁简"
 #: Characters of a shard (a longer page is a shard of its own), bytes of a block of segments, matches laid out at once.
 SHARD, BLOCK_BYTES, MATCHES = 1 << 20, 32_000_000, 1 << 21
 #: Windows of a form that a task remembers, so as to send them once.
-SEEN = 100_000
+SEEN = 1 << 18
 _BETWEEN = "\0"  # no bare text holds it
 
 
@@ -219,47 +219,58 @@ def _hits(shared, convert: Converter):
     def run(batches):
         known, asked = shared.value
         forms, longest = Forms(convert), known.longest
-        seen, told = ([set() for _ in BANDS] for _ in range(2))
+        seen, told = ([win.Remembered(SEEN) for _ in BANDS[:3]] for _ in range(2))
         for batch in batches:
             place = np.asarray(batch.column(1))
             for a, texts in win.pieces(batch.column(2)):
                 spaced, own, flat = forms(texts)
-                hits = known.hashed(flat)
+                out: list[tuple] = []
+
+                def send(kind: int, page: np.ndarray, within: list[str], row: np.ndarray, at: np.ndarray, n: np.ndarray, h: np.ndarray, first: np.ndarray) -> None:
+                    """Windows of `within` (row, at, n), which is text of the pages."""
+                    where = place[a + page]
+                    both = win.pair(h, where)
+                    new, here = seen[kind].lacks(h, first), np.zeros(len(h), bool)
+                    here[asked.has(both)] = True
+                    here &= told[kind].lacks(both, first)
+                    some = np.flatnonzero(new | here)
+                    once, there, kept = set(), set(), []
+                    for k, i, r, p, m, x in zip(some.tolist(), page[some].tolist(), row[some].tolist(), at[some].tolist(), n[some].tolist(), where[some].tolist()):
+                        w = within[r][p : p + m]
+                        send_new, send_here = new[k] and w not in once, here[k] and (x, w) not in there
+                        if not (send_new or send_here):
+                            continue
+                        if kind < 2 and (w not in own[i] if kind else not ((b := bare(w)) and b in own[i])) or kind < 2 and bare(convert(w)) not in flat[i]:
+                            continue
+                        kept.append(k)
+                        if send_new:
+                            once.add(w)
+                            out.append((None, kind, w))
+                        if send_here:
+                            there.add((x, w))
+                            out.append((a + i, kind, w))
+                    seen[kind].add(h[kept], first[kept])
+                    kept = [k for k in kept if here[k]]
+                    told[kind].add(both[kept], first[kept])
+
+                row, at, n, h, first, covered = known.places(flat)
                 # a page without a segment in one script has none in its own either
-                some = sorted({i for i, _ in hits})
+                some = np.unique(row).tolist()
                 other = [i for i in some if own[i] != flat[i]]
-                apart = set(other)
-                rows = [(i, 2, w, h) for (i, w), h in hits.items()]
+                send(2, row, flat, row, at, n, h, first)
                 if forms.aligned:  # windows that are alike in both forms are found already
-                    rows += [(i, 1, w, h) for (i, w), h in hits.items() if i not in apart or w in own[i]]
+                    send(1, row, flat, row, at, n, h, first)
                     parts = [_apart(own[i], flat[i], longest) for i in other]
+                    near, around = forms.around(texts, covered)
                 else:
-                    rows += [(i, 1, w, h) for (i, w), h in hits.items() if i not in apart]
+                    alike = ~np.isin(row, other)
+                    send(1, row[alike], flat, *(c[alike] for c in (row, at, n, h, first)))
                     parts = [own[i] for i in other]
-                rows += [(other[i], 1, w, h) for (i, w), h in known.hashed(parts).items()]
-                rows += [(some[i], 0, w, h) for (i, w), h in known.hashed([spaced[i] for i in some]).items()]
-                if not rows:
-                    continue
-                at, _, _, h = zip(*rows)
-                where = place[a + np.array(at)]
-                near = np.zeros(len(rows), bool)
-                near[asked.has(win.pair(np.array(h, np.uint64), where))] = True
-                out = []
-                for (i, kind, w, _), x, here in zip(rows, where.tolist(), near.tolist()):
-                    new, here = w not in seen[kind], here and (x, w) not in told[kind]
-                    if not (new or here):
-                        continue
-                    if kind < 2 and bare(convert(w)) not in flat[i] or kind == 0 and not ((b := bare(w)) and b in own[i]):
-                        continue
-                    if new:
-                        seen[kind].add(w)
-                        out.append((None, kind, w))
-                    if here:
-                        told[kind].add((x, w))
-                        out.append((a + i, kind, w))
-                for held in (*seen, *told):
-                    if len(held) > SEEN:
-                        held.clear()
+                    near, around = some, [spaced[i] for i in some]
+                for kind, of, within in ((1, other, parts), (0, near, around)):
+                    if of:
+                        row, *rest, _ = known.places(within)
+                        send(kind, np.array(of, np.int64)[row], within, row, *rest)
                 if out:
                     at, kind, window = zip(*out)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(kind, pa.int32()), pa.array(window, pa.string())], ["p", "kind", "w"])

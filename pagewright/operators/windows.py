@@ -16,6 +16,7 @@ from ..functions.batches import slices
 
 #: Bits of the bitmap a pattern, and bits of the largest one; of a bitmap of pairs; characters looked at together, places tried at once.
 BITS, MOST_BITS, PAIR_BITS, CHARS, TRIED = 64, 1 << 29, 16, 1 << 16, 1 << 18
+_BIT = np.uint8(1) << np.arange(8, dtype=np.uint8)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -44,7 +45,10 @@ def _ends(a: np.ndarray, b: np.ndarray, n) -> np.ndarray:
 
 
 def _starts(a: np.ndarray, j: int) -> np.ndarray:
-    return _mix(a ^ np.uint64((j + 1) * int(_C) % (1 << 64)))
+    h = a ^ np.uint64((j + 1) * int(_C) % (1 << 64))
+    h *= _B
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,14 +136,17 @@ class Bitmap:
     def __init__(self, words: np.ndarray):
         self.words, self.bits = words, 64 * len(words)
 
+    @property
+    def _bytes(self) -> np.ndarray:
+        return self.words.astype("<u8", copy=False).view(np.uint8)
+
     def has(self, h: np.ndarray) -> np.ndarray:
         """Places of the hashes that may be of the set."""
-        first, second = _bits(h, self.bits)
-        at = np.flatnonzero(self._set(first))
-        return at[self._set(second[at])]
+        at = np.flatnonzero(self._set((h & np.uint64(self.bits - 1)).view(np.int64)))
+        return at[self._set(_bits(h[at], self.bits)[1])]
 
     def _set(self, bit: np.ndarray) -> np.ndarray:
-        return (self.words[bit >> 6] >> (bit & 63).view(np.uint64) & np.uint64(1)).astype(bool)
+        return (self._bytes[bit >> 3] & _BIT[bit & 7]) > 0
 
 
 class Patterns(Bitmap):
@@ -154,12 +161,15 @@ class Patterns(Bitmap):
 
     def windows(self, texts: list[str]) -> list[tuple[int, str]]:
         """(place of the text, window) of the windows that may be patterns: all that are, and few others."""
-        return list(self.hashed(texts))
+        row, at, n, *_ = self.places(texts)
+        return [(k, texts[k][p : p + m]) for k, p, m in zip(row.tolist(), at.tolist(), n.tolist())]
 
-    def hashed(self, texts: list[str]) -> dict[tuple[int, str], int]:
-        """`windows` with their hashes (of their ends)."""
+    def places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """`windows` as places of the text, where in it and how long they are, their hashes (of their ends, of their starts), one of equal
+        ones of a text; and whether each character of all texts is in a window, equal ones too."""
         code, start = _codes(texts)
-        found: dict[tuple[int, str], int] = {}
+        covered = np.zeros(len(code) + 1, np.int32)
+        found = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2]
         for j, h in _levels(code):
             if j > max(self.lengths, default=-1):
                 break
@@ -175,12 +185,36 @@ class Patterns(Bitmap):
                 both = _ends(h[at], h[at + n - (1 << j)], n)
                 hit = self.has(both)
                 if len(hit):
-                    # one of equal windows of a text
                     at, r, n, both = at[hit], r[hit], n[hit], both[hit]
-                    order = np.lexsort((both, r))
-                    new = order[np.r_[True, (r[order][1:] != r[order][:-1]) | (both[order][1:] != both[order][:-1])]]
-                    found |= {(k, texts[k][p : p + m]): x for k, p, m, x in zip(r[new].tolist(), (at[new] - start[r[new]]).tolist(), n[new].tolist(), both[new].tolist())}
-        return found
+                    np.add.at(covered, at, 1)
+                    np.subtract.at(covered, at + n, 1)
+                    found.append(_single(r, at - start[r], n, both, h[at]))
+        out = (np.concatenate(c) for c in zip(*found))
+        return *_single(*out), np.delete(np.cumsum(covered[:-1]) > 0, start[1:] - 1)
+
+
+def _single(row: np.ndarray, at: np.ndarray, n: np.ndarray, both: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One of equal windows of a text."""
+    order = np.lexsort((both, row))
+    r, h = row[order], both[order]
+    order = order[np.r_[True, (r[1:] != r[:-1]) | (h[1:] != h[:-1])][: len(order)]]
+    return row[order], at[order], n[order], both[order], first[order]
+
+
+class Remembered:
+    """The last of the pairs of hashes (128 bits) that share a place, of a bounded number of places."""
+
+    def __init__(self, many: int):
+        self.most = np.uint64((1 << max(1, (many - 1).bit_length())) - 1)
+        self.held = np.zeros((2, int(self.most) + 1), np.uint64)
+
+    def lacks(self, h: np.ndarray, other: np.ndarray) -> np.ndarray:
+        at = (h & self.most).view(np.int64)
+        return (self.held[0][at] != h) | (self.held[1][at] != other)
+
+    def add(self, h: np.ndarray, other: np.ndarray) -> None:
+        at, which = np.unique((h & self.most).view(np.int64), return_index=True)
+        self.held[0][at], self.held[1][at] = h[which], other[which]
 
 
 def _gathered(marked: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,10 @@
 """Windows against brute force, and location for segments beyond a task."""
 
 import random
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagewright.functions import script as sc
@@ -102,3 +105,23 @@ def test_scores_do_not_list_the_pages_of_a_quotation(spark, monkeypatch):
     found = {r.qa_id: r for r in scoring.citation_score(answers, pages).collect()}
     assert (found["q1"].exact, found["q1"].on_cited, found["q1"].on_source) == (1, 1, 1) and (found["q2"].exact, found["q2"].on_source) == (1, 0)
     assert max(rows) < 40
+
+
+def test_a_page_is_searched_as_a_whole_once(monkeypatch):
+    """Before, a page with any window of a segment was searched twice: in one script, and as a whole without white space as well."""
+    rng = random.Random(6)
+    pages = ["".join(rng.choice("abcdefgh ,") for _ in range(2000)) for _ in range(40)]
+    segments = [p[50 * i : 50 * i + 20] for i, p in enumerate(pages)]
+    forms = sorted({f(s) for s in segments for f in (sc.squeezed, sc.bare)})
+    bits = win._size(len(forms), win.BITS)
+    words = np.zeros(bits // 64, np.uint64)
+    for batch in win._marked(bits)([pa.RecordBatch.from_arrays([pa.array(forms)], ["w"])]):
+        word, mask = (np.asarray(c) for c in batch.columns)
+        np.bitwise_or.at(words, word[word >= 0], mask[word >= 0].view(np.uint64))
+    shared = SimpleNamespace(value=(win.Patterns(words, sorted({len(w) for w in forms})), win.Bitmap(np.zeros(64, np.uint64))))
+    looked, codes = [], win._codes
+    monkeypatch.setattr(win, "_codes", lambda texts: looked.append(sum(map(len, texts))) or codes(texts))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(range(40)), pa.array(pages)], ["p", "h", "t"])
+    found = {(k, w) for out in loc._hits(shared, sc.Converter())([batch]) for k, w in zip(out.column("kind").to_pylist(), out.column("w").to_pylist())}
+    assert {(0, sc.squeezed(s)) for s in segments} | {(k, sc.bare(s)) for s in segments for k in (1, 2)} <= found
+    assert sum(looked) < 1.2 * sum(len(sc.bare(p)) for p in pages)
